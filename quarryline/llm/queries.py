@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontamination, html_template, packing, quality, sharding, token_counts, url_filter
+from quarryline.llm import decontamination, html_template, near_duplicates, packing, quality, secrets, sharding, token_counts, url_filter
 from quarryline.llm._common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -34,6 +34,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents"))[0]
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = quality.judge_quality(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
     return told.select(F.col("doc.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -43,7 +47,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_token_counts, op4_html_extraction, op6_url_filter, op8_quality_rules, op9_packing)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = secrets.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
+    return told.select(F.col("doc.doc_id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_token_counts, op4_html_extraction, op6_url_filter, op7_near_duplicates, op8_quality_rules, op9_packing, op10_secrets)}
 
 ORACLE_SQL["op6_url_filter"] = url_filter.oracle_sql()
 ORACLE_SQL["op1_decontamination"] = r"""
