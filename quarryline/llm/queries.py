@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontamination, html_template, near_duplicates, packing, quality, secrets, sharding, token_counts, url_filter
+from quarryline.llm import decontamination, html_template, near_duplicates, packing, quality, secrets, sharding, substring_dedup, token_counts, url_filter
 from quarryline.llm._common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -30,6 +30,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -52,7 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(F.col("doc.doc_id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_token_counts, op4_html_extraction, op6_url_filter, op7_near_duplicates, op8_quality_rules, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_token_counts, op4_html_extraction, op5_substring_dedup, op6_url_filter, op7_near_duplicates, op8_quality_rules, op9_packing, op10_secrets)}
 
 ORACLE_SQL["op6_url_filter"] = url_filter.oracle_sql()
 ORACLE_SQL["op1_decontamination"] = r"""
@@ -76,3 +80,16 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
 """
+
+ORACLE_SQL["op5_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, row_number() OVER () AS r FROM documents),
+g AS (SELECT r, doc_id, s, hash(array_to_string(words[s:s + 12], ' ')) AS h FROM (SELECT *, unnest(range(1, len(words) - 11)) AS s FROM w)),
+low AS (SELECT h, min(doc_id) AS low FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 13)) AS p FROM g JOIN low USING (h) WHERE doc_id > low),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+  FROM (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w) u ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
