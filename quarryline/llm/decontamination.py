@@ -15,11 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm._common import broadcast_bytes, materialize
+from quarryline.llm._common import fits_broadcast, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+SALTS = 32
 
 
 def words_of(text: Column) -> Column:
@@ -29,10 +30,12 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(lowered, SEPARATORS), ""), F.array().cast("array<string>"))
 
 
-def _lookup_side(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if its measured size is within the session's bound, else as it is (shuffled)."""
-    size = df.select(F.sum(sum((F.length(F.to_json(F.struct(F.col(c)))) for c in df.columns), F.lit(0)))).first()[0] or 0
-    return F.broadcast(df) if 4 * size <= broadcast_bytes(df.sparkSession) else df
+def _by_term(rows: DataFrame, terms: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with the few ``terms`` on ``term``. Beyond the broadcast limit frequent terms are spread over salts."""
+    if fits_broadcast(terms):
+        return rows.join(F.broadcast(terms), "term", how)
+    salted = rows.withColumn("_salt", F.pmod(F.hash("doc_id", "pos"), F.lit(SALTS)))
+    return salted.join(terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "_salt"], how).drop("_salt")
 
 
 def phrases_of(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
@@ -48,20 +51,17 @@ def phrases_of(items: DataFrame, id_col: str, text_col: str, window: int = WINDO
 
 def term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
     """Occurrences in the whole corpus of each of ``terms(term)``; terms that never occur have no row."""
-    return (
-        docs.select(F.explode(words_of(F.col(text_col))).alias("term"))
-        .join(_lookup_side(terms), "term", "left_semi")
-        .groupBy("term").agg(F.count("*").alias("df"))
-    )
+    words = docs.select(F.explode(words_of(F.col(text_col))).alias("term"))
+    count = F.count("*").alias("df")
+    if fits_broadcast(terms):
+        return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(count)
+    return words.groupBy("term").agg(count).join(terms, "term", "left_semi")
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
     """The positional index over ``terms(term)``: ``term, doc_id, text_hash, pos`` (pos from 0)."""
-    return (
-        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(words_of(F.col(text_col))).alias("pos", "term"))
-        .join(_lookup_side(terms), "term", "left_semi")
-        .select("term", "doc_id", "text_hash", "pos")
-    )
+    placed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(words_of(F.col(text_col))).alias("pos", "term"))
+    return _by_term(placed, terms, "left_semi").select("term", "doc_id", "text_hash", "pos")
 
 
 def plan_phrases(phrases: DataFrame, counts: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def intersect(index: DataFrame, plan: DataFrame, lists: int = 2) -> DataFrame:
     """Candidate places ``phrase_id, phrase, items, doc_id, text_hash, start``: the rarest term's list, offset-adjusted, intersected with the next ones, up to ``lists``."""
     seed = plan.select("phrase_id", "phrase", "items", "lookups", F.col("lookups")[0]["term"].alias("term"), F.col("lookups")[0]["offset"].alias("offset"))
     places = (
-        index.join(_lookup_side(seed), "term")
+        _by_term(index, seed, "inner")
         .withColumn("start", F.col("pos") - F.col("offset"))
         .where("start >= 0")
         .select("phrase_id", "phrase", "items", "lookups", "doc_id", "text_hash", "start")
@@ -106,7 +106,7 @@ def proximity_matches(index: DataFrame, plan: DataFrame, slop: int) -> DataFrame
     """
     width = max(1, int(slop))
     seed = plan.select("phrase_id", F.col("lookups")[0]["term"].alias("term"), F.array_distinct("lookups.term").alias("terms"))
-    anchor = index.join(_lookup_side(seed), "term").select("phrase_id", "doc_id", "text_hash", "pos", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    anchor = _by_term(index, seed, "inner").select("phrase_id", "doc_id", "text_hash", "pos", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     around = anchor.withColumn("bin", F.explode(F.array(*[F.floor(F.col("pos") / width) + k for k in (-1, 0, 1)])))
     listed = index.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("pos").alias("p"), F.floor(F.col("pos") / width).alias("b")).distinct()
     near = around.join(listed, (F.col("term") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("bin") == F.col("b")) & (F.abs(F.col("p") - F.col("pos")) <= slop))
@@ -121,8 +121,9 @@ def proximity_matches(index: DataFrame, plan: DataFrame, slop: int) -> DataFrame
 def _hits(docs: DataFrame, id_col: str, text_col: str, places: DataFrame) -> DataFrame:
     """``doc`` (the row of ``docs``), ``n_words`` and ``hits``: the places whose words are the phrase's, ordered by start."""
     found = places.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "phrase", "items"))).alias("places"))
-    keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), words_of(F.col(text_col)).alias("words"))
-    joined = keyed.join(_lookup_side(found), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    met = keyed.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    joined = met.select("doc", "places", words_of(F.col("doc")[text_col]).alias("words"))  # after the join: word arrays are larger than texts
     exact = F.filter(F.col("places"), lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["phrase"])) == c["phrase"])
     return joined.select("doc", F.size("words").cast("long").alias("n_words"), F.coalesce(exact, F.array()).alias("hits"))
 
@@ -130,10 +131,10 @@ def _hits(docs: DataFrame, id_col: str, text_col: str, places: DataFrame) -> Dat
 def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, lists: int = 2) -> DataFrame:
     """For each row of ``docs``: ``doc`` (the row as a struct), ``n_words``, ``hits`` (array of start, phrase, items), ``n_hit`` (words inside a hit) and ``item_ids``."""
     phrases = materialize(phrases_of(items, item_col, item_text_col, window), "phrases")
-    vocabulary = phrases.select(F.explode("phrase").alias("term")).distinct()
+    vocabulary = materialize(phrases.select(F.explode("phrase").alias("term")).distinct(), "vocabulary")
     counts = materialize(term_counts(docs, text_col, vocabulary), "term-counts")
     plan = materialize(plan_phrases(phrases, counts), "phrase-plan")
-    read = plan.select(F.explode(F.slice("lookups.term", 1, lists)).alias("term")).distinct()
+    read = materialize(plan.select(F.explode(F.slice("lookups.term", 1, lists)).alias("term")).distinct(), "rarest-terms")
     index = materialize(postings(docs, id_col, text_col, read), "postings")
     places = materialize(intersect(index, plan, lists), "places")
     covered = F.aggregate(
