@@ -8,6 +8,9 @@ repeat. There whole windows are compared, by 128 bits of two independent hashes.
 are ``FANOUT`` of them.
 
 Words under a window that also starts in a document with a smaller id are removed; windows are judged on the input.
+Copies of a whole text with a smaller id repeat from their first to their last window; they are known by one row each
+and need no index. Among texts read together, a window that stands in several is settled there and then for all but the
+smallest id, so that a passage in a third of all documents is a few rows to shuffle.
 
 Defined results: null and empty texts have no words; a text shorter than a window loses none; of repeated rows (same id)
 none is the earlier one; a null id is neither earlier nor later than any, so it keeps its words; other columns come back
@@ -22,12 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm._common import materialize
-from quarryline.llm.wordhash import run_hashes, word_hashes, words_of
+from quarryline.llm._common import fits_broadcast, materialize
+from quarryline.llm.near_duplicates import text_key
+from quarryline.llm.wordhash import ROLL, groups, run_hashes, running_min, within, word_hashes, words_of
 
 WINDOW = 13
 INNER = 6
@@ -36,27 +41,39 @@ BATCHES = 3
 
 
 def fingerprints(hashes: np.ndarray, window: int = WINDOW, inner: int = INNER) -> np.ndarray:
-    """The fingerprint of each window of a document."""
-    runs = run_hashes(hashes, inner)
-    width = window - inner + 1
-    if len(runs) < width:
-        return np.empty(0, dtype=np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(runs, width).min(axis=1)
+    """The fingerprint of each run of ``window`` words."""
+    return running_min(run_hashes(hashes, inner), window - inner + 1)
 
 
-def _signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+def _signed(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *parts]).view(np.int64))
+
+
+def _ints(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([np.empty(0, dtype=np.int64), *parts]).astype(np.int64))
+
+
+def _windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, starts of windows, their texts, first word of each text) of texts read together."""
+    words = [words_of(t) for t in texts]
+    lens = np.array([len(w) for w in words], dtype=np.int64)
+    hashes = word_hashes(words)
+    starts, which = within(lens, WINDOW, len(hashes))
+    return hashes, starts, which, np.cumsum(lens) - lens
 
 
 def document_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``fp, doc_id`` for each distinct fingerprint of each document with an id."""
+    """``fp, doc_id`` for the fingerprints of each document with an id, one for each stretch of windows that share it."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            found = [np.unique(fingerprints(word_hashes(words_of(t.as_py())))) for t in batch.column("text")]
-            ids = np.repeat(np.array(batch.column("doc_id").to_pylist(), dtype=np.int64), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([np.empty(0, np.uint64), *found]))), pa.array(ids)], ["fp", "doc_id"])
+            ids = np.array(batch.column("doc_id").to_pylist(), dtype=np.int64)
+            for first, texts in groups(batch.column("text").to_pylist()):
+                hashes, starts, which, _ = _windows(texts)
+                fps = fingerprints(hashes)[starts] if len(starts) else np.empty(0, dtype=np.uint64)
+                new = np.flatnonzero(np.concatenate(([True], (fps[1:] != fps[:-1]) | (which[1:] != which[:-1])))) if len(fps) else np.empty(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([_signed([fps[new]]), _ints([ids[first + which[new]]])], ["fp", "doc_id"])
 
     return rows.mapInArrow(batches, "fp long, doc_id long")
 
@@ -120,88 +137,139 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def packed(docs: DataFrame, text_col: str, keep: list) -> DataFrame:
+    """``doc`` (a struct of ``keep``), ``text_hash`` and the text as zstd bytes (null for null): half of what a shuffle would move."""
+    rows = docs.select(F.struct(*keep).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shrink = zstandard.ZstdCompressor(level=1)
+        for batch in source:
+            small = [None if t is None else shrink.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text_hash"), pa.array(small, pa.binary())], ["doc", "text_hash", "packed"])
+
+    return rows.mapInArrow(batches, T.StructType([rows.schema["doc"], T.StructField("text_hash", T.LongType()), T.StructField("packed", T.BinaryType())]))
+
+
+def _unpacked(column: pa.Array) -> list[str | None]:
+    grow = zstandard.ZstdDecompressor()
+    return [None if p is None else grow.decompress(p).decode("utf-8", "surrogatepass") for p in column.to_pylist()]
+
+
 def matched_windows(docs: DataFrame, id_col: str, text_col: str, matched: DataFrame) -> DataFrame:
-    """``h1, h2, doc_id, text_hash, at`` (positions) of each distinct window with a matched fingerprint."""
+    """``h1, h2, doc_id, text_hash, at, settled`` of the windows with a matched fingerprint.
+
+    Of equal windows read together only those of the smallest id are sent to meet others by ``h1``; the rest are
+    settled, and their ``h1`` is free to spread them.
+    """
     wanted = matched.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")).withColumnRenamed("doc_id", "wanted_id")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(wanted, F.col("doc_id") == F.col("wanted_id")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "fps")
+    rows = packed(docs.where(F.col(id_col).isNotNull()), text_col, [F.col(id_col).cast("long").alias("id")])
+    joined = rows.join(wanted, F.col("doc.id") == F.col("wanted_id")).select("doc.id", "text_hash", "packed", "fps")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
+            ids, hashes_of = (np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in ("id", "text_hash"))
             fps = batch.column("fps")
-            h1, h2, ids, texts, at, ends = [], [], [], [], [], [0]
-            for row, value in enumerate(batch.column("text")):
-                hashes = word_hashes(words_of(value.as_py()))
-                own = fingerprints(hashes)
-                wanted_here = np.asarray(fps[row].values).view(np.uint64)
-                places = np.flatnonzero(np.isin(own, wanted_here))
-                if not len(places):
+            h1, h2, row, at = [], [], [], []
+            for first, texts in groups(_unpacked(batch.column("packed"))):
+                hashes, starts, which, begin = _windows(texts)
+                if not len(starts):
                     continue
-                one, two = run_hashes(hashes, WINDOW)[places], run_hashes(hashes, WINDOW, 1)[places]
-                order = np.lexsort((places, two, one))
-                one, two, places = one[order], two[order], places[order]
-                new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-                first = np.flatnonzero(new)
-                h1.append(one[first]), h2.append(two[first]), at.append(places)
-                ids.append(np.full(len(first), batch.column("doc_id")[row].as_py(), dtype=np.int64))
-                texts.append(np.full(len(first), batch.column("text_hash")[row].as_py(), dtype=np.int64))
-                ends.extend((ends[-1] + np.append(first[1:], len(places))).tolist())
-            u, i = np.empty(0, np.uint64), np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([i, *at]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([u, *h1]))), pa.array(_signed(np.concatenate([u, *h2]))), pa.array(np.concatenate([i, *ids])), pa.array(np.concatenate([i, *texts])), lists], ["h1", "h2", "doc_id", "text_hash", "at"])
-
-    return joined.mapInArrow(batches, "h1 long, h2 long, doc_id long, text_hash long, at array<int>")
+                wanted_here = [np.asarray(fps[first + k].values).view(np.uint64) + np.uint64(k * ROLL[0] % (1 << 64)) for k in range(len(texts))]
+                met = np.isin(fingerprints(hashes)[starts] + which.astype(np.uint64) * np.uint64(ROLL[0]), np.concatenate(wanted_here))
+                starts, which = starts[met], which[met]
+                h1.append(run_hashes(hashes, WINDOW)[starts]), h2.append(run_hashes(hashes, WINDOW, 1)[starts])
+                row.append(which + first), at.append(starts - begin[which])
+            if not h1:
+                continue
+            one, two, rows_, places = (np.concatenate(x) for x in (h1, h2, row, at))
+            doc = ids[rows_]
+            order = np.lexsort((doc, two, one))
+            one, two, rows_, places, doc = one[order], two[order], rows_[order], places[order], doc[order]
+            new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+            settled = doc > doc[new][np.cumsum(new) - 1]
+            one = np.where(settled, doc.astype(np.uint64) * np.uint64(ROLL[1]), one)
+            yield pa.RecordBatch.from_arrays([_signed([one]), _signed([two]), _ints([doc]), _ints([hashes_of[rows_]]), pa.array(places.astype(np.int32)), pa.array(settled)], ["h1", "h2", "doc_id", "text_hash", "at", "settled"])
+
+    return joined.mapInArrow(batches, "h1 long, h2 long, doc_id long, text_hash long, at int, settled boolean")
+
+
+def repeated_places(spark: SparkSession, windows: DataFrame, buckets: int) -> DataFrame:
+    """``doc_id, text_hash, starts``: where windows start that also start in a document with a smaller id.
+
+    Windows are dealt by ``h1`` once, into a bucketed table; the least id of each and the join with it need no shuffle.
+    """
+    name = f"windows_{uuid.uuid4().hex}"
+    windows.repartition(buckets, "h1").write.bucketBy(buckets, "h1").saveAsTable(name)
+    _release(spark)
+    held = spark.table(name)
+    open_ = held.where("NOT settled")
+    first = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "low")
+    same = (F.col("h1") == F.col("k1")) & (F.col("h2").bitwiseXOR(F.col("k2")) == 0)  # h2 is no join key, so that the buckets of h1 serve
+    later = open_.join(first.hint("merge"), same & (F.col("doc_id") > F.col("low"))).select("doc_id", "text_hash", "at")
+    told = later.unionAll(held.where("settled").select("doc_id", "text_hash", "at")).groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("starts"))
+    told = materialize(told, "repeats")
+    spark.sql(f"DROP TABLE {name}")
+    return told
 
 
-def repeated_places(windows: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, starts``: where windows start that also start in a document with a smaller id."""
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
-    later = windows.join(first, ["h1", "h2"]).where("doc_id > low")
-    return later.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("at")).alias("starts"))
+def later_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``copy_id, copy_hash`` of texts that also stand, whole, under a smaller id."""
+    keyed = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("copy_id"), F.xxhash64(text_col).alias("copy_hash"), text_key(F.col(text_col)).alias("key"))
+    first = keyed.groupBy("key").agg(F.min("copy_id").alias("low"), F.max("copy_id").alias("high")).where("low < high").select("key", "low")
+    return keyed.join(first, "key").where("copy_id > low").select("copy_id", "copy_hash").distinct()
 
 
 def without_repeats(docs: DataFrame, id_col: str, text_col: str, repeats: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
-    """``doc`` (a struct of the columns ``keep``), ``n_words, n_removed, kept`` (words joined by one space)."""
-    rows = docs.select(F.struct(*keep).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    joined = rows.join(repeats, (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left").select("doc", "text", "starts")
+    """``doc`` (a struct of the columns ``keep``), ``n_words, n_removed, kept`` (words joined by one space). ``repeats`` has ``starts``, null for a copy of a whole text."""
+    rows = packed(docs, text_col, [F.struct(*keep).alias("row"), F.col(id_col).cast("long").alias("id")])
+    marks = repeats.select("doc_id", F.col("text_hash").alias("hash"), "starts", F.col("starts").isNull().alias("whole"))
+    joined = rows.join(marks, (F.col("doc.id") == F.col("doc_id")) & (F.col("text_hash") == F.col("hash")), "left").select(F.col("doc.row").alias("doc"), "packed", "starts", "whole")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             n_words, n_removed, kept = [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
-                words = words_of(text.as_py())
+            starts = batch.column("starts")
+            for k, (text, whole) in enumerate(zip(_unpacked(batch.column("packed")), batch.column("whole").to_pylist(), strict=True)):
+                words = words_of(text)
                 removed = 0
-                if starts.is_valid:
+                if whole and len(words) >= window:
+                    removed, left = len(words), []
+                elif whole is False:
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    places = np.unique(np.asarray(starts.values))
+                    places = np.unique(np.asarray(starts[k].values))
                     edge[places] += 1
-                    np.add.at(edge, places + window, -1)
+                    edge[places + window] -= 1
                     covered = np.cumsum(edge[:-1]) > 0
                     removed = int(covered.sum())
+                    left = [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
                 n_words.append(len(words))
                 n_removed.append(removed)
-                kept.append(" ".join(words if not removed else [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]))
+                kept.append(b" ".join(left if removed else words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(batches, T.StructType([rows.schema["doc"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
+    return joined.mapInArrow(batches, T.StructType([T.StructField("doc", joined.schema["doc"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
     """For each row ``doc, n_words, n_removed, kept``. Documents enter the index in ``batches`` by a hash of their ids."""
     spark = docs.sparkSession
-    index = index or FingerprintIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = index or FingerprintIndex(spark, buckets)
+    copies = materialize(later_copies(docs, id_col, text_col), "copies")
+    gone = F.broadcast(copies) if fits_broadcast(copies) else copies
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = own.join(gone, (F.col("doc_id") == F.col("copy_id")) & (F.xxhash64("text") == F.col("copy_hash")), "left_anti")
     matched = None
     for k in range(batches):
         index.compact()
-        found = index.add(document_fingerprints(docs.where(F.pmod(F.xxhash64(id_col), F.lit(batches)) == k), id_col, text_col))
+        found = index.add(document_fingerprints(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), "doc_id", "text"))
         matched = found if matched is None else matched.union(found)
         _release(spark)
-    windows = materialize(matched_windows(docs, id_col, text_col, matched), "windows")
     index.drop()
+    repeats = repeated_places(spark, matched_windows(own, "doc_id", "text", matched), buckets)
     _release(spark)
-    repeats = materialize(repeated_places(windows), "repeats")
-    _release(spark)
-    return without_repeats(docs, id_col, text_col, repeats, docs.columns if keep is None else keep)
+    marks = repeats.unionByName(copies.select(F.col("copy_id").alias("doc_id"), F.col("copy_hash").alias("text_hash"), F.lit(None).cast("array<int>").alias("starts")))
+    return without_repeats(docs, id_col, text_col, marks, docs.columns if keep is None else keep)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

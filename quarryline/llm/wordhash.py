@@ -1,32 +1,47 @@
-"""Hashes of words and of runs of consecutive words, as numpy arrays."""
+"""Hashes of words and of runs of consecutive words, as numpy arrays over many texts at once."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import xxhash
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CACHE_ENTRIES = 300_000
-#: Odd multipliers: one for the rolling combination of words, two for the final mixing.
+CACHE_ENTRIES = 500_000
+#: UTF-8 bytes of texts that are hashed together; a longer text is hashed alone.
+GROUP = 4 << 20
+#: Odd multipliers: one for each independent combination of words, two for the final mixing.
 ROLL = {0: 0x9E3779B97F4A7C15, 1: 0xD1342543DE82EF95}
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-_known: dict[str, int] = {}
+_known: dict[bytes, int] = {}
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Words between the characters U+0020 and U+0009 to U+000D, as UTF-8; these are what ``bytes.split`` splits at."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes of words, through a bounded cache of the worker process."""
-    if missing := set(words).difference(_known):
+def word_hashes(words: list[list[bytes]]) -> np.ndarray:
+    """64-bit hashes of all words, one text after the other, through a bounded cache of the worker process."""
+    if missing := set().union(*words).difference(_known):
         if len(_known) + len(missing) > CACHE_ENTRIES:
             _known.clear()
-            missing = set(words)
-        _known.update((w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in missing)
-    return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
+            missing = set().union(*words)
+        _known.update((w, xxhash.xxh64_intdigest(w)) for w in missing)
+    return np.fromiter(map(_known.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=sum(map(len, words)))
+
+
+def groups(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """(index of the first text, texts) in groups of about ``GROUP`` characters."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= GROUP:
+            yield first, texts[first : k + 1]
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -47,3 +62,23 @@ def run_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
         out *= np.uint64(ROLL[seed])
         out += own[k : k + len(out)]
     return mixed(out)
+
+
+def running_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values, by doubling."""
+    if len(values) < width:
+        return values[:0]
+    out, have = values, 1
+    while have < width:
+        step = min(have, width - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def within(lens: np.ndarray, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, text index) of the runs of ``n`` words that lie within one text; ``lens`` are the texts' word counts, ``total`` their sum."""
+    which = np.repeat(np.arange(len(lens)), lens)
+    ends = np.cumsum(lens)[which] if len(lens) else np.empty(0, dtype=np.int64)
+    starts = np.flatnonzero(np.arange(total) + n <= ends)
+    return starts, which[starts]
