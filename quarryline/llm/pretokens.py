@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -16,7 +16,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONG_TEXT = 1 << 21
 BLOCK = 100_000
 #: Entries after which a cache of pre-tokens starts anew. It changes no result.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 1_000_000
+#: Characters of texts whose unknown pre-tokens are resolved together.
+GROUP = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -104,16 +106,39 @@ class Cached:
     def __init__(self, splitter: Splitter, resolve: Callable[[list[str]], list], special: dict[str, object]):
         self.splitter, self.resolve, self.special, self.known = splitter, resolve, special, dict(special)
 
-    def values(self, text: str) -> Iterator[Iterator]:
+    def each(self, texts: Iterable[str]) -> Iterator[Iterable[Iterable]]:
+        """For each text its blocks of values, in order; texts are read in groups of about ``GROUP`` characters."""
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            if len(text) > LONG_TEXT:
+                yield from self._grouped(group)
+                group, size = [], 0
+                yield self._long(text)
+                continue
+            group.append(text)
+            size += len(text)
+            if size >= GROUP:
+                yield from self._grouped(group)
+                group, size = [], 0
+        yield from self._grouped(group)
+
+    def _grouped(self, texts: list[str]) -> Iterator[list[Iterator]]:
+        cut = [list(self.splitter.blocks(t)) for t in texts]
+        self.learn(set().union(*(block for blocks in cut for block in blocks)))
+        for blocks in cut:
+            yield [map(self.known.__getitem__, block) for block in blocks]
+
+    def _long(self, text: str) -> Iterator[Iterator]:
         for block in self.splitter.blocks(text):
-            self.learn(block)
+            self.learn(set(block))
             yield map(self.known.__getitem__, block)
 
-    def learn(self, block: list[str]) -> None:
-        if missing := set(block).difference(self.known):
+    def learn(self, found: set[str]) -> None:
+        if missing := found.difference(self.known):
             if len(self.known) + len(missing) > CACHE_ENTRIES:
                 self.known = dict(self.special)
-                missing = set(block).difference(self.known)
+                missing = found.difference(self.known)
             missing = list(missing)
             self.known.update(zip(missing, self.resolve(missing), strict=True))
 
