@@ -37,8 +37,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
         known = encoder(vocabulary)
         for batch in source:
             source_row, start, length, crc, total = [], [], [], [], []
-            for row, blocks in enumerate(known.each(t or "" for t in batch.column("text").to_pylist())):
-                ids = b"".join([*(b"".join(block) for block in blocks), end])
+            for row, value in enumerate(batch.column("text")):
+                ids = known.encode_to_numpy(value.as_py() or "", allowed_special="all").astype("<u4", copy=False).tobytes() + end
                 n = len(ids) // 4
                 for at in range(0, n, size):
                     piece = ids[4 * at : 4 * (at + size)]

@@ -1,4 +1,4 @@
-"""Pre-tokens of a byte-level BPE vocabulary file, and exact counts or ids of whole texts through a bounded cache."""
+"""Pre-tokens of a byte-level BPE vocabulary file, exact counts of whole texts through a bounded cache, and their ids."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from itertools import islice
 
 import numpy as np
 import regex
+import tiktoken
 
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -143,7 +144,7 @@ class Cached:
             self.known.update(zip(missing, self.resolve(missing), strict=True))
 
 
-_LOADED: dict[tuple[str, str], Cached] = {}
+_LOADED: dict[tuple[str, str], object] = {}
 
 
 def counter(path: str) -> Cached:
@@ -154,14 +155,22 @@ def counter(path: str) -> Cached:
     return _LOADED["count", path]
 
 
-def encoder(path: str) -> Cached:
-    """Ids of pre-tokens as little-endian unsigned 32-bit bytes, by the tokenizers library; one for each worker process."""
-    if ("ids", path) not in _LOADED:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+def encoder(path: str) -> tiktoken.Encoding:
+    """The same vocabulary for ids of whole texts, one for each worker process; tests hold its ids against the tokenizers library.
 
-        tokenizer = Tokenizer.from_file(path)
-        specials = {t.content: np.array([i], "<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
-        resolve = lambda found: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
-        _LOADED["ids", path] = Cached(Splitter(list(specials)), resolve, specials)
+    Merges must have ids in their own order, as ranks; a file of another kind is refused rather than read wrongly.
+    """
+    if ("ids", path) not in _LOADED:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab = spec["model"]["vocab"]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        of_char = {c: b for b, c in enumerate(byte_alphabet())}
+        if any(b <= a for a, b in zip(made, made[1:])) or (made and made[0] <= max(vocab[c] for c in of_char)):
+            raise ValueError(f"{path}: ids don't follow the order of merges")
+        ranks = {bytes(of_char[c] for c in token): i for token, i in vocab.items() if all(c in of_char for c in token)}
+        specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        for s in specials:
+            ranks.pop(s.encode(), None)
+        _LOADED["ids", path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=specials)
     return _LOADED["ids", path]
