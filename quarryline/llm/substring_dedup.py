@@ -38,6 +38,9 @@ WINDOW = 13
 INNER = 6
 FANOUT = 2
 BATCHES = 3
+#: Packed texts opened at a time, and windows of texts that are settled together.
+PACKED = 256
+TOGETHER = 1_000_000
 
 
 def fingerprints(hashes: np.ndarray, window: int = WINDOW, inner: int = INNER) -> np.ndarray:
@@ -53,13 +56,13 @@ def _ints(parts: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate([np.empty(0, dtype=np.int64), *parts]).astype(np.int64))
 
 
-def _windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, starts of windows, their texts, first word of each text) of texts read together."""
-    words = [words_of(t) for t in texts]
-    lens = np.array([len(w) for w in words], dtype=np.int64)
-    hashes = word_hashes(words)
+def _stretches(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Windows of texts read together, as stretches that share a text and a fingerprint: (word hashes, first word of each text, starts of windows, first window of each stretch, fingerprints, texts)."""
+    hashes, lens = word_hashes(texts)
     starts, which = within(lens, WINDOW, len(hashes))
-    return hashes, starts, which, np.cumsum(lens) - lens
+    fps = fingerprints(hashes)[starts] if len(starts) else np.empty(0, dtype=np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], (fps[1:] != fps[:-1]) | (which[1:] != which[:-1])))) if len(fps) else np.empty(0, dtype=np.int64)
+    return hashes, np.cumsum(lens) - lens, starts, first, fps[first], which[first]
 
 
 def document_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,10 +73,8 @@ def document_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFr
         for batch in source:
             ids = np.array(batch.column("doc_id").to_pylist(), dtype=np.int64)
             for first, texts in groups(batch.column("text").to_pylist()):
-                hashes, starts, which, _ = _windows(texts)
-                fps = fingerprints(hashes)[starts] if len(starts) else np.empty(0, dtype=np.uint64)
-                new = np.flatnonzero(np.concatenate(([True], (fps[1:] != fps[:-1]) | (which[1:] != which[:-1])))) if len(fps) else np.empty(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([_signed([fps[new]]), _ints([ids[first + which[new]]])], ["fp", "doc_id"])
+                *_, fps, which = _stretches(texts)
+                yield pa.RecordBatch.from_arrays([_signed([fps]), _ints([ids[first + which]])], ["fp", "doc_id"])
 
     return rows.mapInArrow(batches, "fp long, doc_id long")
 
@@ -165,30 +166,43 @@ def matched_windows(docs: DataFrame, id_col: str, text_col: str, matched: DataFr
     rows = packed(docs.where(F.col(id_col).isNotNull()), text_col, [F.col(id_col).cast("long").alias("id")])
     joined = rows.join(wanted, F.col("doc.id") == F.col("wanted_id")).select("doc.id", "text_hash", "packed", "fps")
 
+    def told(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        one, two, doc, text, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(one)
+        one, two, doc, text, at = one[order], two[order], doc[order], text[order], at[order]
+        new = np.concatenate(([True], one[1:] != one[:-1]))
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        settled = (doc > np.minimum.reduceat(doc, first)[group]) & (np.minimum.reduceat(two, first) == np.maximum.reduceat(two, first))[group]
+        one = np.where(settled, doc.astype(np.uint64) * np.uint64(ROLL[1]) + at.astype(np.uint64) // np.uint64(1000), one)
+        return pa.RecordBatch.from_arrays([_signed([one]), _signed([two]), _ints([doc]), _ints([text]), pa.array(at.astype(np.int32)), pa.array(settled)], ["h1", "h2", "doc_id", "text_hash", "at", "settled"])
+
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
         for batch in source:
             ids, hashes_of = (np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in ("id", "text_hash"))
             fps = batch.column("fps")
-            h1, h2, row, at = [], [], [], []
-            for first, texts in groups(_unpacked(batch.column("packed"))):
-                hashes, starts, which, begin = _windows(texts)
-                if not len(starts):
-                    continue
-                wanted_here = [np.asarray(fps[first + k].values).view(np.uint64) + np.uint64(k * ROLL[0] % (1 << 64)) for k in range(len(texts))]
-                met = np.isin(fingerprints(hashes)[starts] + which.astype(np.uint64) * np.uint64(ROLL[0]), np.concatenate(wanted_here))
-                starts, which = starts[met], which[met]
-                h1.append(run_hashes(hashes, WINDOW)[starts]), h2.append(run_hashes(hashes, WINDOW, 1)[starts])
-                row.append(which + first), at.append(starts - begin[which])
-            if not h1:
-                continue
-            one, two, rows_, places = (np.concatenate(x) for x in (h1, h2, row, at))
-            doc = ids[rows_]
-            order = np.lexsort((doc, two, one))
-            one, two, rows_, places, doc = one[order], two[order], rows_[order], places[order], doc[order]
-            new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-            settled = doc > doc[new][np.cumsum(new) - 1]
-            one = np.where(settled, doc.astype(np.uint64) * np.uint64(ROLL[1]), one)
-            yield pa.RecordBatch.from_arrays([_signed([one]), _signed([two]), _ints([doc]), _ints([hashes_of[rows_]]), pa.array(places.astype(np.int32)), pa.array(settled)], ["h1", "h2", "doc_id", "text_hash", "at", "settled"])
+            for at in range(0, len(ids), PACKED):
+                for k, texts in groups(_unpacked(batch.column("packed").slice(at, PACKED))):
+                    base = at + k
+                    hashes, begin, starts, first, own, which = _stretches(texts)
+                    if not len(first):
+                        continue
+                    spread = lambda row: row.astype(np.uint64) * np.uint64(ROLL[0])
+                    lists = [np.asarray(fps[base + j].values) for j in range(len(texts))]
+                    wanted_here = np.concatenate(lists).view(np.uint64) + spread(np.repeat(np.arange(len(texts)), [len(x) for x in lists]))
+                    met = np.isin(own + spread(which), wanted_here)
+                    lengths = np.diff(np.append(first, len(starts)))
+                    keep = np.repeat(met, lengths)
+                    if not keep.any():
+                        continue
+                    row, word = np.repeat(which, lengths)[keep], starts[keep]
+                    second, _ = word_hashes(texts, 1)
+                    found.append((run_hashes(hashes, WINDOW)[word], run_hashes(second, WINDOW, 1)[word], ids[base + row], hashes_of[base + row], word - begin[row]))
+                    if sum(len(f[0]) for f in found) >= TOGETHER:
+                        yield told(found)
+                        found = []
+        if found:
+            yield told(found)
 
     return joined.mapInArrow(batches, "h1 long, h2 long, doc_id long, text_hash long, at int, settled boolean")
 
