@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 
@@ -49,11 +50,50 @@ def not_ignored(path: Column, patterns: list[str]) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``file_path`` (relative to the root)``, content, length``: all files below, read in parallel; unreadable ones are left out."""
-    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
-    base = re.sub(r"^file:/*", "/", root).rstrip("/") + "/"
+    """``file_path`` (relative to the root)``, content, length``: all files below, read in parallel; unreadable ones are left out.
+
+    Spark's own readers leave out names that begin with a dot or an underscore. On a folder that executors can open they
+    are listed apart and read in tasks of their own; in other stores they stay out.
+    """
+    base = re.sub(r"^file:/*", "/", root).rstrip("/")
     plain = F.regexp_replace("path", "^file:/*", "/")
-    return held.select(F.when(plain.startswith(base), F.substring(plain, len(base) + 1, 1 << 30)).otherwise(plain).alias("file_path"), F.decode("content", "UTF-8").alias("content"), "length")
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
+    told = held.select(F.when(plain.startswith(base + "/"), F.substring(plain, len(base) + 2, 1 << 30)).otherwise(plain).alias("file_path"), F.decode("content", "UTF-8").alias("content"), "length")
+    hidden = hidden_files(base) if os.path.isdir(base) else []
+    if not hidden:
+        return told
+
+    def batches(source):
+        import pyarrow as pa
+
+        for batch in source:
+            names, texts, lengths = [], [], []
+            for name in batch.column("file_path").to_pylist():
+                try:
+                    with open(os.path.join(base, name), "rb") as f:
+                        data = f.read()
+                except OSError:
+                    continue
+                names.append(name)
+                texts.append(data.decode("utf-8", "replace"))
+                lengths.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(lengths, pa.int64())], ["file_path", "content", "length"])
+
+    paths = spark.createDataFrame([(h,) for h in hidden], "file_path string")
+    return told.unionByName(paths.mapInArrow(batches, "file_path string, content string, length long"))
+
+
+def hidden_files(base: str) -> list[str]:
+    """Paths, relative to ``base``, with a part that begins with a dot or an underscore; what scans always leave out is not walked."""
+    found = []
+    for folder, below, names in os.walk(base):
+        below[:] = [d for d in below if d not in DEFAULT_IGNORES]
+        rel = os.path.relpath(folder, base)
+        for name in names:
+            path = name if rel == "." else f"{rel}/{name}".replace(os.sep, "/")
+            if any(part[0] in "._" for part in path.split("/")) and not os.path.islink(os.path.join(folder, name)):
+                found.append(path)
+    return sorted(found)
 
 
 def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, limit: int = INDEX_LIMIT) -> DataFrame:

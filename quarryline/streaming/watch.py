@@ -25,7 +25,7 @@ def debounced(events: DataFrame, *, key: str | None = None, ts: str = "ts", gap:
     held = events.withColumn(ts, F.col(ts).cast("timestamp"))
     if held.isStreaming and delay:
         held = held.withWatermark(ts, delay)
-    by = [F.session_window(ts, gap).alias("w"), *([key] if key else [])]
+    by = [F.session_window(ts, gap).alias("w"), F.col(key) if key else F.substring(path, 1, 0).alias("all")]  # a stream needs a key beside the window, and a constant is none
     told = held.groupBy(*by).agg(F.count("*").alias("n_events"), F.array_sort(F.collect_set(path)).alias("paths"))
     return told.select(*([key] if key else []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events", "paths")
 
@@ -39,7 +39,7 @@ def distinct_paths(events: DataFrame, *, path: str = "path", ts: str = "ts", del
 
 def file_stream(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFrame:
     """``file_path, content`` of files that appear below a folder."""
-    held = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(folder)
+    held = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(folder)
     return held.select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("ts"))
 
 
