@@ -190,8 +190,8 @@ def cycle_edges(found: DataFrame) -> DataFrame:
     return found.select(F.explode(pairs).alias("p")).select(F.col("p.a").alias("src"), F.col("p.b").alias("dst")).distinct()
 
 
-def _least_label(edges: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
-    """``id, label``: the least id that reaches each node; ``inside`` keeps to edges within one ``part``."""
+def _least_label(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, label``: the least id that reaches each node."""
     labels = written(ids.withColumn("label", F.col("id")), "labels")
     while True:
         near = edges.join(labels.select(F.col("id").alias("src"), F.col("label").alias("_l")), "src").groupBy("dst").agg(F.min("_l").alias("_l"))
@@ -205,25 +205,29 @@ def strong_components(edges: DataFrame, ids: DataFrame | None = None) -> DataFra
     """``id, component``: the least id of each strongly connected component.
 
     Rounds of forward and backward least labels: a node whose least ancestor has itself as its least ancestor, and which
-    leads back to it, is in its component. Found components go and the rest is labelled again.
+    leads back to it, is in its component. Found components go and the rest is labelled again; nodes on no cycle are peeled
+    off before each round, for they are components of their own.
     """
-    left_edges = written(simple_digraph(edges), "scc-edges")
-    left = written((ids if ids is not None else vertices(edges)).select("id").distinct(), "scc-ids")
-    told = None
+    ids = written((ids if ids is not None else vertices(edges)).select("id").distinct(), "scc-ids")
+    left_edges = cyclic_core(simple_digraph(edges))
+    left = written(vertices(left_edges), "scc-left")
+    told = ids.join(left, "id", "left_anti").select("id", F.col("id").alias("component"))
     while not left.isEmpty():
-        forward = _least_label(left_edges, left, True)
+        forward = _least_label(left_edges, left)
         same = written(
-            left_edges.join(forward.select(F.col("id").alias("src"), F.col("label").alias("_a")), "src").join(forward.select(F.col("id").alias("dst"), F.col("label").alias("_b")), "dst").where("_a = _b").select("src", "dst", "_a"),
+            left_edges.join(forward.select(F.col("id").alias("src"), F.col("label").alias("_a")), "src").join(forward.select(F.col("id").alias("dst"), F.col("label").alias("_b")), "dst").where("_a = _b").select("src", "dst"),
             "scc-same",
         )
         back = same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        roots = forward.where("id = label").select("id")
-        hit = reachable(back, roots)
+        hit = reachable(back, forward.where("id = label").select("id"))
         found = written(forward.join(hit, "id", "left_semi").select("id", F.col("label").alias("component")), "scc-found")
-        told = found if told is None else told.unionByName(found)
-        left = written(left.join(found, "id", "left_anti"), "scc-ids")
-        left_edges = written(same.select("src", "dst").join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi"), "scc-edges")
-    return told if told is not None else (ids if ids is not None else vertices(edges)).select("id", F.col("id").alias("component"))
+        rest = same.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
+        left_edges = cyclic_core(rest)
+        again = written(vertices(left_edges), "scc-left")
+        single = left.join(found, "id", "left_anti").join(again, "id", "left_anti").select("id", F.col("id").alias("component"))
+        told = told.unionByName(found).unionByName(single)
+        left = again
+    return told
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarryline.functions.paths import short_language
 from quarryline.functions.text import STOP_WORDS, token_estimate, tokens
 from quarryline.operators.link import overlapping_symbol
+from quarryline.sources.store import written
 
 K1, B = 1.2, 0.75
 FLOOR = 0.05
@@ -94,27 +95,28 @@ def _count(word: str) -> Column:
     return F.size(F.filter("_t", lambda t: t == word))
 
 
-def scored(chunks: DataFrame, query: list[str], mode: str = "token") -> DataFrame:
-    """``chunk_id, score`` of every window by Okapi BM25, where counts and lengths are those of ``chunks``.
+def scored(chunks: DataFrame, query: list[str], mode: str = "token", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``chunk_id, score`` (and the columns ``keep``) of every window by Okapi BM25, where counts and lengths are those of ``chunks``.
 
-    Term counts of the few query terms are columns of the window itself: no explode, and one aggregate of a single row
-    that is broadcast. Mode "substring" counts terms as they stand in the raw text.
+    Texts are read once: length and counts of the few query terms are columns of a small table, from which come both the
+    figures of the corpus, one row that is broadcast, and the scores. Mode "substring" counts terms as they stand in the
+    raw text.
     """
     if mode == "token":
-        held = chunks.select("chunk_id", tokens(F.col("content")).alias("_t"))
+        held = chunks.select("chunk_id", *keep, tokens(F.col("content")).alias("_t"))
         tf = [_count(w) for w in query]
         length = F.size("_t")
     else:
-        held = chunks.select("chunk_id", F.col("content").alias("_t"))
+        held = chunks.select("chunk_id", *keep, F.col("content").alias("_t"))
         tf = [F.regexp_count("_t", F.lit(re.escape(w))) for w in query]
         length = F.regexp_count("_t", F.lit(r"\w+"))
-    held = held.select("chunk_id", length.alias("_dl"), *[c.alias(f"_tf{k}") for k, c in enumerate(tf)])
+    held = written(held.select("chunk_id", *keep, length.alias("_dl"), *[c.alias(f"_tf{k}") for k, c in enumerate(tf)]), "term-counts")
     corpus = held.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count_if(F.col(f"_tf{k}") > 0).alias(f"_df{k}") for k in range(len(query))])
     met = held.crossJoin(F.broadcast(corpus))  # one row
     score = F.lit(0.0)
     for k in range(len(query)):
         score = score + okapi(F.col(f"_tf{k}"), F.col(f"_df{k}"), F.col("_n"), F.col("_dl"), F.col("_avgdl"))
-    return met.select("chunk_id", score.alias("score"))
+    return met.select("chunk_id", *keep, score.alias("score"))
 
 
 def okapi(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> Column:
@@ -125,9 +127,10 @@ def okapi(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> Co
 def bm25(chunks: DataFrame, term_rows: DataFrame, query: str, limit: int = 10, mode: str = "token") -> DataFrame:
     """The best windows for a query, above the floor; none without a candidate."""
     words = list(dict.fromkeys(tokenize_query(query)))
-    held = candidates(chunks, term_rows, words)
-    ranked = held.join(scored(held, words, mode), "chunk_id").where(F.col("score") > FLOOR)
-    return ranked.orderBy(F.desc("score"), "file_path", "chunk_seq").limit(limit)
+    ranked = scored(candidates(chunks, term_rows, words), words, mode, ("file_path", "chunk_seq")).where(F.col("score") > FLOOR)
+    best = ranked.orderBy(F.desc("score"), "file_path", "chunk_seq").limit(limit)
+    others = [c for c in chunks.columns if c not in ("file_path", "chunk_seq")]
+    return chunks.select(*others).join(F.broadcast(best), "chunk_id").orderBy(F.desc("score"), "file_path", "chunk_seq")  # at most `limit` rows
 
 
 def rank_list(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -616,19 +616,11 @@ def _edges(spark, d):
     return table(spark, d, "orders").select(F.col("o_custkey").alias("src"), following.alias("dst")).where("dst IS NOT NULL")
 
 
-def _chain(spark, d):
-    """One edge from each customer, that of the first order."""
-    following = F.lead("o_custkey").over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    held = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), "o_orderkey", following.alias("dst")).where("dst IS NOT NULL")
-    return held.groupBy("src").agg(F.min_by("dst", "o_orderkey").alias("dst"))
-
-
 def _start(spark, d):
     return table(spark, d, "orders").agg(F.min("o_custkey").alias("id"))
 
 
 _E = "raw AS (SELECT o_custkey AS src, o_orderkey, lead(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS dst FROM orders), e AS (SELECT DISTINCT src, dst FROM raw WHERE dst IS NOT NULL)"
-_C = "raw AS (SELECT o_custkey AS src, o_orderkey, lead(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS dst FROM orders), e AS (SELECT src, arg_min(dst, o_orderkey) AS dst FROM raw WHERE dst IS NOT NULL GROUP BY src)"
 
 
 @query(f"WITH {_E} SELECT src, dst FROM e WHERE src <> dst")
@@ -654,17 +646,18 @@ def bounded_walk(spark, d):
     return graph.bounded_walk(_edges(spark, d), _start(spark, d), 2).select(F.array_join("path", ">").alias("path"), "node", "depth", "is_cycle")
 
 
-_R = f"{_C}, r AS (SELECT min(o_custkey) AS id FROM orders UNION SELECT dst FROM r JOIN e ON id = src)"
+_R = f"{_E}, r AS (SELECT min(o_custkey) AS id FROM orders UNION SELECT dst FROM r JOIN e ON id = src)"
 
 
 @query(f"WITH RECURSIVE {_R} SELECT id FROM r")
 def reachability(spark, d):
-    return graph.reachable(_chain(spark, d), _start(spark, d))
+    return graph.reachable(_edges(spark, d), _start(spark, d))
 
 
-@query(f"WITH RECURSIVE {_R} SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT id FROM r)")
+@query(f"WITH RECURSIVE {_E}, r AS (SELECT min(o_custkey) AS id, 0 AS k FROM orders UNION SELECT dst, k + 1 FROM r JOIN e ON id = src WHERE k < 2) SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT id FROM r)")
 def dead_nodes(spark, d):
-    live = graph.reachable(_chain(spark, d), _start(spark, d))
+    """Customers more than two steps away from the first one."""
+    live = graph.distances(_edges(spark, d), _start(spark, d), most=2)
     return table(spark, d, "customer").join(live, F.col("c_custkey") == F.col("id"), "left_anti").select("c_custkey")
 
 
@@ -691,17 +684,17 @@ def cycles_len_k(spark, d):
     return graph.cycles(_edges(spark, d), 3).select(F.array_join("cycle", ">").alias("cycle"))
 
 
-@query(f"WITH RECURSIVE {_C}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON b = src) SELECT count(*) FILTER (a = b) > 0 AS has_cycle FROM r")
+@query(f"WITH RECURSIVE {_E}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON b = src) SELECT count(*) FILTER (a = b) > 0 AS has_cycle FROM r")
 def has_cycle(spark, d):
-    return graph.has_cycle(_chain(spark, d))
+    return graph.has_cycle(_edges(spark, d))
 
 
 @query(
-    f"""WITH RECURSIVE {_C}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON b = src), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)
+    f"""WITH RECURSIVE {_E}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON b = src), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)
 SELECT id, least(id, coalesce((SELECT min(x.b) FROM r x JOIN r y ON x.b = y.a AND y.b = v.id WHERE x.a = v.id), id)) AS component FROM v"""
 )
 def scc(spark, d):
-    return graph.strong_components(_chain(spark, d))
+    return graph.strong_components(_edges(spark, d))
 
 
 def _near(spark, d):
