@@ -93,3 +93,58 @@ kept AS (
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (r)
 """
+
+ORACLE_SQL["op2_sharding"] = r"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CASE WHEN doc_id IS NULL THEN 'null' ELSE concat('k', doc_id) END AS k FROM documents),
+h AS (SELECT doc_id, k, octet_length(b) + 8 AS size, hex(b) AS x FROM d),
+c AS (
+  SELECT doc_id, k, size, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, length(x), 2), lambda i: CAST(concat('0x', substr(x, i, 2)) AS BIGINT)), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM h, t
+), s AS (
+  SELECT *, -list_max(list_transform(range(24), lambda s: struct_pack(u := CAST(concat('0x', substr(md5(concat(k, ':', s)), 1, 8)) AS BIGINT), o := -s))).o AS shard,
+    -list_max(list_transform(range(25), lambda s: struct_pack(u := CAST(concat('0x', substr(md5(concat(k, ':', s)), 1, 8)) AS BIGINT), o := -s))).o AS grown_shard FROM c
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(grown_shard AS INT) AS grown_shard FROM s
+"""
+
+ORACLE_SQL["op8_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+l AS (SELECT r, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p, unnest(string_split(text, chr(10))) AS line FROM d),
+w AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM l),
+j AS (
+  SELECT r, p, line, len(words) AS n, list_sum(list_transform(words, lambda x: length(x))) AS held,
+    len(words) > 0 AND (
+      regexp_matches(line, '(?i)^[^\pL\pN_]*(?:skip to (?:main )?content|accept (?:all )?cookies|we use cookies\b.*|privacy policy|terms (?:of use|of service|and conditions)|sign (?:in|up)(?: now)?|log ?in|subscribe(?: now)?|read more|click here(?: .*)?|share (?:this|on)\b.*|back to top|all rights reserved|enable javascript\b.*|home|contact us|about us)[^\pL\pN_]*$')
+      OR len(list_filter(words, lambda x: regexp_full_match(x, '[|>»›·•/\\-]+'))) > 0.25 * len(words)
+      OR (len(words) >= 8 AND (
+        len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 0.3 * len(words)
+        OR NOT regexp_matches(array_to_string(words[-4:], ' '), '[.!?…。！？:;"”’)]')
+        OR list_max(map_values(list_histogram(words))) > 0.5 * len(words)))) AS fails
+  FROM w
+), dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM j WHERE n > 0 GROUP BY r),
+lines AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_words, CAST(coalesce(sum(held), 0) AS BIGINT) AS word_chars, CAST(coalesce(sum(held) FILTER (fails), 0) AS BIGINT) AS lost FROM j GROUP BY r),
+a AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+g AS (SELECT r, s, array_to_string(words[s:s + 7], ' ') AS h FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS s FROM a)),
+again AS (SELECT g.r, g.s FROM g JOIN (SELECT r, h FROM g GROUP BY r, h HAVING count(*) > 1) USING (r, h)),
+rep AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(s, s + 8)) AS q FROM again) GROUP BY r),
+x AS (
+  SELECT doc_id, n_words, word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, lost
+  FROM d JOIN lines USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)
+), y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.3 * word_chars AS kept FROM y
+"""
+
+ORACLE_SQL["op7_near_duplicates"] = r"""
+WITH RECURSIVE t AS (SELECT text, min(doc_id) AS rep, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY text),
+w AS (SELECT rep, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+sh AS (SELECT DISTINCT rep, array_to_string(words[s:s + least(len(words), 5) - 1], ' ') AS h FROM (SELECT rep, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS s FROM w WHERE len(words) > 0)),
+n AS (SELECT rep, count(*) AS n FROM sh GROUP BY rep),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS k FROM sh a JOIN sh b ON a.h = b.h AND a.rep < b.rep GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE k / (x.n + y.n - k) >= 0.8),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+c AS (SELECT a AS node, a AS to_node FROM e UNION SELECT node, b FROM c JOIN e ON to_node = a),
+g AS (SELECT node, min(to_node) AS class_id FROM c GROUP BY node), dg AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, coalesce(rep, doc_id) AS rep_id, coalesce(class_id, rep, doc_id) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_copies, 1) AS BIGINT) AS n_copies
+FROM documents d LEFT JOIN t ON t.text = d.text LEFT JOIN g ON node = rep LEFT JOIN dg ON dg.a = rep
+"""
