@@ -83,3 +83,16 @@ def first_mention(items: DataFrame, chunks: DataFrame, item_id: list[str], name:
     held = chunks.select(F.col("file_path").alias("_file"), "chunk_seq", "content")
     met = items.join(held, (F.col("file_path") == F.col("_file")) & F.contains(F.lower("content"), F.lower(name)), "left")
     return met.groupBy(*item_id).agg(F.substring(F.min_by("content", "chunk_seq"), 1, width).alias("snippet"))
+
+
+def export_edges(imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """``src, dst``: for each import its first export, by file and name, whose name it names or whose file's path it holds.
+
+    Names meet by equality. Paths meet by the suffixes of the import against the files, so that both are equi-joins.
+    """
+    held = imports.select("file_path", "specifier").distinct()
+    ids = exports.select(F.col("name"), F.col("file_path").alias("_file"), F.struct("file_path", "name", "symbol_id").alias("_e"))
+    by_name = held.join(ids, F.col("specifier") == F.col("name")).select(held.file_path, "specifier", "_e")
+    by_path = held.select("file_path", "specifier", F.explode(path_suffixes(F.col("specifier"))).alias("_file")).join(ids, "_file").select("file_path", "specifier", "_e")
+    first = by_name.unionByName(by_path).groupBy("file_path", "specifier").agg(F.min("_e").alias("_e"))
+    return first.select(F.col("file_path").alias("src"), F.col("_e.symbol_id").alias("dst")).distinct()

@@ -265,3 +265,8 @@ def incremental_diff(old: DataFrame, new: DataFrame, key: str = "file_path", val
     return a.join(b, key, "full").select(key, status.alias("status"))
 
 
+
+
+def total_downstream(impacts: DataFrame) -> DataFrame:
+    """One row: how many downstream files all changed files have together."""
+    return impacts.agg(F.coalesce(F.sum(F.size("downstream")), F.lit(0)).cast("long").alias("total"))

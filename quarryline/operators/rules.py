@@ -373,3 +373,8 @@ def performance(files: DataFrame) -> DataFrame:
     held = lines(files)
     told = lambda df, kind, severity: df.select("file_path", "line_no", F.lit(kind).alias("type"), F.lit(severity).alias("severity"), trimmed(F.col("line")).alias("snippet"))
     return told(sync_in_async(files), "sync-in-async", "high").unionByName(told(loop_queries(held), "n-plus-one", "critical")).unionByName(told(nested_loops(held), "hotspot-complexity", "medium"))
+
+
+def shown(findings: DataFrame, category: str = "sast", severity: str = "high") -> DataFrame:
+    """Findings of one category and severity; missing ones count as ``sast`` and ``high``."""
+    return findings.where((F.coalesce("category", F.lit("sast")) == category) & (F.coalesce("severity", F.lit("high")) == severity))

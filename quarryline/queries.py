@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions import paths, text
+from quarryline.functions import embed, paths, text
 from quarryline.operators import chunks, graph, link, mining, parse, rules, search
 from quarryline.plans import sinks
 from quarryline.sources import files as sources
@@ -728,6 +728,16 @@ def symmetric_closure(spark, d):
     return mining.symmetric(mining.undirected(pairs, "a", "b"), "a", "b")
 
 
+@query(
+    f"""WITH RECURSIVE {_E}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst), z AS (SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT b FROM u)),
+r AS (SELECT id, 0 AS k FROM z UNION SELECT b, k + 1 FROM r JOIN u ON id = a WHERE k < 1) SELECT DISTINCT id FROM r"""
+)
+def map_depth(spark, d):
+    """What a map of depth 1 shows if links lead from smaller to larger customers."""
+    edges = mining.undirected(_edges(spark, d), "src", "dst")
+    return graph.map_nodes(edges, table(spark, d, "customer").select(F.col("c_custkey").alias("id")), 1)
+
+
 # Streams ------------------------------------------------------------------------------------------------------------
 
 
@@ -745,6 +755,43 @@ def stream_dedup(spark, d):
     return watch.distinct_paths(table(spark, d, "events").select("ts", F.col("event_type").alias("path"))).select("path")
 
 
+@query(
+    f"""WITH {windows_sql(40, 8)}, m AS (SELECT c.file_path, word AS name, chunk_seq, content FROM chunks c, (VALUES ('license'), ('token')) w(word) WHERE contains(lower(content), word)), f AS (SELECT file_path, name, arg_min(content, chunk_seq) AS content FROM m GROUP BY ALL)
+SELECT c.file_path, word AS name, f.content[1:150] AS snippet FROM corpus c CROSS JOIN (VALUES ('license'), ('token')) w(word) LEFT JOIN f ON f.file_path = c.file_path AND f.name = word"""
+)
+def first_mentions(spark, d):
+    """The beginning of each document's first window with a word."""
+    items = corpus(spark, d).select("file_path", F.explode(F.array(F.lit("license"), F.lit("token"))).alias("name"))
+    return link.first_mention(items, chunks.windows(corpus(spark, d)), ["file_path", "name"])
+
+
+@query(
+    f"""WITH {_BM25.format("(SELECT item_id AS id, text AS content FROM benchmark)")} SELECT id, round(score, 6) AS score FROM x"""
+)
+def rank_list(spark, d):
+    return search.rank_list(table(spark, d, "benchmark"), QUERY, "item_id", "text").select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {CORPUS} SELECT false AS full_stack, CAST(0 AS BIGINT) AS n_typescript, count(*) AS n_files FROM corpus")
+def overview_facts(spark, d):
+    return mining.overview(corpus(spark, d), _module_imports(spark, d).withColumn("parse_seq", F.lit(0)))[0]
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS file_path, CAST(h % 4 + 1 AS BIGINT) AS commits_count, CAST(least(100, greatest(12, h * 13 % 75 + 10)) AS INT) AS churn_score FROM (SELECT p_partkey, CAST(list_sum(list_transform(string_split(CAST(p_partkey AS VARCHAR), ''), lambda c: ascii(c))) AS BIGINT) AS h FROM part)")
+def stand_in_churn(spark, d):
+    return mining.stand_in_churn(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file_path")))
+
+
+@query()
+def performance_rules(spark, d):
+    return rules.performance(corpus(spark, d))
+
+
+@query()
+def document_vectors(spark, d):
+    return embed.embed(table(spark, d, "documents"), "doc_id", "text")
+
+
 # Reports ------------------------------------------------------------------------------------------------------------
 
 

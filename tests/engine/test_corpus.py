@@ -236,3 +236,17 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     assert rows(spark.table("paths"), "path") == [("a",), ("b",), ("c",), ("z",)]
     assert watch.watched(spark.createDataFrame([("a/b.ts",), (".git/x",), ("node_modules/y",)], "path string")).count() == 1
+
+
+def test_small_operators(spark, ix):
+    from quarryline.functions import embed
+
+    held = {r.id: r.embedding for r in embed.embed(spark.createDataFrame([(1, "alpha beta alpha"), (2, ""), (3, None), (4, "alpha beta alpha")], "id long, text string"), "id", "text").collect()}
+    assert held[1] == held[4] and abs(sum(x * x for x in held[1]) - 1) < 1e-5 and not any(held[2]) and not any(held[3])
+    imports = spark.createDataFrame([("x.ts", "b"), ("y.ts", "lib/src/b.ts"), ("z.ts", "none")], "file_path string, specifier string")
+    assert rows(link.export_edges(imports, ix.symbols.where("is_exported")), "src", "dst") == [("x.ts", "src/b.ts#b"), ("y.ts", "src/b.ts#C")]
+    assert mining.total_downstream(mining.impact(spark.createDataFrame([("src/b.ts",), ("q.ts",)], "file_path string"), ix.imports)).first().total >= 1
+    findings = spark.createDataFrame([(None, None), ("sast", "high"), ("ai", "high")], "category string, severity string")
+    assert rules.shown(findings).count() == 2
+    assert graph.type_nodes(ix.files).count() == 7 and graph.legacy_exports(ix.symbols).count() >= 5
+    assert link.replace_files(ix.imports.select("file_path", "specifier"), imports).where("file_path = 'x.ts'").count() == 1
