@@ -157,10 +157,10 @@ def _unpacked(column: pa.Array) -> list[str | None]:
 
 
 def matched_windows(docs: DataFrame, id_col: str, text_col: str, matched: DataFrame) -> DataFrame:
-    """``h1, h2, doc_id, text_hash, at, settled`` of the windows with a matched fingerprint.
+    """``h1, h2, doc_id, text_hash, at (places), settled`` of the windows with a matched fingerprint.
 
-    Of equal windows read together only those of the smallest id are sent to meet others by ``h1``; the rest are
-    settled, and their ``h1`` is free to spread them.
+    Of equal windows read together only those of the smallest id are sent to meet others by ``h1``, as one row for all
+    their places; the rest are settled and need no meeting, so they are one row for each text, spread by its id.
     """
     wanted = matched.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")).withColumnRenamed("doc_id", "wanted_id")
     rows = packed(docs.where(F.col(id_col).isNotNull()), text_col, [F.col(id_col).cast("long").alias("id")])
@@ -173,8 +173,12 @@ def matched_windows(docs: DataFrame, id_col: str, text_col: str, matched: DataFr
         new = np.concatenate(([True], one[1:] != one[:-1]))
         first, group = np.flatnonzero(new), np.cumsum(new) - 1
         settled = (doc > np.minimum.reduceat(doc, first)[group]) & (np.minimum.reduceat(two, first) == np.maximum.reduceat(two, first))[group]
-        one = np.where(settled, doc.astype(np.uint64) * np.uint64(ROLL[1]) + at.astype(np.uint64) // np.uint64(1000), one)
-        return pa.RecordBatch.from_arrays([_signed([one]), _signed([two]), _ints([doc]), _ints([text]), pa.array(at.astype(np.int32)), pa.array(settled)], ["h1", "h2", "doc_id", "text_hash", "at", "settled"])
+        one, two = np.where(settled, doc.astype(np.uint64) * np.uint64(ROLL[1]), one), np.where(settled, np.uint64(0), two)
+        order = np.lexsort((text, doc, two, one, settled))  # places of one window, or settled ones, of one text side by side
+        one, two, doc, text, at, settled = (x[order] for x in (one, two, doc, text, at, settled))
+        begin = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (settled[1:] != settled[:-1]))))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), pa.array(at.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([_signed([one[begin]]), _signed([two[begin]]), _ints([doc[begin]]), _ints([text[begin]]), lists, pa.array(settled[begin])], ["h1", "h2", "doc_id", "text_hash", "at", "settled"])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
@@ -204,7 +208,7 @@ def matched_windows(docs: DataFrame, id_col: str, text_col: str, matched: DataFr
         if found:
             yield told(found)
 
-    return joined.mapInArrow(batches, "h1 long, h2 long, doc_id long, text_hash long, at int, settled boolean")
+    return joined.mapInArrow(batches, "h1 long, h2 long, doc_id long, text_hash long, at array<int>, settled boolean")
 
 
 def repeated_places(spark: SparkSession, windows: DataFrame, buckets: int) -> DataFrame:
@@ -220,7 +224,7 @@ def repeated_places(spark: SparkSession, windows: DataFrame, buckets: int) -> Da
     first = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "low")
     same = (F.col("h1") == F.col("k1")) & (F.col("h2").bitwiseXOR(F.col("k2")) == 0)  # h2 is no join key, so that the buckets of h1 serve
     later = open_.join(first.hint("merge"), same & (F.col("doc_id") > F.col("low"))).select("doc_id", "text_hash", "at")
-    told = later.unionAll(held.where("settled").select("doc_id", "text_hash", "at")).groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("starts"))
+    told = later.unionAll(held.where("settled").select("doc_id", "text_hash", "at")).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("at")).alias("starts"))
     told = materialize(told, "repeats")
     spark.sql(f"DROP TABLE {name}")
     return told
