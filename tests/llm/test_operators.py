@@ -421,6 +421,11 @@ def test_secrets_in_layers():
         text = f"é {stretch} z"
         base, spans = secrets.deep_scan(text)
         assert not base and [text[a:b].rstrip("=") for _, a, b in spans][:1] == [stretch.rstrip("=")]
+    deep = SECRET.encode()
+    for _ in range(12):
+        deep = gzip.compress(deep, mtime=0)
+    assert len(secrets.deep_scan(base64.b64encode(deep).decode())[1]) == 1
+    assert secrets.deep_scan("x " + base64.b64encode(b"token=12345678").decode())[1] == [("assign", 2, 22)]
     for stretch in (url, esc):
         text = f"é {stretch} z"
         assert secrets.deep_scan(text)[1] == [("assign", 2, 2 + len(stretch))]
