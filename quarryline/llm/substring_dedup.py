@@ -40,7 +40,7 @@ FANOUT = 2
 BATCHES = 3
 #: Packed texts opened at a time, and windows of texts that are settled together.
 PACKED = 256
-TOGETHER = 1_000_000
+TOGETHER = 500_000
 
 
 def fingerprints(hashes: np.ndarray, window: int = WINDOW, inner: int = INNER) -> np.ndarray:
@@ -72,7 +72,7 @@ def document_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFr
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             ids = np.array(batch.column("doc_id").to_pylist(), dtype=np.int64)
-            for first, texts in groups(batch.column("text").to_pylist()):
+            for first, texts in groups(batch.column("text")):
                 *_, fps, which = _stretches(texts)
                 yield pa.RecordBatch.from_arrays([_signed([fps]), _ints([ids[first + which]])], ["fp", "doc_id"])
 
@@ -145,15 +145,15 @@ def packed(docs: DataFrame, text_col: str, keep: list) -> DataFrame:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shrink = zstandard.ZstdCompressor(level=1)
         for batch in source:
-            small = [None if t is None else shrink.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            small = [None if t is None else shrink.compress(t.encode("utf-8", "surrogatepass")) for t in (v.as_py() for v in batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text_hash"), pa.array(small, pa.binary())], ["doc", "text_hash", "packed"])
 
     return rows.mapInArrow(batches, T.StructType([rows.schema["doc"], T.StructField("text_hash", T.LongType()), T.StructField("packed", T.BinaryType())]))
 
 
-def _unpacked(column: pa.Array) -> list[str | None]:
+def _unpacked(column: pa.Array) -> Iterator[str | None]:
     grow = zstandard.ZstdDecompressor()
-    return [None if p is None else grow.decompress(p).decode("utf-8", "surrogatepass") for p in column.to_pylist()]
+    return (None if p is None else grow.decompress(p).decode("utf-8", "surrogatepass") for p in (v.as_py() for v in column))
 
 
 def matched_windows(docs: DataFrame, id_col: str, text_col: str, matched: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def matched_windows(docs: DataFrame, id_col: str, text_col: str, matched: DataFr
             ids, hashes_of = (np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in ("id", "text_hash"))
             fps = batch.column("fps")
             for at in range(0, len(ids), PACKED):
-                for k, texts in groups(_unpacked(batch.column("packed").slice(at, PACKED))):
+                for k, texts in groups(list(_unpacked(batch.column("packed").slice(at, PACKED)))):
                     base = at + k
                     hashes, begin, starts, first, own, which = _stretches(texts)
                     if not len(first):
@@ -233,8 +233,9 @@ def repeated_places(spark: SparkSession, windows: DataFrame, buckets: int) -> Da
 def later_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``copy_id, copy_hash`` of texts that also stand, whole, under a smaller id."""
     keyed = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("copy_id"), F.xxhash64(text_col).alias("copy_hash"), text_key(F.col(text_col)).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("copy_id").alias("low"), F.max("copy_id").alias("high")).where("low < high").select("key", "low")
-    return keyed.join(first, "key").where("copy_id > low").select("copy_id", "copy_hash").distinct()
+    first = materialize(keyed.groupBy("key").agg(F.min("copy_id").alias("low"), F.max("copy_id").alias("high")).where("low < high").select("key", "low"), "copied")
+    later = materialize(keyed.join(first, "key").where("copy_id > low").select("copy_id", "copy_hash"), "copies")  # nothing above the join needs a key's rows together, so a large group can be split
+    return later.distinct()
 
 
 def without_repeats(docs: DataFrame, id_col: str, text_col: str, repeats: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:

@@ -24,9 +24,15 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counter(vocabulary)
         for batch in source:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            n_bytes = [len(t.encode()) for t in texts]
-            n_tokens = [sum(sum(block) for block in blocks) for blocks in known.each(texts)]
+            n_bytes: list[int] = []
+
+            def texts(column: pa.Array, n_bytes: list[int] = n_bytes) -> Iterator[str]:
+                for value in column:
+                    text = value.as_py() or ""
+                    n_bytes.append(len(text.encode()))
+                    yield text
+
+            n_tokens = [sum(sum(block) for block in blocks) for blocks in known.each(texts(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()

@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Characters of texts that are hashed together; a longer text is hashed alone, in pieces cut at white space.
 GROUP = 1 << 20
+#: Texts of an Arrow column that are unpacked at a time.
+SLICE = 256
 #: Odd multipliers: one for bytes and one for words of each independent hash, and two for the final mixing.
 STEP = {0: 0xC6A4A7935BD1E995, 1: 0xFF51AFD7ED558CCD}
 ROLL = {0: 0x9E3779B97F4A7C15, 1: 0xD1342543DE82EF95}
@@ -27,8 +30,13 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def groups(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
-    """(index of the first text, texts) in groups of about ``GROUP`` characters."""
+def groups(texts: list[str | None] | pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(index of the first text, texts) in groups of about ``GROUP`` characters; of an Arrow column few texts are unpacked at a time."""
+    if not isinstance(texts, list):
+        for at in range(0, len(texts), SLICE):
+            for k, some in groups(texts.slice(at, SLICE).to_pylist()):
+                yield at + k, some
+        return
     first = size = 0
     for k, t in enumerate(texts):
         size += len(t or "")
