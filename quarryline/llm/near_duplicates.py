@@ -3,11 +3,11 @@
 Texts are sets of shingles of five words. Equal texts form copy classes first, of which the one with the smallest id
 stands for all. A forest of ``TREES`` prefix trees holds ``DEPTH`` MinHash values of each representative in each tree,
 sorted by prefix. Matching starts at full prefixes and shortens them until texts at the threshold share one with the
-target recall. A node of a tree gives each member its first and one pseudo-random member as candidates, never all
-pairs of its members; signatures then drop hopeless candidates, and shingle sets are compared exactly.
+target recall. Nodes with a member in common are one component; all pairs of its members are compared by their whole
+shingle sets, in blocks of two parts of the component, so that a pair which shares a prefix is always compared. A
+component costs the square of its size in comparisons, and its size in rows for each of its parts.
 
-Links join texts into groups. Within groups of up to ``COMPLETE`` texts all pairs are compared, so that the number of
-links there is exact; larger groups stay connected by the links found through the trees, and count those.
+Links join texts into groups.
 
 Defined results: a text of fewer than five words is one shingle; texts without words are copies of equal texts only;
 null texts and null ids are groups of their own; repeated rows are copies; an empty table gives none.
@@ -30,9 +30,10 @@ THRESHOLD = 0.8
 TREES = 12
 DEPTH = 8
 RECALL = 0.998
-#: Standard deviations below the threshold at which a signature drops a candidate.
-SLACK = 4.5
-COMPLETE = 64
+#: Members and bytes of shingles that a part of a component has, about; columns of shingles that are compared at a time.
+PART = 128
+PART_BYTES = 16 << 20
+SLAB = 8192
 
 
 def shingles(texts: list[str | None] | pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -86,57 +87,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(batches, f"doc_id {kind}, key binary, sig binary")
 
 
-def forest_pairs(reps: DataFrame, levels: list[int]) -> DataFrame:
-    """Candidates ``a < b``: members of a node with the node's first and one pseudo-random member, for each level of each tree."""
+def node_links(reps: DataFrame, depth: int) -> DataFrame:
+    """``a, b``: each member of a node with the node's least member, for the nodes of prefixes of ``depth`` of all trees.
+
+    Texts that share a longer prefix share this one too. Nodes that have a member in common are one component of these links.
+    """
     width = 4 * DEPTH
     trees = reps.where("sig IS NOT NULL").select("rep", F.posexplode(F.array(*[F.substring("sig", 1 + t * width, width) for t in range(TREES)])).alias("tree", "branch"))
-
-    def nodes(rows: DataFrame, depth: int) -> DataFrame:
-        return rows.withColumn("node", F.xxhash64("tree", F.lit(depth), F.substring("branch", 1, 4 * depth)))
-
-    shuffled = F.struct(F.xxhash64("rep", "tree").alias("order"), F.col("rep").alias("rep"))
-    last = nodes(trees, levels[-1])
-    shared = last.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.min(shuffled)["rep"].alias("other")).where("n > 1")
-    met = materialize(last.join(shared, "node"), "forest")
-    pairs = met.select("rep", F.explode(F.array("first", "other")).alias("with"))
-    for depth in levels[:-1]:
-        deeper = nodes(met.where("n > 2").select("rep", "tree", "branch"), depth)
-        first = deeper.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
-        pairs = pairs.union(deeper.join(first, "node").select("rep", F.col("first").alias("with")))
-    return pairs.where("rep <> with").select(F.least("rep", "with").alias("a"), F.greatest("rep", "with").alias("b")).distinct()
-
-
-def _two_sided(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    one = pairs.join(values.select(F.col("rep").alias("a"), F.col(value).alias("value_a")), "a")
-    return one.join(values.select(F.col("rep").alias("b"), F.col(value).alias("value_b")), "b").select("a", "b", "value_a", "value_b")
-
-
-def likely_pairs(pairs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs whose signatures don't rule the threshold out."""
-    n = TREES * DEPTH
-    least = int(np.floor(n * threshold - SLACK * np.sqrt(n * threshold * (1 - threshold))))
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, n) for c in ("value_a", "value_b"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= least))
-
-    return _two_sided(pairs, reps, "sig").mapInArrow(batches, "a long, b long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs ``a, b, jaccard`` at the threshold or above, by their whole shingle sets."""
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            found = []
-            for x, y in zip(batch.column("value_a"), batch.column("value_b"), strict=True):
-                a, b = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                found.append(both / max(1, len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "jaccard"]).filter(pa.array([j >= threshold for j in found], pa.bool_()))
-
-    return _two_sided(pairs, sets, "shingles").mapInArrow(batches, "a long, b long, jaccard double")
+    nodes = trees.select("rep", F.xxhash64("tree", F.substring("branch", 1, 4 * depth)).alias("node"))
+    shared = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
+    return nodes.join(shared, "node").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -169,12 +129,66 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "group")
 
 
-def pairs_within(groups: DataFrame, most: int = COMPLETE) -> DataFrame:
-    """All pairs ``a < b`` within groups of at most ``most`` members."""
-    small = groups.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n").between(3, most)).select("group")
-    members = groups.join(small, "group").groupBy("group").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    one = members.select("m", F.posexplode("m").alias("i", "a"))
-    return one.select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+def blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """``group, low, high, part, rep, shingles``: groups dealt out in parts of about ``PART`` members or ``PART_BYTES`` of shingles, each pair of parts (and each part by itself) a block.
+
+    Two members of a group meet in exactly one block as members of ``low`` and ``high``.
+    """
+    members = materialize(groups.withColumnRenamed("node", "rep").join(sets, "rep"), "members")
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("n") / PART, F.col("bytes") / PART_BYTES)).cast("int")
+    large = materialize(sizes.select("group", parts.alias("parts")).where("parts > 1"), "large-groups")
+    dealt = members.join(F.broadcast(large) if fits_broadcast(large) else large, "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    spread = placed.select("group", "part", "rep", "shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return spread.select("group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "shingles")
+
+
+def shared_counts(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """How many shingles each of the first ``n`` sets shares with each of the others; with all sets if ``n`` is their number."""
+    lens = [len(s) for s in sets]
+    row = np.repeat(np.arange(len(sets)), lens)
+    _, col, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = held[col] > 1  # the others are in no two sets
+    row, col = row[common], (np.cumsum(held > 1) - 1)[col[common]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    some = slice(None) if n == len(sets) else slice(n, None)
+    out = np.zeros((n, len(sets) if n == len(sets) else len(sets) - n))
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, SLAB):
+        i, j = np.searchsorted(col, (at, at + SLAB))
+        dense = np.zeros((len(sets), min(SLAB, int(col[-1]) + 1 - at)), dtype=np.float32)
+        dense[row[i:j], col[i:j] - at] = 1
+        out += dense[:n] @ dense[some].T
+    return out
+
+
+def block_links(block: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(members' ids, places of the one and of the other text, jaccard) of the pairs of a block at the threshold or above; all pairs are compared."""
+    low, high = block.column("low")[0].as_py(), block.column("high")[0].as_py()
+    order = np.argsort(block.column("part").to_numpy(), kind="stable")
+    block = block.take(pa.array(order))
+    ids = block.column("rep").to_numpy()
+    n = len(ids) if low == high else int((block.column("part").to_numpy() == low).sum())
+    none = np.empty(0, dtype=np.int64)
+    if n < 1 + (low == high) or (low != high and n == len(ids)):
+        return ids, none, none, np.empty(0)
+    sets = [np.frombuffer(v.as_py(), dtype=np.uint64) for v in block.column("shingles")]
+    both = shared_counts(sets, n)
+    lens = np.array([len(s) for s in sets], dtype=np.float64)
+    jaccard = both / (lens[:n, None] + lens[None, (0 if low == high else n) :] - both)
+    x, y = np.nonzero(np.triu(jaccard >= threshold, 1) if low == high else jaccard >= threshold)
+    return ids, x, y if low == high else y + n, jaccard[x, y]
+
+
+def listed(dealt: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs ``a < b, jaccard`` at the threshold or above, by their whole shingle sets."""
+
+    def pairs(block: pa.Table) -> pa.Table:
+        ids, x, y, jaccard = block_links(block, threshold)
+        return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "jaccard": jaccard})
+
+    return dealt.groupBy("group", "low", "high").applyInArrow(pairs, "a long, b long, jaccard double")
 
 
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -182,13 +196,10 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     usable = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     sigs = materialize(signatures(usable, id_col, text_col), "signatures")
     classes = materialize(sigs.groupBy("key").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.count("*").alias("n_copies"), F.min("sig").alias("sig")), "copy-classes")
-    candidates = materialize(forest_pairs(classes, depths(target, threshold=threshold)), "candidates")
-    likely = materialize(likely_pairs(candidates, classes, threshold), "likely")
-    first_sets = materialize(shingle_sets(docs, id_col, text_col, materialize(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")), "shingles")
-    first = materialize(verified(likely, first_sets, threshold), "links")
-    groups = components(first)
-    more = materialize(verified(pairs_within(groups).join(likely, ["a", "b"], "left_anti"), first_sets, threshold), "links")
-    links = first.unionByName(more)
+    near = components(materialize(node_links(classes, depths(target, threshold=threshold)[-1]), "node-links"))
+    sets = shingle_sets(docs, id_col, text_col, near.select(F.col("node").alias("rep")))
+    links = materialize(listed(blocks(near, sets), threshold), "links")
+    groups = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     told = classes.select("key", "rep", "n_copies").join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     notable = told.where("n_copies > 1 OR n_links > 0").select(F.col("key").alias("k"), "rep", "n_copies", "group", "n_links")

@@ -360,6 +360,22 @@ def test_near_duplicates(spark, rows, docs, empty):
     assert near_duplicates.near_duplicate_groups(empty)[0].count() == 0
 
 
+def test_near_duplicates_that_share_a_passage(spark):
+    passage = [f"p{k}" for k in range(116)]
+    held = []
+    for k in range(800):
+        own = [f"d{k}w{j}" for j in range(16)]
+        held.append(" ".join(passage + own))
+        if k % 8 == 0:
+            own[5:] = [f"d{k}v{j}" for j in range(11)]
+            held.append(" ".join(passage + own))
+    expected, _ = brute_links(held := list(enumerate(held)))
+    members, links = near_duplicates.near_duplicate_groups(spark.createDataFrame(held, "doc_id long, text string"))
+    assert expected and {(x.a, x.b) for x in links.collect()} == expected
+    group = {x.doc_id: x.class_id for x in members.collect()}
+    assert all(group[a] == group[b] for a, b in expected)
+
+
 def test_recall_of_the_forest():
     levels = near_duplicates.depths()
     assert levels[0] == near_duplicates.DEPTH and near_duplicates.recall(levels[-1]) >= near_duplicates.RECALL
