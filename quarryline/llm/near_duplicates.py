@@ -7,7 +7,8 @@ target recall. Nodes with a member in common are one component; all pairs of its
 shingle sets, in blocks of two parts of the component, so that a pair which shares a prefix is always compared. A
 component costs the square of its size in comparisons, and its size in rows for each of its parts.
 
-Links join texts into groups.
+Links join texts into groups. Each block gives the number of links of its texts and ways that connect them; the links
+themselves are listed only when they are read, for there the rows grow with the square of a group.
 
 Defined results: a text of fewer than five words is one shingle; texts without words are copies of equal texts only;
 null texts and null ids are groups of their own; repeated rows are copies; an empty table gives none.
@@ -144,53 +145,79 @@ def blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return spread.select("group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "shingles")
 
 
-def shared_counts(sets: list[np.ndarray], n: int) -> np.ndarray:
-    """How many shingles each of the first ``n`` sets shares with each of the others; with all sets if ``n`` is their number."""
-    lens = [len(s) for s in sets]
-    row = np.repeat(np.arange(len(sets)), lens)
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, col, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = held[col] > 1  # the others are in no two sets
     row, col = row[common], (np.cumsum(held > 1) - 1)[col[common]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    some = slice(None) if n == len(sets) else slice(n, None)
-    out = np.zeros((n, len(sets) if n == len(sets) else len(sets) - n))
-    for at in range(0, int(col[-1]) + 1 if len(col) else 0, SLAB):
+    width = int(col[-1]) + 1 if len(col) else 0
+    out = np.zeros((len(sets), len(sets)))
+    for at in range(0, width, SLAB):
         i, j = np.searchsorted(col, (at, at + SLAB))
-        dense = np.zeros((len(sets), min(SLAB, int(col[-1]) + 1 - at)), dtype=np.float32)
+        dense = np.zeros((len(sets), min(SLAB, width - at)), dtype=np.float32)
         dense[row[i:j], col[i:j] - at] = 1
-        out += dense[:n] @ dense[some].T
+        out += dense @ dense.T
     return out
 
 
-def block_links(block: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(members' ids, places of the one and of the other text, jaccard) of the pairs of a block at the threshold or above; all pairs are compared."""
-    low, high = block.column("low")[0].as_py(), block.column("high")[0].as_py()
-    order = np.argsort(block.column("part").to_numpy(), kind="stable")
-    block = block.take(pa.array(order))
-    ids = block.column("rep").to_numpy()
-    n = len(ids) if low == high else int((block.column("part").to_numpy() == low).sum())
-    none = np.empty(0, dtype=np.int64)
-    if n < 1 + (low == high) or (low != high and n == len(ids)):
-        return ids, none, none, np.empty(0)
+def block_links(block: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(members' ids, places of the one and of the other text, jaccard, whether the pair is this block's own) of the pairs at the threshold or above; all pairs are compared.
+
+    A pair within one part is the own pair of the block of that part by itself only.
+    """
+    ids, part = block.column("rep").to_numpy(), block.column("part").to_numpy()
     sets = [np.frombuffer(v.as_py(), dtype=np.uint64) for v in block.column("shingles")]
-    both = shared_counts(sets, n)
+    both = shared_counts(sets)
     lens = np.array([len(s) for s in sets], dtype=np.float64)
-    jaccard = both / (lens[:n, None] + lens[None, (0 if low == high else n) :] - both)
-    x, y = np.nonzero(np.triu(jaccard >= threshold, 1) if low == high else jaccard >= threshold)
-    return ids, x, y if low == high else y + n, jaccard[x, y]
+    jaccard = both / (lens[:, None] + lens[None, :] - both)
+    x, y = np.nonzero(np.triu(jaccard >= threshold, 1))
+    alone = block.column("low")[0].as_py() == block.column("high")[0].as_py()
+    return ids, x, y, jaccard[x, y], (part[x] != part[y]) | alone
+
+
+def least_places(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels after the pairs of places have passed on the least ones."""
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        if (new == label).all():
+            return label
+        label = new
 
 
 def listed(dealt: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs ``a < b, jaccard`` at the threshold or above, by their whole shingle sets."""
 
     def pairs(block: pa.Table) -> pa.Table:
-        ids, x, y, jaccard = block_links(block, threshold)
+        ids, x, y, jaccard, own = block_links(block, threshold)
+        x, y, jaccard = x[own], y[own], jaccard[own]
         return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "jaccard": jaccard})
 
     return dealt.groupBy("group", "low", "high").applyInArrow(pairs, "a long, b long, jaccard double")
 
 
+def counted(dealt: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """What the links of each block come to, in rows that grow with its members and not with their pairs: ``a, n_links`` for each text with links, ``a, b`` for links (or ways over several) that connect the same texts."""
+
+    def sums(block: pa.Table) -> pa.Table:
+        ids, x, y, _, own = block_links(block, threshold)
+        degree = np.bincount(x[own], minlength=len(ids)) + np.bincount(y[own], minlength=len(ids))
+        linked = np.flatnonzero(degree)
+        places = np.arange(len(ids))
+        known = least_places(places, x[~own], y[~own])  # ways within one part; the part's own block tells them
+        label = least_places(known, x, y)
+        led = np.flatnonzero((known == places) & (label != places))
+        b = pa.array([None] * len(linked) + ids[led].tolist(), pa.int64())
+        n = pa.array(degree[linked].tolist() + [None] * len(led), pa.int64())
+        return pa.table({"a": pa.array(np.concatenate([ids[linked], ids[label[led]]]), pa.int64()), "b": b, "n_links": n})
+
+    return dealt.groupBy("group", "low", "high").applyInArrow(sums, "a long, b long, n_links long")
+
+
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(memberships, links). Memberships, one row for each document with id and text: ``doc_id, rep_id`` (the copy class), ``class_id`` (the group) ``, n_links, n_copies``; links: ``a, b, jaccard`` between copy classes. Ids are integers."""
     usable = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
@@ -198,9 +225,11 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     classes = materialize(sigs.groupBy("key").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.count("*").alias("n_copies"), F.min("sig").alias("sig")), "copy-classes")
     near = components(materialize(node_links(classes, depths(target, threshold=threshold)[-1]), "node-links"))
     sets = shingle_sets(docs, id_col, text_col, near.select(F.col("node").alias("rep")))
-    links = materialize(listed(blocks(near, sets), threshold), "links")
-    groups = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    dealt = blocks(near, sets)
+    links = listed(dealt, threshold)
+    sums = materialize(counted(dealt, threshold), "link-sums")
+    groups = components(sums.where("b IS NOT NULL").select("a", "b"))
+    degree = sums.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("n_links"))
     told = classes.select("key", "rep", "n_copies").join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     notable = told.where("n_copies > 1 OR n_links > 0").select(F.col("key").alias("k"), "rep", "n_copies", "group", "n_links")
     joined = sigs.select("doc_id", "key").join(notable, F.col("key") == F.col("k"), "left")

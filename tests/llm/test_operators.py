@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from urllib.parse import quote
 
 import pytest
@@ -376,6 +376,22 @@ def test_near_duplicates_that_share_a_passage(spark):
     assert all(group[a] == group[b] for a, b in expected)
 
 
+def test_links_of_a_large_group(spark):
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    held = []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(2):
+            copy[r.randrange(len(copy))] = f"x{k}y{r.randint(0, 10**6)}"
+        held.append(" ".join(copy))
+    expected, _ = brute_links(held := list(enumerate(held)))
+    members, links = near_duplicates.near_duplicate_groups(spark.createDataFrame(held, "doc_id long, text string"))
+    degree = Counter(x for pair in expected for x in pair)
+    assert {x.doc_id: x.n_links for x in members.collect()} == {k: degree[k] for k, _ in held}
+    assert sorted((x.a, x.b) for x in links.collect()) == sorted(expected)
+
+
 def test_recall_of_the_forest():
     levels = near_duplicates.depths()
     assert levels[0] == near_duplicates.DEPTH and near_duplicates.recall(levels[-1]) >= near_duplicates.RECALL
