@@ -39,6 +39,9 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\u\{?([0-9A-Fa-f]+)\}?|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, as MIME and PEM wrap it.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 EXPANDED = 64 << 20
 
 Span = tuple[str, int, int]
@@ -115,27 +118,45 @@ def _unicode(run: str) -> list[tuple[str, int]]:
     return out
 
 
-def _expand(data: bytes) -> bytes | None:
-    """Decompressed bytes, or None where these are not compressed or open beyond ``EXPANDED``."""
+def _opener(data: bytes):
+    """A decompressor for the format that the bytes begin with, or None."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and int.from_bytes(data[:2]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _member(opened, data: bytes, most: int) -> tuple[bytes, bytes]:
+    """(what the first member opens to, up to ``most`` bytes and a bit; what follows it). Of a broken member, what can be read."""
+    bounded = data[:4] != b"\x28\xb5\x2f\xfd"
+    out, at = bytearray(), 0
     try:
-        if data[:2] == b"\x1f\x8b":
-            opened = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and int.from_bytes(data[:2]) % 31 == 0:
-            opened = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            opened = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            opened = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(EXPANDED + 1)
-            return out if len(out) <= EXPANDED else None
-        else:
-            return None
-        out = opened.decompress(data, EXPANDED + 1)
-        return out if len(out) <= EXPANDED else None
+        while at < len(data) and not opened.eof and len(out) < most:
+            piece = data[at : at + 1024]  # few at a time: what came before an error stays, and zstd has no bound of its own
+            at += len(piece)
+            out += opened.decompress(piece, most - len(out)) if bounded else opened.decompress(piece)
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, zstandard.ZstdError):
-        return None
+        return bytes(out), b""
+    return bytes(out), opened.unused_data + data[at:] if opened.eof else b""
+
+
+def _expand(data: bytes) -> bytes | None:
+    """Decompressed bytes of all members or frames one after the other, and what follows them; None where these are not compressed or open beyond ``EXPANDED``."""
+    out, rest = bytearray(), data
+    while (opened := _opener(rest)) is not None:
+        made, rest = _member(opened, rest, EXPANDED + 1 - len(out))
+        out += made
+        if len(out) > EXPANDED:
+            return None
+        rest = rest.lstrip(b"\0") if _opener(rest.lstrip(b"\0")) else rest  # members may be padded
+    return bytes(out) + rest if out else None
 
 
 def _readable(data: bytes) -> str | None:
@@ -161,12 +182,33 @@ def _base64(stretch: str) -> str | None:
     return _readable(data)
 
 
+def wrapped(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of base64 over several lines: each run of such lines, and in it lines of one length with the shorter one after them, for words may stand on the lines around."""
+    for run in WRAPPED.finditer(text) if "\n" in text else ():
+        lines = [m.span() for m in LINE.finditer(text, *run.span())]
+        told = {run.span()}
+        first = 0
+        for k in range(1, len(lines) + 1):
+            size = lines[first][1] - lines[first][0]
+            now = lines[k][1] - lines[k][0] if k < len(lines) else 0
+            if now == size:
+                continue
+            last = k if 0 < now < size else k - 1
+            if last > first and size >= 16:
+                told.add((lines[first][0], lines[last][1]))
+            first = k
+        yield from sorted(told)
+
+
 def unwrap(text: str) -> Iterator[tuple[str, Mapping]]:
     """The layers directly below a text, each with the way from its spans to spans of the text."""
     if "%" in text and (layer := _pieced(text, PERCENT, _percent)):
         yield layer
     if ("\\u" in text or "\\x" in text) and (layer := _pieced(text, UNICODE, _unicode)):
         yield layer
+    for start, end in wrapped(text):
+        if (inner := _base64("".join(LINE.findall(text, start, end)))) is not None:
+            yield inner, lambda _, __, at=(start, end): at
     for m in BASE64.finditer(text):
         if (inner := _base64(m.group())) is not None:
             yield inner, lambda start, end, at=m.span(): at
