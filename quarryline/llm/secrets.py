@@ -1,7 +1,7 @@
 """Secret scans with a worklist of decoded layers.
 
 A text is scanned for secrets; each encoded stretch in it (percent escapes, Unicode escapes, base64, and compressed
-bytes below base64) is unwrapped into a further layer, which is scanned and unwrapped in turn until no layer is new.
+bytes below base64 or escapes) is unwrapped into a further layer, which is scanned and unwrapped in turn until no layer is new.
 Layers are told apart by their place and a digest of their text, so that layers which unwrap into each other end. A match in a layer is
 mapped to the stretch of the original text that it comes from: to the character for escapes, to the whole stretch for
 base64 and compression.
@@ -23,6 +23,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 import zstandard
@@ -42,6 +43,12 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines, as MIME and PEM wrap it.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: Stretches in which escapes stand for bytes, with characters that escaping leaves as they are.
+PERCENT_BYTES = re.compile(r"[!-~]+")
+UNICODE_BYTES = re.compile(r"[ -~]+")
+BYTE_ONE = re.compile(r"\\u00([0-9A-Fa-f]{2})|\\u\{0{0,4}([0-9A-Fa-f]{1,2})\}|\\x([0-9A-Fa-f]{2})|\\([nrt0\\'\"])")
+NAMED = {"n": 10, "r": 13, "t": 9, "0": 0, "\\": 92, "'": 39, '"': 34}
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 EXPANDED = 64 << 20
 
 Span = tuple[str, int, int]
@@ -159,27 +166,53 @@ def _expand(data: bytes) -> bytes | None:
     return bytes(out) + rest if out else None
 
 
-def _readable(data: bytes) -> str | None:
+def _texts(data: bytes) -> Iterator[str]:
+    """The bytes as text: as UTF-8 or else byte by byte, for patterns of secrets are ASCII; with null bytes in them as UTF-16 too."""
     try:
-        text = data.decode()
+        yield data.decode("utf-8-sig")
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        yield data.decode("latin-1")
+    if b"\0" in data:
+        yield data.decode("utf-16-le", "replace")
+        yield data.decode("utf-16-be", "replace")
+
+
+def _opened(data: bytes) -> Iterator[bytes]:
+    """Layers of compression directly within each other."""
+    seen: set[bytes] = set()
+    while (inner := _expand(data)) is not None and (digest := hashlib.sha256(inner).digest()) not in seen:
+        seen.add(digest)
+        data = inner
+        yield data
 
 
-def _base64(stretch: str) -> str | None:
+def _base64(stretch: str) -> Iterator[str]:
     body = stretch.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        body = body[:-1]  # one character holds no byte
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
-        return None
-    seen: set[bytes] = set()
-    while (inner := _expand(data)) is not None and (digest := hashlib.sha256(inner).digest()) not in seen:  # layers directly within each other
-        seen.add(digest)
-        data = inner
-    return _readable(data)
+        return
+    yield from _texts(data)
+    for inner in _opened(data):
+        yield from _texts(inner)
+
+
+def _byte_of(m: re.Match) -> str:
+    return chr(NAMED[m[4]] if m[4] else int(m[1] or m[2] or m[3], 16))
+
+
+def _escaped_bytes(text: str) -> Iterator[tuple[tuple[int, int], bytes]]:
+    """(stretch, bytes) of escapes that stand for bytes of which some open a compressed stream, from there on."""
+    held = []
+    if "%" in text:
+        held += [(m.span(), unquote_to_bytes(m.group())) for m in PERCENT_BYTES.finditer(text) if "%" in m.group()]
+    if "\\u" in text or "\\x" in text:
+        held += [(m.span(), BYTE_ONE.sub(_byte_of, m.group()).encode("latin-1")) for m in UNICODE_BYTES.finditer(text) if "\\u" in m.group() or "\\x" in m.group()]
+    for at, data in held:
+        for m in MAGIC.finditer(data):
+            yield at, data[m.start() :]
 
 
 def wrapped(text: str) -> Iterator[tuple[int, int]]:
@@ -206,12 +239,16 @@ def unwrap(text: str) -> Iterator[tuple[str, Mapping]]:
         yield layer
     if ("\\u" in text or "\\x" in text) and (layer := _pieced(text, UNICODE, _unicode)):
         yield layer
-    for start, end in wrapped(text):
-        if (inner := _base64("".join(LINE.findall(text, start, end)))) is not None:
-            yield inner, lambda _, __, at=(start, end): at
+    for at, data in _escaped_bytes(text):
+        for opened in _opened(data):
+            for inner in _texts(opened):
+                yield inner, lambda _, __, at=at: at
+    for at in wrapped(text):
+        for inner in _base64("".join(LINE.findall(text, *at))):
+            yield inner, lambda _, __, at=at: at
     for m in BASE64.finditer(text):
-        if (inner := _base64(m.group())) is not None:
-            yield inner, lambda start, end, at=m.span(): at
+        for inner in _base64(m.group()):
+            yield inner, lambda _, __, at=m.span(): at
 
 
 def to_source(ways: tuple[Mapping, ...], start: int, end: int) -> tuple[int, int]:
