@@ -34,7 +34,7 @@ RECALL = 0.998
 #: Members and bytes of shingles that a part of a component has, about; columns of shingles that are compared at a time.
 PART = 128
 PART_BYTES = 16 << 20
-SLAB = 8192
+SLAB = 2048
 
 
 def shingles(texts: list[str | None] | pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -168,6 +168,7 @@ def block_links(block: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
 
     A pair within one part is the own pair of the block of that part by itself only.
     """
+    block = block.sort_by("rep")  # so the least places are the least ids, and blocks agree on them
     ids, part = block.column("rep").to_numpy(), block.column("part").to_numpy()
     sets = [np.frombuffer(v.as_py(), dtype=np.uint64) for v in block.column("shingles")]
     both = shared_counts(sets)
