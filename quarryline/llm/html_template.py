@@ -1,20 +1,29 @@
 """HTML extraction by templates deduced from the pages of a host.
 
-Tokens are the elements of a page, told apart by their path of tags and classes, and the short text blocks outside an
-article. Over the pages of one host each token has an occurrence vector: how often it stands in each page. Tokens with
-equal vectors form an equivalence class; classes with enough support are split by the slot of another class that they
-sit in, and so nest into the host's template. What the template holds itself is boilerplate; of its remaining slots the
-one that holds the article gives the text.
+Tokens are the elements of a page, told apart by their path of tags and classes, and its text blocks, of any length,
+told apart by their element and text. Over the different pages of one host each token has an occurrence vector: how
+often it stands in each page. Tokens with equal vectors form an equivalence class. A class is valid if it stands in
+enough of the pages and its elements nest: each sits in an element of the template. Valid classes nest into the
+host's template, each in the slot of the class around it. A text block belongs to the template if its class also holds
+an element around it, so that on every page it comes exactly as often as that element; all other text fills slots and
+is what pages are extracted to. Slots that hold mostly links are menus.
 
 Vectors are never gathered: a token's vector is kept as a sum of hashes of (page, count), so that equal vectors have
-equal sums, and sums are formed where the pages are read. A host of any size is a few rows to shuffle.
+equal sums. Pages that are alike in all tokens count once. A host of any size is a few rows to shuffle.
 
-Pages without a host of their own kind (a single page, or one that lacks the template's slot) fall back to the same
-rules on the page alone.
+What is left out besides the template: elements that are no article text by tag, role or name (menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, reader comments). A name never leaves out an element with an article
+in it (unless it names comments), and in an article's own paragraphs only the names of adverts and comments count. Where
+a page has article elements (or else main elements), its text is what they hold, all of them; an article within another
+is a reader's comment. A template that would take most of a page's text is taken for copies of an article, and the page
+keeps its text.
 
-Defined results: null and empty html give empty text; malformed html is read as browsers do (unclosed paragraphs and
-inline elements end with their block, raw text of scripts and styles is skipped, an open comment runs to the end);
-repeated pages repeat their text; a null url is a host of its own.
+Pages without a template (a single page, or pages that are all alike) follow the same rules on the page alone.
+
+Defined results: null and empty html give empty text; an empty table gives an empty result; malformed html is read as
+browsers do (unclosed paragraphs and inline elements end with their block, raw text of scripts and styles is skipped, an
+open comment runs to the end); html of any length is read whole; repeated pages repeat their text; pages whose url is null
+or names no host share no template; columns of the table besides id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -38,36 +47,57 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figure figcaption table thead tbody tr td th caption".split())
 LEFT_OUT = frozenset("nav header footer aside form script style textarea title noscript template iframe svg head menu dialog button select option object canvas audio video map fieldset".split())
+_NAMED = r"(?:\A|[\s_-])(?<!has-)(?<!no-)(?<!with-)(?<!without-)(?:{})(?:\Z|[\s_-])"
+ADVERTS, COMMENTS = r"ads?|advert\w*|adsense|adslot|sponsor\w*", r"comments?|commentlist|replies|disqus|respond"
 LEFT_OUT_NAMES = re.compile(
-    r"(?:\A|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notifications?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|side-?bar|sidenav|menu\w*|nav|navbar|navigation"
-    r"|breadcrumbs?|pagination|pager|header|masthead|footer|comments?|commentlist|replies|disqus|respond|share|sharing|social|related|recommended|widget\w*|tag-?cloud|toolbar|skip-?link)(?:\Z|[\s_-])",
+    _NAMED.format(
+        rf"{ADVERTS}|promo\w*|banner|cookies?|consent|gdpr|notices?|notifications?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|side-?bar|sidenav|menu\w*|nav|navbar|navigation"
+        rf"|breadcrumbs?|pagination|pager|header|masthead|footer|{COMMENTS}|share|sharing|social|related|recommended|widget\w*|tag-?cloud|toolbar|skip-?link"
+    ),
     re.I,
 )
+#: Names that leave out a paragraph of an article, and names that leave out an element even if it has an article in it.
+LEFT_OUT_PARAGRAPHS = re.compile(_NAMED.format(f"{ADVERTS}|{COMMENTS}"), re.I)
+LEFT_OUT_ARTICLES = re.compile(_NAMED.format(f"{COMMENTS}|related|recommended"), re.I)
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ARTICLE = frozenset(("article", "main"))
-#: A text block outside articles is a token of its own up to this many characters; longer ones are content.
-SHORT_BLOCK = 200
+#: Share of a host's pages that a class stands in, share of a page's text that a template may take, share of links that makes a slot a menu.
 MIN_SUPPORT = 0.5
+MOST_TAKEN = 0.8
+MENU_SHARE = 0.5
 
 
 def _hash(*parts) -> int:
-    return xxhash.xxh64_intdigest("\0".join(map(str, parts)).encode()) - (1 << 63)
+    return xxhash.xxh64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+class _Open:
+    """An open element: ``out`` for good, ``named`` (the numbers of the elements around that only their name leaves out), the articles it is in."""
+
+    __slots__ = ("article", "link", "main", "named", "out", "path", "tag")
+
+    def __init__(self, tag: str, path: int, out: bool, named: tuple[int, ...], article: int, main: bool, link: bool):
+        self.tag, self.path, self.out, self.named, self.article, self.main, self.link = tag, path, out, named, article, main, link
 
 
 class Page:
-    """``paths``: for each element path (a hash) its count, parent, tag, whether it is left out; ``blocks``: (path, ancestors, left out, text)."""
+    """``elements``: (path, parent, tag) of those that are not left out; ``blocks``: (elements around, level of articles, in main, characters of links, text) of theirs."""
 
     def __init__(self, source: str):
-        self.paths: dict[int, list] = {}
-        self.blocks: list[tuple[tuple[int, ...], bool, bool, str]] = []
-        self._stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, left out, inside an article
+        self._elements: list[tuple[int, int, str, bool, tuple[int, ...]]] = []
+        self._blocks: list[tuple[tuple[int, ...], bool, tuple[int, ...], int, bool, int, str]] = []
+        self._stack = [_Open("", 0, False, (), 0, False, False)]
+        self._names: list[bool] = []  # of each element left out by name, whether it may be kept for an article in it
+        self._excused: set[int] = set()
         self._trail: tuple[int, ...] = ()
         self._text: list[str] = []
+        self._linked = 0
         at = 0
         while (m := TOKEN.search(source, at)) is not None:
             if m.start() > at:
-                self._text.append(source[at : m.start()])
+                self._add(source[at : m.start()])
             at = m.end()
             tag = (m[2] or "").lower()
             if not tag:
@@ -80,20 +110,28 @@ class Page:
                 end = RAW[tag].search(source, at)
                 at = end.end() if end else len(source)
                 self._close(tag)
-        self._text.append(source[at:].partition("<")[0] if re.match(r"<[A-Za-z/!]", source[at:]) else source[at:])
+        self._add(source[at:].partition("<")[0] if re.match(r"<[A-Za-z/!]", source[at:]) else source[at:])
         self._flush()
+        kept = lambda out, named: not out and all(n in self._excused for n in named)
+        self.elements = [(path, parent, tag) for path, parent, tag, out, named in self._elements if kept(out, named)]
+        self.blocks = [(trail, article, main, linked, text) for trail, out, named, article, main, linked, text in self._blocks if kept(out, named)]
+
+    def _add(self, text: str) -> None:
+        self._text.append(text)
+        if self._stack[-1].link:
+            self._linked += len(text)
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join(htmllib.unescape("".join(self._text)).split())
-            self._text = []
+            linked, self._text, self._linked = self._linked, [], 0
             if text:
-                _, _, out, article = self._stack[-1]
-                self.blocks.append((self._trail, out, article, text))
+                top = self._stack[-1]
+                self._blocks.append((self._trail, top.out, top.named, top.article, top.main, min(linked, len(text)), text))
 
     def _pop(self, k: int) -> None:
         del self._stack[k:]
-        self._trail = tuple(x[1] for x in self._stack[1:])
+        self._trail = tuple(dict.fromkeys(x.path for x in self._stack[1:]))
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "br" or tag == "wbr":
@@ -104,7 +142,7 @@ class Page:
             ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}.get(tag, ())
             holds = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",)}.get(tag, ())
             for k in range(len(self._stack) - 1, 0, -1):
-                open_tag = self._stack[k][0]
+                open_tag = self._stack[k].tag
                 if open_tag in ends or open_tag == "p" or (tag in ARTICLE and open_tag in ("nav", "header")):
                     self._pop(k)
                     if open_tag in ends:
@@ -120,151 +158,131 @@ class Page:
                 role = value.lower()
             else:
                 names += " " + value
-        _, parent, out, article = self._stack[-1]
-        path = _hash(parent, tag, re.sub(r"\d+", "0", names))
-        out = out or tag in LEFT_OUT or role in LEFT_OUT_ROLES or bool(names and tag not in ("html", "body") and LEFT_OUT_NAMES.search(names))
-        article = article or tag in ARTICLE
+        around = self._stack[-1]
+        path = _hash(around.path, tag, re.sub(r"\d+", "0", names))
+        out = around.out or (tag in LEFT_OUT and not (tag == "header" and around.article)) or role in LEFT_OUT_ROLES
+        named = around.named
+        left_out = LEFT_OUT_PARAGRAPHS if around.article and tag in PARAGRAPH else LEFT_OUT_NAMES
+        if names and tag not in ("html", "body") and left_out.search(names):
+            named = (*named, len(self._names))
+            self._names.append(LEFT_OUT_ARTICLES.search(names) is None)
+        article, main = around.article + (tag == "article"), around.main or tag == "main"
+        if tag in ARTICLE and not out and named == around.named:
+            self._excused.update(n for n in named if self._names[n])
+        link = around.link or tag == "a"
         if tag in BLOCK:
-            entry = self.paths.setdefault(path, [0, parent, tag, out])
-            entry[0] += 1
-            self._stack.append((tag, path, out, article))
+            self._elements.append((path, around.path, tag, out, named))
+            self._stack.append(_Open(tag, path, out, named, article, main, link))
         else:  # inline elements are in no path, so that bold text stays part of its block
-            self._stack.append((tag, parent, out, article))
-            if out != self._stack[-2][2]:
-                self._split()
-        self._trail = tuple(dict.fromkeys(x[1] for x in self._stack[1:]))
-
-    def _split(self) -> None:
-        """A left-out inline element: what stands before it keeps its own block's fate."""
-        top = self._stack.pop()
-        self._flush()
-        self._stack.append(top)
+            if (out, named) != (around.out, around.named):  # what stands before it keeps its own block's fate
+                self._flush()
+            self._stack.append(_Open(tag, around.path, out, named, article, main, link))
+        self._trail = tuple(dict.fromkeys(x.path for x in self._stack[1:]))
 
     def _close(self, tag: str) -> None:
         for k in range(len(self._stack) - 1, 0, -1):
-            if self._stack[k][0] == tag:
-                if tag in BLOCK or self._stack[k][2] != self._stack[k - 1][2]:
+            top, below = self._stack[k], self._stack[k - 1]
+            if top.tag == tag:
+                if tag in BLOCK or (top.out, top.named) != (below.out, below.named):
                     self._flush()
                 self._pop(k)
-                self._trail = tuple(dict.fromkeys(x[1] for x in self._stack[1:]))
                 return
-            if self._stack[k][0] in BLOCK and tag not in BLOCK:
+            if top.tag in BLOCK and tag not in BLOCK:
                 return
         if tag in BLOCK:
             self._flush()
 
-    def root(self) -> int:
-        """The content slot by the page alone: the article or main element with most text, else the deepest element with most of the page's text."""
-        mass: dict[int, int] = {}
-        for trail, out, _, text in self.blocks:
-            if not out:
-                for path in trail:
-                    mass[path] = mass.get(path, 0) + len(text)
-        return best_root({p: (e[1], e[2], e[3], mass.get(p, 0)) for p, e in self.paths.items()})
+    def content(self) -> list[tuple[tuple[int, ...], int, int, str]]:
+        """(elements around, level of articles, characters of links, text) of the blocks of all articles, else of all main elements, else of all."""
+        told = [(trail, article, linked, text) for trail, article, _, linked, text in self.blocks]
+        for kept in ([t for t in told if t[1] == 1], [t for t in told if t[1]], [t for t, b in zip(told, self.blocks, strict=True) if b[2]]):
+            if kept:
+                return kept
+        return told
 
     def tokens(self) -> dict[int, list]:
-        """Occurrence count, parent, tag, left out and characters of each token: all elements, and short blocks outside articles."""
-        found = {p: [e[0], e[1], e[2], e[3], 0] for p, e in self.paths.items()}
-        for trail, out, article, text in self.blocks:
-            if not out:
-                for path in trail:
-                    if path in found:
-                        found[path][4] += len(text)
-            if not article and not out and len(text) <= SHORT_BLOCK:
-                at = trail[-1] if trail else 0
-                found.setdefault(block_token(at, text), [0, at, "#text", out, 0])[0] += 1
+        """Count, parent, tag, characters and characters of links (of the text directly in an element) of each token."""
+        found: dict[int, list] = {}
+        for path, parent, tag in self.elements:
+            found.setdefault(path, [0, parent, tag, 0, 0])[0] += 1
+        for trail, _, _, linked, text in self.blocks:
+            at = trail[-1] if trail else 0
+            if at in found:
+                found[at][3] += len(text)
+                found[at][4] += linked
+            found.setdefault(block_token(at, text), [0, at, "#text", 0, 0])[0] += 1
         return found
 
-    def text(self, root: int | None, boilerplate: frozenset[int]) -> str:
-        if root not in self.paths:
-            root = self.root()
-        inside = [(trail, article, text) for trail, out, article, text in self.blocks if not out and (root == 0 or root in trail)]
-        own = [text for trail, article, text in inside if article or block_token(trail[-1] if trail else 0, text) not in boilerplate]
-        return "\n".join(own or (text for _, _, text in inside))  # a page that is template throughout, as one of many copies, stays whole
+    def text(self, template: frozenset[int] = frozenset()) -> str:
+        """The text of the page's slots; ``template`` has the tokens of its host's template that are no text of pages: blocks and menus."""
+        inside = self.content()
+        free = [text for trail, article, _, text in inside if block_token(trail[-1] if trail else 0, text) not in template and (article or not template.intersection(trail))]
+        if sum(map(len, free)) < (1 - MOST_TAKEN) * sum(len(t) for *_, t in inside):
+            free = [text for *_, text in inside]
+        return "\n".join(free)
 
 
 def block_token(path: int, text: str) -> int:
     return _hash(path, "#text", text)
 
 
-def best_root(elements: dict[int, tuple[int, str, bool, int]]) -> int:
-    """``elements``: parent, tag, left out and characters by path. 0 stands for the whole page."""
-    usable = {p: e for p, e in elements.items() if not e[2] and e[3] > 0}
-    articles = [p for p, e in usable.items() if e[1] in ARTICLE]
-    if articles:
-        inner = [p for p in articles if elements[p][1] == "article"] or articles
-        top = max(inner, key=lambda p: (usable[p][3], p))
-        whole = max((e[3] for e in usable.values()), default=0)
-        return top if usable[top][3] * 4 >= whole or len(articles) == 1 else max(articles, key=lambda p: (usable[p][3], p))
-    whole = sum(e[3] for e in usable.values() if e[0] not in usable)
-    at = 0
-    while True:
-        inner = [p for p, e in usable.items() if e[0] == at and e[1] not in ("p", "li", "ul", "ol", "table", "tr", "td", "th", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "dt", "dd")]
-        best = max(inner, key=lambda p: (usable[p][3], p), default=None)
-        if best is None or usable[best][3] < 0.6 * whole:
-            return at
-        at = best
-
-
-def occurrences(pages: DataFrame, id_col: str, html_col: str, host_col: str) -> DataFrame:
-    """For each batch of pages and each token: ``host, token, parent, tag, out, chars, support, vector, n_min, n_max``; the tag ``#page`` counts the pages."""
-    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(host_col).alias("host"), F.col(html_col).alias("html"))
-    schema = "host string, token long, parent long, tag string, out boolean, chars long, support long, vector long, n_min long, n_max long"
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 5]
-    names = [x.split()[0] for x in schema.split(", ")]
+def occurrences(pages: DataFrame, html_col: str, host_col: str) -> DataFrame:
+    """``host, page, tokens``: for each different page of a host its tokens, an array of (token, n, parent, tag, chars, links); ``page`` is a hash of them."""
+    rows = pages.where(F.col(host_col) != "").select(F.col(host_col).alias("host"), F.col(html_col).alias("html"))
+    one = pa.struct([("token", pa.int64()), ("n", pa.int32()), ("parent", pa.int64()), ("tag", pa.string()), ("chars", pa.int32()), ("links", pa.int32())])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            held: dict[tuple[str, int], list] = {}
-            for key, host, value in zip(*(batch.column(c) for c in ("id", "host", "html")), strict=True):
-                host, text = host.as_py(), value.as_py() or ""
-                page = _hash(key.as_py(), xxhash.xxh64_intdigest(text.encode()))
-                for token, (n, parent, tag, out, chars) in [*Page(text).tokens().items(), (0, (1, 0, "#page", False, 0))]:
-                    vector = _hash(page, n)
-                    if (h := held.get((host, token))) is None:
-                        held[host, token] = [parent, tag, out, chars, 1, vector, n, n]
-                    else:
-                        h[3] += chars
-                        h[4] += 1
-                        h[5] = (h[5] + vector + (1 << 63)) % (1 << 64) - (1 << 63)
-                        h[6], h[7] = min(h[6], n), max(h[7], n)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*((*key, *h) for key, h in held.items())) if held else [()] * len(kinds), kinds, strict=True)], names)
-
-    return rows.mapInArrow(batches, schema)
+            hosts, told, seen = [], [], set()
+            for host, value in zip(batch.column("host"), batch.column("html"), strict=True):
+                host, found = host.as_py(), Page(value.as_py() or "").tokens()
+                page = _hash(*sorted((t, x[0]) for t, x in found.items()))
+                if (host, page) not in seen:
+                    seen.add((host, page))
+                    hosts.append((host, page))
+                    told.append([{"token": t, "n": n, "parent": parent, "tag": tag, "chars": chars, "links": links} for t, (n, parent, tag, chars, links) in found.items()])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in hosts], pa.string()), pa.array([p for _, p in hosts], pa.int64()), pa.array(told, pa.list_(one))], ["host", "page", "tokens"])
+
+    return rows.mapInArrow(batches, "host string, page long, tokens array<struct<token:long,n:int,parent:long,tag:string,chars:int,links:int>>").dropDuplicates(["host", "page"])
 
 
 def summed(found: DataFrame) -> DataFrame:
-    """One row for each host and token. Vectors are summed modulo 2**64 in two halves, so that no sum overflows."""
-    low = F.sum(F.col("vector").bitwiseAND(F.lit(0xFFFFFFFF)))
-    high = F.sum(F.shiftright("vector", 32))
-    return found.groupBy("host", "token").agg(
-        F.min("parent").alias("parent"), F.min("tag").alias("tag"), F.bool_or("out").alias("out"), F.sum("chars").alias("chars"), F.sum("support").alias("support"),
-        F.xxhash64(low % F.lit(1 << 32), (high + F.floor(low / F.lit(1 << 32))) % F.lit(1 << 32)).alias("vector"),
+    """``host, token, parent, tag, chars, links, support, vector`` of the tokens that stand in two pages of a host or more; the tag ``#page`` counts the pages.
+
+    Vectors are summed modulo 2**64 in two halves, so that no sum overflows.
+    """
+    one = F.struct(F.lit(0).cast("long").alias("token"), F.lit(1).alias("n"), F.lit(0).cast("long").alias("parent"), F.lit("#page").alias("tag"), F.lit(0).alias("chars"), F.lit(0).alias("links"))
+    each = found.select("host", "page", F.explode(F.concat(F.array(one), F.col("tokens"))).alias("t"))
+    vector = F.xxhash64("page", "t.n")
+    low, high = F.sum(vector.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftright(vector, 32))
+    told = each.groupBy("host", F.col("t.token").alias("token")).agg(
+        F.min("t.parent").alias("parent"), F.min("t.tag").alias("tag"), F.sum("t.chars").alias("chars"), F.sum("t.links").alias("links"), F.count("*").alias("support"),
+        F.xxhash64(F.count("*"), low % F.lit(1 << 32), (high + F.floor(low / F.lit(1 << 32))) % F.lit(1 << 32)).alias("vector"),
     )
+    return told.where("support > 1")
 
 
 def deduce_templates(token: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
-    """``host, n_pages, tokens``: the frequent tokens of each host with two pages or more, an array of (token, parent, tag, out, chars, vector).
+    """``host, n_pages, tokens``: the frequent tokens of each host with two different pages or more, an array of (token, parent, tag, chars, links, vector).
 
     Tokens of equal ``vector`` have equal occurrence vectors. How many there are is bound by the tokens of a page, since
     each stands in its share of the host's pages.
     """
     n_pages = token.where("tag = '#page'").select(F.col("host").alias("h"), F.col("support").alias("n_pages"))
-    frequent = token.where("tag <> '#page' AND support > 1").join(n_pages, F.col("host").eqNullSafe(F.col("h"))).where(F.col("support") >= F.lit(min_support) * F.col("n_pages"))
-    vector = F.xxhash64("support", "vector").alias("vector")
-    return frequent.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.collect_list(F.struct("token", "parent", "tag", "out", "chars", vector)).alias("tokens"))
+    frequent = token.where("tag <> '#page'").join(n_pages, F.col("host").eqNullSafe(F.col("h"))).where(F.col("support") >= F.lit(min_support) * F.col("n_pages"))
+    return frequent.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.collect_list(F.struct("token", "parent", "tag", "chars", "links", "vector")).alias("tokens"))
 
 
 def nest(tokens: list[dict]) -> dict[int, tuple[int, int]]:
-    """(vector, slot) of each token that has a place in the template: its equivalence class.
+    """(vector, slot) of each token of the template: its equivalence class and the element around the class, 0 for the page.
 
-    Members of a class have one vector and sit in one slot, the nearest element around them with another vector (0 for
-    the page). A token whose parent is no part of the template has no place in it.
+    An element has a place if all elements around it have one. A text block has one if its class holds an element around
+    it; a block that no such element shares its vector with is text of pages that happen to be alike.
     """
-    by = {t["token"]: t for t in tokens}
+    by = {t["token"]: t for t in tokens if t["tag"] != "#text"}
     placed: dict[int, tuple[int, int]] = {}
-    for t in tokens:
-        chain, at = [], t["token"]
+    for token in by:
+        chain, at = [], token
         while at in by and at not in placed:
             chain.append(at)
             at = by[at]["parent"]
@@ -272,35 +290,48 @@ def nest(tokens: list[dict]) -> dict[int, tuple[int, int]]:
             continue
         for k in reversed(chain):
             parent, vector = by[k]["parent"], by[k]["vector"]
-            around = by.get(parent)
-            placed[k] = (vector, placed[parent][1] if around and around["vector"] == vector else parent)
+            placed[k] = (vector, placed[parent][1] if parent in placed and placed[parent][0] == vector else parent)
+    for t in tokens:
+        at = t["parent"]
+        while t["tag"] == "#text" and at in placed:
+            if placed[at][0] == t["vector"]:
+                placed[t["token"]] = placed[at]
+                break
+            at = by[at]["parent"]
     return placed
 
 
+def no_text(tokens: list[dict]) -> list[int]:
+    """The tokens of a template that are no text of pages: its text blocks, and elements whose slot holds mostly links."""
+    placed = nest(tokens)
+    texts = {t["token"] for t in tokens if t["tag"] == "#text"}
+    menus = {t["token"] for t in tokens if t["tag"] != "#text" and t["links"] > MENU_SHARE * t["chars"]}
+    return sorted(k for k in placed if k in texts or k in menus)
+
+
 def choose_slots(templates: DataFrame) -> DataFrame:
-    """``host, n_pages, root, boilerplate``: the content slot of each template and the text blocks that are part of it."""
+    """``host, n_pages, template``: what the template of each host takes from its pages."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            root, boilerplate = [], []
-            for tokens in batch.column("tokens").to_pylist():
-                placed = nest(tokens)
-                elements = {t["token"]: (t["parent"], t["tag"], t["out"], t["chars"]) for t in tokens if t["tag"] != "#text" and t["token"] in placed}
-                root.append((best_root(elements) if elements else 0) or None)
-                boilerplate.append([t["token"] for t in tokens if t["tag"] == "#text" and t["token"] in placed])
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("n_pages"), pa.array(root, pa.int64()), pa.array(boilerplate, pa.list_(pa.int64()))], ["host", "n_pages", "root", "boilerplate"])
+            told = [no_text(tokens.as_py()) for tokens in batch.column("tokens")]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("n_pages"), pa.array(told, pa.list_(pa.int64()))], ["host", "n_pages", "template"])
 
-    return templates.mapInArrow(batches, "host string, n_pages long, root long, boilerplate array<long>")
+    return templates.mapInArrow(batches, "host string, n_pages long, template array<long>").where("size(template) > 0")
 
 
-def _with_slots(rows: DataFrame, slots: DataFrame, pages_a_task: int = 20_000) -> DataFrame:
-    """Pages with their host's slots: broadcast within the limit, else by a shuffle that spreads large hosts over salts."""
+def _with_slots(rows: DataFrame, slots: DataFrame, pages_a_task: int = 20_000, most_large: int = 50_000) -> DataFrame:
+    """Pages with their host's template: broadcast within the limit, else by a shuffle that spreads large hosts over salts.
+
+    A large host has more than ``pages_a_task`` pages and more than one in ``most_large`` of all, so at most ``most_large`` hosts are large.
+    """
     if fits_broadcast(slots):
         return rows.join(F.broadcast(slots.withColumnRenamed("host", "h")), F.col("host").eqNullSafe(F.col("h")), "left").drop("h", "n_pages")
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n_pages") / pages_a_task)).cast("int")
+    total = slots.agg(F.sum("n_pages").alias("n")).first()["n"]
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n_pages") / max(pages_a_task, total // most_large))).cast("int")
     spread = slots.withColumn("n_salts", salts)
-    large = F.broadcast(spread.where("n_salts > 1").select(F.col("host").alias("lh"), F.col("n_salts").alias("ls")).limit(10_000))
-    salted = rows.join(large, F.col("host").eqNullSafe(F.col("lh")), "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("ls", F.lit(1))).cast("int")).drop("lh", "ls")
+    large = F.broadcast(spread.where("n_salts > 1").select(F.col("host").alias("lh"), F.col("n_salts").alias("ls")))
+    salted = rows.join(large, F.col("host").eqNullSafe(F.col("lh")), "left").withColumn("salt", F.pmod(F.xxhash64("id", "html"), F.coalesce("ls", F.lit(1))).cast("int")).drop("lh", "ls")
     copies = spread.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))).withColumnRenamed("host", "h")
     return salted.join(copies, F.col("host").eqNullSafe(F.col("h")) & (F.col("salt") == F.col("s")), "left").drop("h", "s", "salt", "n_pages", "n_salts")
 
@@ -308,13 +339,13 @@ def _with_slots(rows: DataFrame, slots: DataFrame, pages_a_task: int = 20_000) -
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_support: float = MIN_SUPPORT) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.when(F.col(url_col).isNotNull(), split_url(F.col(url_col))[0]).alias("host"))
-    templates = deduce_templates(materialize(summed(occurrences(rows, "id", "html", "host")), "occurrences"), min_support)
+    templates = deduce_templates(materialize(summed(occurrences(rows, "html", "host")), "occurrences"), min_support)
     slots = materialize(choose_slots(templates), "slots")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            texts = [Page(h or "").text(r, frozenset(b or ())) for h, r, b in zip(*(batch.column(c).to_pylist() for c in ("html", "root", "boilerplate")), strict=True)]
+            texts = [Page(h.as_py() or "").text(frozenset(t.as_py() or ())) for h, t in zip(batch.column("html"), batch.column("template"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    return _with_slots(rows, slots).select("id", "url", "html", "root", "boilerplate").mapInArrow(batches, f"page_id {id_type}, url string, text string, n_chars long")
+    return _with_slots(rows, slots).select("id", "url", "html", "template").mapInArrow(batches, f"page_id {id_type}, url string, text string, n_chars long")

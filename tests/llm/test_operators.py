@@ -251,6 +251,82 @@ def test_html_copies_of_an_article_stay(spark):
     assert {r.text for r in html_template.extract(pages).collect()} == {"Title & 1\nFirst <1> line\nSecond italic 1\none 1\ntwo 1"}
 
 
+def test_html_keeps_articles():
+    text = lambda s: html_template.Page(s).text()
+    assert text('<div class="wrap has-sidebar"><div class="sidebar">no</div><article><header><h1>T</h1></header><p class="alert">A</p><p class="ad">no</p><p>b</p><article><p>reply</p></article></article></div>') == "T\nA\nb"
+    assert text('<div class="sidebar-layout widget">x<article>y</article></div><div class="comments"><article>c</article></div>') == "y"
+    assert text('<article>a</article><article class="o">b</article><p>x') == "a\nb"
+    assert text("<main><p>m</p></main><p>x") == "m"
+    long = "word " * 300_000
+    assert text(f"<nav>n</nav><p>{long}</p>") == long.strip()
+
+
+def brute_template(pages):
+    """Template tokens of one host by explicit occurrence vectors over its different pages."""
+    found = {}
+    for source in pages:
+        tokens = html_template.Page(source).tokens()
+        found[tuple(sorted((t, x[0]) for t, x in tokens.items()))] = tokens
+    held = list(found.values())
+    vector = {t: tuple(p[t][0] if t in p else 0 for p in held) for p in held for t in p}
+    info = {t: p[t] for p in held for t in p}
+    support = {t: sum(map(bool, v)) for t, v in vector.items()}
+    frequent = {t for t in vector if len(held) > 1 and support[t] > 1 and support[t] >= 0.5 * len(held)}
+
+    def around(t):
+        while t := info[t][1]:
+            yield t
+
+    valid = {t for t in frequent if info[t][2] != "#text" and all(a in frequent for a in around(t))}
+    texts = {t for t in frequent if info[t][2] == "#text" and any(a in valid and vector[a] == vector[t] and all(b in valid for b in around(a)) for a in around(t))}
+    menus = {t for t in valid if sum(p[t][4] for p in held if t in p) > 0.5 * sum(p[t][3] for p in held if t in p)}
+    return frozenset(texts | menus)
+
+
+def some_hosts(seed=4):
+    """Pages of hosts whose boilerplate, of any length, stands in and around the article, on all or some of the pages."""
+    r = random.Random(seed)
+    words = lambda n: " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(r.randint(0, 999)) for _ in range(n))
+    pages = []
+    for host in range(8):
+        tag = r.choice(["article", "div", "main"])
+        notice, line, rare, box = words(r.choice([4, 90])), words(12), words(9), words(70)
+        body = words(80)
+        for k in range(r.choice([1, 2, 3, 9])):
+            own = body if r.random() < 0.2 else words(80)
+            parts = [f"<p>{own[:150]}</p>", f"<p>{own[150:]} <b>{words(3)}</b></p>"] + [f"<p>{words(30)}</p>" for _ in range(r.randint(0, 3))]
+            parts.insert(r.randint(0, len(parts)), f"<p>{line}</p>")
+            extra = (f"<div class=box>{box}</div>" if r.random() < 0.7 else "") + (f"<p>{rare}</p>" if r.random() < 0.3 else "")
+            links = "".join(f'<li><a href="/{j}">{words(2)}</a></li>' for j in range(r.randint(1, 4)))
+            pages.append((len(pages), f"https://h{host}.org/{k}", f"<html><body><ul>{links}</ul><section>{notice}</section>{extra}<{tag}>{''.join(parts)}</{tag}></body></html>"))
+    return pages
+
+
+def test_html_templates_against_explicit_vectors(spark, monkeypatch):
+    pages = some_hosts() + [(900, None, "<p>a</p>"), (901, "nohost", "<p>a</p>"), (902, "", "<p>a</p>")]
+    by_host = defaultdict(list)
+    for _, url, source in pages:
+        by_host[(url or "").split("/")[2] if "://" in (url or "") else None].append(source)
+    template = {h: brute_template(s) if h else frozenset() for h, s in by_host.items()}
+    expected = {i: html_template.Page(s).text(template[url.split("/")[2] if "://" in (url or "") else None]) for i, url, s in pages}
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    read = lambda: {r.page_id: r.text for r in html_template.extract(df).collect()}
+    assert read() == expected
+    assert any(template.values()) and any(html_template.Page(s).text() != expected[i] for i, _, s in pages)
+    summed = html_template.summed
+    monkeypatch.setattr(html_template, "summed", lambda found: summed(found).withColumn("vector", F.xxhash64("host", "token")))
+    assert read() != expected  # without equal vectors no class holds a text and an element around it
+
+
+def test_html_boilerplate_of_any_length(spark):
+    notice, line = "This notice stands on every page of the site. " * 8, "Read this first."
+    html = "<body><div>{n}</div><div><article><h1>Title {k}</h1><p>{l}</p><p>Text of page {k} that is long enough to be worth reading, all {k} words of it, for a page needs some text.</p></article></div></body>"
+    for tag in ("article", "div"):
+        pages = [(k, f"https://a.org/{k}", html.replace("article", tag).format(n=notice, l=line, k=k)) for k in range(8)]
+        told = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+        assert told == {k: f"Title {k}\nText of page {k} that is long enough to be worth reading, all {k} words of it, for a page needs some text." for k in range(8)}
+
+
 def test_html_shuffled_side(spark, monkeypatch):
     pages = spark.createDataFrame([(k, f"https://h{k % 3}.com/{k}", PAGE.format(k=k, main="div")) for k in range(30)], "page_id long, url string, html string")
     expected = sorted(map(tuple, html_template.extract(pages).collect()))
