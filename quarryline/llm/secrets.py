@@ -6,10 +6,18 @@ Layers are told apart by their place and a digest of their text, so that layers
 mapped to the stretch of the original text that it comes from: to the character for escapes, to the whole stretch for
 base64 and compression.
 
-Defined results: null and empty texts have no spans; spans are code points, end exclusive; equal spans found in several
-layers count once; repeated rows repeat their spans; a compressed stretch is expanded in full up to ``EXPANDED`` bytes
-and left closed beyond, which bounds memory. Base64 is tried on stretches of 16 characters or more: the shortest secret
-takes 19.
+Compressed bytes are opened whole up to ``EXPANDED`` bytes. Beyond, their stream is read in windows that overlap, so that
+memory stays bounded and nothing is left closed: a match maps to the whole compressed stretch, so it is enough that one
+window holds as much of it as the rules ask for, which ``OVERLAP`` is far above. Only an encoded stretch within such a
+stream that is longer than a window is read in parts.
+
+Base64 that follows a path or another word without a space is read from each of the four places where it can begin.
+Escapes of escapes of a depth beyond ``CHAIN`` are taken off at once, so that nesting costs its length and not its square.
+
+Defined results: null and empty texts have no spans; an empty table gives none; spans are code points, end exclusive;
+equal spans found in several layers count once; repeated rows repeat their spans; texts of any length are scanned whole;
+columns of the table besides the text come back inside ``doc``, whatever their names. Base64 is tried on stretches of 16
+characters or more: the shortest secret takes 19.
 """
 
 from __future__ import annotations
@@ -50,6 +58,14 @@ BYTE_ONE = re.compile(r"\\u00([0-9A-Fa-f]{2})|\\u\{0{0,4}([0-9A-Fa-f]{1,2})\}|\\
 NAMED = {"n": 10, "r": 13, "t": 9, "0": 0, "\\": 92, "'": 39, '"': 34}
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 EXPANDED = 64 << 20
+#: Bytes of a longer stream that are scanned together, and how many of them are scanned again with the next ones.
+WINDOW = 16 << 20
+OVERLAP = 1 << 20
+#: Escapes of an escape character, one within the other.
+CHAIN = 8
+PERCENT_CHAIN = re.compile(r"%%(?:25){%d,}(?=[0-9A-Fa-f]{2})" % CHAIN)
+UNICODE_CHAIN = re.compile(r"\\(?:u005[cC]|x5[cC]){%d,}(?=u[0-9A-Fa-f]{4}|u\{|x[0-9A-Fa-f]{2})" % CHAIN)
+JOINTS = re.compile(r"[/_+-]")
 
 Span = tuple[str, int, int]
 Mapping = Callable[[int, int], tuple[int, int]]
@@ -140,30 +156,42 @@ def _opener(data: bytes):
     return None
 
 
-def _member(opened, data: bytes, most: int) -> tuple[bytes, bytes]:
-    """(what the first member opens to, up to ``most`` bytes and a bit; what follows it). Of a broken member, what can be read."""
-    bounded = data[:4] != b"\x28\xb5\x2f\xfd"
-    out, at = bytearray(), 0
-    try:
-        while at < len(data) and not opened.eof and len(out) < most:
-            piece = data[at : at + 1024]  # few at a time: what came before an error stays, and zstd has no bound of its own
-            at += len(piece)
-            out += opened.decompress(piece, most - len(out)) if bounded else opened.decompress(piece)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, zstandard.ZstdError):
-        return bytes(out), b""
-    return bytes(out), opened.unused_data + data[at:] if opened.eof else b""
-
-
-def _expand(data: bytes) -> bytes | None:
-    """Decompressed bytes of all members or frames one after the other, and what follows them; None where these are not compressed or open beyond ``EXPANDED``."""
-    out, rest = bytearray(), data
-    while (opened := _opener(rest)) is not None:
-        made, rest = _member(opened, rest, EXPANDED + 1 - len(out))
-        out += made
-        if len(out) > EXPANDED:
-            return None
-        rest = rest.lstrip(b"\0") if _opener(rest.lstrip(b"\0")) else rest  # members may be padded
-    return bytes(out) + rest if out else None
+def _grown(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members or frames of a stream open to, one after the other, and what follows them; nothing if it begins with no known format. Of a broken member, what can be read."""
+    rest, members = memoryview(b""), 0
+    while True:
+        while len(rest) < 8 and (more := next(chunks, b"")):
+            rest = memoryview(bytes(rest) + more)
+        opened = _opener(bytes(rest[:8]))
+        if opened is None and members and (padded := bytes(rest[:1]) == b"\0" and bytes(rest).lstrip(b"\0")):  # members may be padded
+            opened = _opener(padded)
+            rest = memoryview(padded) if opened else rest
+        if opened is None:
+            if members:
+                yield bytes(rest)
+                yield from chunks
+            return
+        members += 1
+        try:
+            while not opened.eof:
+                if not len(rest) and not len(rest := memoryview(next(chunks, b""))):
+                    return
+                piece, rest = rest[:1024], rest[1024:]  # few at a time: what came before an error stays, and what comes at once is bounded
+                if made := opened.decompress(piece):
+                    yield made
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, zstandard.ZstdError):
+            return
+        rest = memoryview(opened.unused_data + bytes(rest)) if opened.unused_data else rest
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    held = bytearray()
+    for c in chunks:
+        held += c
+        while len(held) >= WINDOW + OVERLAP:
+            yield bytes(held[: WINDOW + OVERLAP])
+            del held[:WINDOW]  # an even number, so that UTF-16 stays in step
+    yield bytes(held)
 
 
 def _texts(data: bytes) -> Iterator[str]:
@@ -178,25 +206,63 @@ def _texts(data: bytes) -> Iterator[str]:
 
 
 def _opened(data: bytes) -> Iterator[bytes]:
-    """Layers of compression directly within each other."""
+    """Layers of compression directly within each other; a layer beyond ``EXPANDED`` bytes comes in windows."""
     seen: set[bytes] = set()
-    while (inner := _expand(data)) is not None and (digest := hashlib.sha256(inner).digest()) not in seen:
-        seen.add(digest)
-        data = inner
-        yield data
-
-
-def _base64(stretch: str) -> Iterator[str]:
-    body = stretch.rstrip("=").replace("-", "+").replace("_", "/")
+    layer, head = (lambda: iter((data,))), data[:8]
+    while _opener(head) is not None:
+        layer = lambda below=layer: _grown(below())
+        whole, size, head, digest = [], 0, b"", hashlib.sha256()
+        for piece in layer():
+            digest.update(piece)
+            size += len(piece)
+            head = head if len(head) >= 8 else head + piece[:8]
+            if size <= EXPANDED:
+                whole.append(piece)
+            else:
+                whole.clear()
+        if not size or digest.digest() in seen:
+            return
+        seen.add(digest.digest())
+        if size <= EXPANDED:
+            held = b"".join(whole)
+            layer = lambda held=held: iter((held,))
+            yield held
+        else:
+            yield from _windows(layer())
+
+
+def _decoded(body: str) -> bytes:
     if len(body) % 4 == 1:
         body = body[:-1]  # one character holds no byte
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        return base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
-        return
-    yield from _texts(data)
-    for inner in _opened(data):
-        yield from _texts(inner)
+        return b""
+
+
+def _base64(stretch: str) -> Iterator[tuple[str, Callable[[int], int]]]:
+    """(text, the way from a place in it to where its base64 begins in the stretch) of what a stretch holds, from its beginning or from a joint on."""
+    plain = stretch.rstrip("=")
+    body = plain.replace("-", "+").replace("_", "/")
+    data = _decoded(body)
+    for found in (data, *_opened(data)):
+        for text in _texts(found):
+            yield text, lambda _: 0
+    joints = [m.end() for m in JOINTS.finditer(plain) if len(plain) - m.end() >= 16]
+    for turn in range(4):
+        places = [q for q in joints if q % 4 == turn]
+        if not places:
+            continue
+        first = places[0]
+        data = _decoded(body[first:])
+        if turn:
+            yield data.decode("latin-1"), lambda k, places=places, first=first: places[max(0, bisect_right(places, first + k * 4 // 3) - 1)]
+        for q in places:
+            at = (q - first) // 4 * 3
+            if _opener(data[at : at + 8]) is not None:
+                for inner in _opened(data[at:]):
+                    for text in _texts(inner):
+                        yield text, lambda _, q=q: q
 
 
 def _byte_of(m: re.Match) -> str:
@@ -235,20 +301,20 @@ def wrapped(text: str) -> Iterator[tuple[int, int]]:
 
 def unwrap(text: str) -> Iterator[tuple[str, Mapping]]:
     """The layers directly below a text, each with the way from its spans to spans of the text."""
-    if "%" in text and (layer := _pieced(text, PERCENT, _percent)):
+    if "%" in text and (layer := _pieced(text, PERCENT_CHAIN, lambda run: [("%", len(run))]) or _pieced(text, PERCENT, _percent)):
         yield layer
-    if ("\\u" in text or "\\x" in text) and (layer := _pieced(text, UNICODE, _unicode)):
+    if ("\\u" in text or "\\x" in text) and (layer := _pieced(text, UNICODE_CHAIN, lambda run: [("\\", len(run))]) or _pieced(text, UNICODE, _unicode)):
         yield layer
     for at, data in _escaped_bytes(text):
         for opened in _opened(data):
             for inner in _texts(opened):
                 yield inner, lambda _, __, at=at: at
     for at in wrapped(text):
-        for inner in _base64("".join(LINE.findall(text, *at))):
+        for inner, _ in _base64("".join(LINE.findall(text, *at))):
             yield inner, lambda _, __, at=at: at
     for m in BASE64.finditer(text):
-        for inner in _base64(m.group()):
-            yield inner, lambda _, __, at=m.span(): at
+        for inner, begins in _base64(m.group()):
+            yield inner, lambda start, _, at=m.span(), begins=begins: (at[0] + begins(start), at[1])
 
 
 def to_source(ways: tuple[Mapping, ...], start: int, end: int) -> tuple[int, int]:
@@ -262,19 +328,22 @@ def deep_scan(text: str) -> tuple[list[Span], list[Span]]:
     base = scan(text)
     spans = set(base)
     seen = {((0, len(text)), hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())}
-    work: list[tuple[str, tuple[Mapping, ...]]] = [(text, ())]
-    while work:
-        layer, ways = work.pop()
-        for inner, way in unwrap(layer):
-            back = (way, *ways)
-            where = to_source(back, 0, len(inner))
-            state = (where, hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest())
-            if state in seen:
-                continue
-            seen.add(state)
-            for kind, start, end in scan(inner):
-                spans.add((kind, *to_source(back, start, end)))
-            work.append((inner, back))
+    work: list[tuple[Iterator[tuple[str, Mapping]], tuple[Mapping, ...]]] = [(unwrap(text), ())]
+    while work:  # layers are made when their turn comes, so that one of each depth is held
+        layers, ways = work[-1]
+        if (found := next(layers, None)) is None:
+            work.pop()
+            continue
+        inner, way = found
+        back = (way, *ways)
+        where = to_source(back, 0, len(inner))
+        state = (where, hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest())
+        if state in seen:
+            continue
+        seen.add(state)
+        for kind, start, end in scan(inner):
+            spans.add((kind, *to_source(back, start, end)))
+        work.append((unwrap(inner), back))
     return base, in_order(spans)
 
 
