@@ -28,15 +28,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; of repeated rows one."""
-    groups = materialize(near_duplicates.near_duplicate_groups(docs)[0].where("doc_id <> class_id OR n_copies > 1"), "groups")
-    removed = groups.where("doc_id <> class_id").select(F.col("doc_id").alias("removed_id")).distinct()
-    repeated = materialize(groups.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("repeated_id")), "repeated")
-    kept = docs.join(F.broadcast(removed) if fits_broadcast(removed) else removed, F.col("doc_id") == F.col("removed_id"), "left_anti")
-    if repeated.isEmpty():
-        return kept
-    single = kept.join(repeated, F.col("doc_id") == F.col("repeated_id"), "left_anti")
-    return single.unionByName(kept.join(repeated, F.col("doc_id") == F.col("repeated_id"), "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each group stays, the one with the smallest id; of repeated rows one.
+
+    Rows go by id and text, so that of one id with several texts only the copies go; a text that doesn't go by its id
+    (see ``near_duplicates``) stays only in a group without one that does. Null ids and null texts are groups
+    of their own and stay, as do empty texts but for copies of them; an empty table gives none.
+    """
+    told = near_duplicates.near_duplicate_groups(docs)[0].where("doc_id IS NOT NULL AND text_key IS NOT NULL AND (rep_id <> class_id OR n_copies > 1)")
+    stays = (F.col("rep_id") == F.col("class_id")) & (F.col("doc_id") == F.col("first_id"))
+    groups = materialize(told.groupBy("doc_id", "text_key").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")), "groups")
+    gone = groups.where("NOT stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    rows = docs.select(F.struct("*").alias("doc"), near_duplicates.text_key(F.col("text")).alias("key"))
+    kept = rows.join(F.broadcast(gone) if fits_broadcast(gone) else gone, (F.col("doc.doc_id") == F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    repeated = groups.where("stays AND n > 1").select(F.col("doc_id").alias("repeated_id"), F.col("text_key").alias("repeated_key"))
+    same = (F.col("doc.doc_id") == F.col("repeated_id")) & (F.col("key") == F.col("repeated_key"))
+    if not repeated.isEmpty():
+        once = kept.join(repeated, same, "left_semi").withColumn("id", F.col("doc.doc_id")).dropDuplicates(["id", "key"]).drop("id")
+        kept = kept.join(repeated, same, "left_anti").unionByName(once)
+    return kept.select("doc.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

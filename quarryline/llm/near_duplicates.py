@@ -2,16 +2,23 @@
 
 Texts are sets of shingles of five words. Equal texts form copy classes first, of which the one with the smallest id
 stands for all. A forest of ``TREES`` prefix trees holds ``DEPTH`` MinHash values of each representative in each tree,
-sorted by prefix. Matching starts at full prefixes and shortens them until texts at the threshold share one with the
-target recall. Nodes with a member in common are one component; all pairs of its members are compared by their whole
-shingle sets, in blocks of two parts of the component, so that a pair which shares a prefix is always compared. A
-component costs the square of its size in comparisons, and its size in rows for each of its parts.
+sorted by prefix. Matching starts at full prefixes. The similarities of the links found there, each weighed by the chance
+that such a link is found, tell what shorter prefixes would find; prefixes are shortened only as far as the target recall
+asks for on this corpus, with one more link at the threshold assumed so that few links tell little. Where no link is
+found prefixes go down to the length that meets the target for a pair at the threshold itself.
+
+Nodes with a member in common are one component; all pairs of its members are compared by their whole shingle sets, in
+blocks of two parts of the component, so that a pair which shares a prefix is always compared. A component costs the
+square of its size in comparisons, and its size in rows for each of its parts.
 
 Links join texts into groups. Each block gives the number of links of its texts and ways that connect them; the links
 themselves are listed only when they are read, for there the rows grow with the square of a group.
 
-Defined results: a text of fewer than five words is one shingle; texts without words are copies of equal texts only;
-null texts and null ids are groups of their own; repeated rows are copies; an empty table gives none.
+Defined results: ids are integers, others are refused; a text of fewer than five words is one shingle; texts without
+words are copies of equal texts only; null texts and null ids are groups of their own; repeated rows are copies; texts
+of any length are compared whole; an empty table gives none; columns besides id and text are not read. Where one id has
+several texts, each is a class of its own: the text with the least digest goes by the id, each other by a number of its
+own above 2**62.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarryline.llm._common import fits_broadcast, materialize
 from quarryline.llm.wordhash import groups, run_hashes, word_hashes
@@ -64,10 +72,18 @@ def recall(depth: int, trees: int = TREES, threshold: float = THRESHOLD) -> floa
     return 1 - (1 - threshold**depth) ** trees
 
 
-def depths(target: float = RECALL, trees: int = TREES, deepest: int = DEPTH, threshold: float = THRESHOLD) -> list[int]:
-    """Prefix lengths from the longest on, by steps of two, ending with the longest that meets the target recall (1 if none does)."""
-    last = next((d for d in range(deepest, 0, -1) if recall(d, trees, threshold) >= target), 1)
-    return sorted({*range(deepest, last, -2), last}, reverse=True)
+def shortest(target: float = RECALL, trees: int = TREES, deepest: int = DEPTH, threshold: float = THRESHOLD) -> int:
+    """The longest prefix that meets the target recall for a pair at the threshold, 1 if none does."""
+    return next((d for d in range(deepest, 0, -1) if recall(d, trees, threshold) >= target), 1)
+
+
+def adapted(found: dict[float, int], target: float = RECALL, trees: int = TREES, deepest: int = DEPTH, threshold: float = THRESHOLD) -> int:
+    """The longest prefix that meets the target recall over the links of the corpus, from the number of links by similarity (its lower bound) found at full prefixes."""
+    if not found:
+        return shortest(target, trees, deepest, threshold)
+    there = [(j, n / recall(deepest, trees, j)) for j, n in {**found, threshold: found.get(threshold, 0) + 1}.items()]
+    total = sum(n for _, n in there)
+    return next((d for d in range(deepest, 0, -1) if sum(n * recall(d, trees, j) for j, n in there) >= target * total), 1)
 
 
 def text_key(text: Column) -> Column:
@@ -77,6 +93,8 @@ def text_key(text: Column) -> Column:
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, key, sig`` (null for a text without words)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    if not isinstance(rows.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError(f"{id_col}: ids must be integers")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,16 +118,25 @@ def node_links(reps: DataFrame, depth: int) -> DataFrame:
     return nodes.join(shared, "node").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
 
 
+def copy_classes(sigs: DataFrame) -> DataFrame:
+    """``key, doc, rep, n_copies, sig``: one row for each different text; ``doc`` is the smallest id that has it and ``rep`` the number that it goes by."""
+    classes = materialize(sigs.groupBy("key").agg(F.min(F.col("doc_id").cast("long")).alias("doc"), F.count("*").alias("n_copies"), F.min("sig").alias("sig")), "copy-classes")
+    clashes = materialize(classes.groupBy("doc").agg(F.count("*").alias("n"), F.min("key").alias("own")).where("n > 1").select(F.col("doc").alias("clash"), "own"), "clashes")
+    met = classes.join(F.broadcast(clashes) if fits_broadcast(clashes) else clashes, F.col("doc") == F.col("clash"), "left")
+    other = F.lit(1 << 62) + F.xxhash64("doc", "key").bitwiseAND(F.lit((1 << 62) - 1))
+    return met.select("key", "doc", F.when(F.col("own") != F.col("key"), other).otherwise(F.col("doc")).alias("rep"), "n_copies", "sig")
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """``rep, shingles`` of the documents ``wanted(rep)``, one row for each."""
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    """``rep, shingles`` of the texts ``wanted(rep, doc, key)``, one row for each."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     few = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in shingles(batch.column("text"))], pa.binary())], ["rep", "shingles"])
 
-    return rows.join(few, "rep", "left_semi").mapInArrow(batches, "rep long, shingles binary").dropDuplicates(["rep"])
+    return rows.join(few, ["doc", "key"]).select("rep", "text").mapInArrow(batches, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,46 +229,62 @@ def listed(dealt: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def counted(dealt: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """What the links of each block come to, in rows that grow with its members and not with their pairs: ``a, n_links`` for each text with links, ``a, b`` for links (or ways over several) that connect the same texts."""
+    """What the links of each block come to, in rows that grow with its members and not with their pairs: ``a, n_links`` for each text with links, ``a, b`` for links (or ways over several) that connect the same texts, ``percent, n_links`` for the links of a similarity."""
 
     def sums(block: pa.Table) -> pa.Table:
-        ids, x, y, _, own = block_links(block, threshold)
+        ids, x, y, jaccard, own = block_links(block, threshold)
         degree = np.bincount(x[own], minlength=len(ids)) + np.bincount(y[own], minlength=len(ids))
         linked = np.flatnonzero(degree)
         places = np.arange(len(ids))
         known = least_places(places, x[~own], y[~own])  # ways within one part; the part's own block tells them
         label = least_places(known, x, y)
         led = np.flatnonzero((known == places) & (label != places))
-        b = pa.array([None] * len(linked) + ids[led].tolist(), pa.int64())
-        n = pa.array(degree[linked].tolist() + [None] * len(led), pa.int64())
-        return pa.table({"a": pa.array(np.concatenate([ids[linked], ids[label[led]]]), pa.int64()), "b": b, "n_links": n})
+        percent, many = np.unique(np.floor(100 * jaccard[own]).astype(np.int32), return_counts=True)
+        rows = [(a, None, n, None) for a, n in zip(ids[linked].tolist(), degree[linked].tolist(), strict=True)]
+        rows += [(a, b, None, None) for a, b in zip(ids[label[led]].tolist(), ids[led].tolist(), strict=True)]
+        rows += [(None, None, n, p) for p, n in zip(percent.tolist(), many.tolist(), strict=True)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["a", "b", "n_links", "percent"])
+
+    return dealt.groupBy("group", "low", "high").applyInArrow(sums, "a long, b long, n_links long, percent int")
+
 
-    return dealt.groupBy("group", "low", "high").applyInArrow(sums, "a long, b long, n_links long")
+def compared(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, depth: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(blocks, their sums) of the components of prefixes of ``depth``."""
+    near = components(materialize(node_links(classes, depth), "node-links"))
+    wanted = classes.select("rep", "doc", "key").join(near.select(F.col("node").alias("rep")), "rep", "left_semi")
+    dealt = blocks(near, shingle_sets(docs, id_col, text_col, wanted))
+    return dealt, materialize(counted(dealt, threshold), "link-sums")
 
 
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(memberships, links). Memberships, one row for each document with id and text: ``doc_id, rep_id`` (the copy class), ``class_id`` (the group) ``, n_links, n_copies``; links: ``a, b, jaccard`` between copy classes. Ids are integers."""
+    """(memberships, links). Memberships, one row for each document with id and text: ``doc_id, rep_id`` (the copy class), ``class_id`` (the group) ``, n_links, n_copies, first_id`` (the smallest id of the copy class) ``, text_key``; links: ``a, b, jaccard`` between copy classes."""
     usable = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     sigs = materialize(signatures(usable, id_col, text_col), "signatures")
-    classes = materialize(sigs.groupBy("key").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.count("*").alias("n_copies"), F.min("sig").alias("sig")), "copy-classes")
-    near = components(materialize(node_links(classes, depths(target, threshold=threshold)[-1]), "node-links"))
-    sets = shingle_sets(docs, id_col, text_col, near.select(F.col("node").alias("rep")))
-    dealt = blocks(near, sets)
+    classes = materialize(copy_classes(sigs), "classes")
+    dealt, sums = compared(usable, id_col, text_col, classes, DEPTH, threshold)
+    found = {r["percent"] / 100: r["n"] for r in sums.where("percent IS NOT NULL").groupBy("percent").agg(F.sum("n_links").alias("n")).collect()}  # a row for each percent
+    depth = adapted({max(threshold, j): n for j, n in found.items()}, target, threshold=threshold)
+    if depth < DEPTH:
+        dealt, sums = compared(usable, id_col, text_col, classes, depth, threshold)
     links = listed(dealt, threshold)
-    sums = materialize(counted(dealt, threshold), "link-sums")
     groups = components(sums.where("b IS NOT NULL").select("a", "b"))
-    degree = sums.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("n_links"))
-    told = classes.select("key", "rep", "n_copies").join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    notable = told.where("n_copies > 1 OR n_links > 0").select(F.col("key").alias("k"), "rep", "n_copies", "group", "n_links")
+    degree = sums.where("a IS NOT NULL AND b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("n_links"))
+    told = classes.select("key", "doc", "rep", "n_copies").join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    notable = told.where("n_copies > 1 OR n_links > 0 OR rep <> doc").select(F.col("key").alias("k"), "doc", "rep", "n_copies", "group", "n_links")
     joined = sigs.select("doc_id", "key").join(notable, F.col("key") == F.col("k"), "left")
+    own = F.col("doc_id").cast("long")
     memberships = joined.select(
         "doc_id",
-        F.coalesce("rep", F.col("doc_id").cast("long")).alias("rep_id"),
-        F.coalesce("group", "rep", F.col("doc_id").cast("long")).alias("class_id"),
+        F.coalesce("rep", own).alias("rep_id"),
+        F.coalesce("group", "rep", own).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce("doc", own).alias("first_id"),
+        F.col("key").alias("text_key"),
     )
-    alone = docs.where(F.col(id_col).isNull() | F.col(text_col).isNull()).select(
-        F.col(id_col).alias("doc_id"), F.col(id_col).cast("long").alias("rep_id"), F.col(id_col).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")
+    id_ = F.col(id_col)
+    alone = docs.where(id_.isNull() | F.col(text_col).isNull()).select(
+        id_.alias("doc_id"), id_.cast("long").alias("rep_id"), id_.cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), id_.cast("long").alias("first_id"), text_key(F.col(text_col)).alias("text_key")
     )
     return memberships.unionByName(alone), links

@@ -39,7 +39,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents"))[0]
+    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents"))[0].drop("first_id", "text_key")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

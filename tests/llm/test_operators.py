@@ -472,9 +472,28 @@ def test_links_of_a_large_group(spark):
 
 
 def test_recall_of_the_forest():
-    levels = near_duplicates.depths()
-    assert levels[0] == near_duplicates.DEPTH and near_duplicates.recall(levels[-1]) >= near_duplicates.RECALL
-    assert near_duplicates.depths(target=1.1)[-1] == 1
+    n = near_duplicates
+    assert n.recall(n.shortest()) >= n.RECALL and n.shortest(target=1.1) == 1
+    assert n.adapted({}) == n.shortest() == 4
+    assert n.adapted({0.97: 10**6}) == n.DEPTH  # full prefixes find such links
+    assert n.adapted({0.8: 1000}) == n.shortest()
+    assert n.adapted({0.88: 1000}) in (5, 6, 7)
+    assert n.adapted({0.97: 3}) < n.DEPTH  # few links tell little
+    assert sum(n.recall(n.adapted(f), threshold=j) * k for f in ({0.85: 500, 0.95: 500},) for j, k in f.items()) >= n.RECALL * 1000
+
+
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    a, other = "a b c d e f g h i j k l m n", "q r s t u v w x y z"
+    rows = [(5, a), (5, other), (6, a + " o"), (7, other), (5, a)]
+    members = near_duplicates.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.8)[0].collect()
+    text = {tuple(near): t for t in (a, other, a + " o") for near in [hashlib.md5(t.encode()).digest()]}
+    by = defaultdict(set)
+    for m in members:
+        by[m.class_id].add(text[tuple(m.text_key)])
+    assert sorted(map(sorted, by.values())) == sorted([sorted({a, a + " o"}), [other]]) and 5 in by
+    assert {m.n_links for m in members if text[tuple(m.text_key)] == other} == {0}
+    with pytest.raises(TypeError):
+        near_duplicates.near_duplicate_groups(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
 
 
 def test_components_of_a_long_path(spark):

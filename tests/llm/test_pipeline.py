@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarryline.llm import queries
@@ -43,6 +44,13 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [5, 6]
 
 
+def test_only_copies_of_an_id_go(spark):
+    a, other = "a b c d e f g h i j k l m n", "q r s t u v w x y z"
+    docs = spark.createDataFrame([(5, a, 1), (5, other, 2), (6, a + " o", 3), (7, other, 4), (5, a, 1), (8, None, 5), (8, None, 6), (None, a, 7)], "doc_id long, text string, text_key int").withColumns({"key": F.lit("clash"), "doc": F.lit("clash")})
+    kept = sorted(r.text_key for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert kept in ([1, 2, 5, 6, 7], [2, 3, 5, 6, 7])  # one of each group
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, name):
