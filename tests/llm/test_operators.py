@@ -363,17 +363,45 @@ def test_substring_dedup(docs, rows, empty):
 
 
 def test_fingerprint_index(spark):
-    """Runs grow, match and compact; compaction changes no match."""
+    """Runs grow, match and merge level by level; merging changes no match and shuffles nothing."""
     rows = lambda *p: spark.createDataFrame(list(p), "fp long, doc_id long")
-    index = substring_dedup.FingerprintIndex(spark, 4)
-    assert index.add(rows((1, 1), (2, 1), (2, 2))).distinct().count() == 2
-    assert sorted(map(tuple, index.add(rows((1, 3), (5, 3))).distinct().collect())) == [(1, 1), (1, 3)]
-    assert len(index.runs) == 2
+    index = substring_dedup.FingerprintIndex(spark, 4, fanout=2)
+    found = lambda *p: sorted({r.fp for r in index.add(rows(*p))[1].collect()})
+    assert found((1, 1), (2, 1), (2, 2)) == [2]
+    assert found((1, 3), (5, 3)) == [1]
+    assert [level for level, _ in index.runs] == [0, 0]
     index.compact()
-    assert len(index.runs) == 1
-    assert sorted(map(tuple, index.add(rows((5, 4), (9, 4))).distinct().collect())) == [(5, 3), (5, 4)]
+    assert [level for level, _ in index.runs] == [1]
+    assert sorted(map(tuple, index.run(index.runs[0][1]).collect())) == [(1, 1, 3), (2, 1, 2), (5, 3, 3)]
+    assert found((5, 4), (9, 4)) == [5]
+    again = substring_dedup.FingerprintIndex(spark, path=index.path, fanout=2)
+    assert again.runs == sorted(index.runs) and again.batches == index.batches and again.buckets == 4
+    number = again.add(rows((9, 5), (1, 6)))[0]
+    merge = again.run(again.runs[0][1]).join(again.run(number).hint("merge"), "fp", "full")
+    assert "Exchange" not in merge._jdf.queryExecution().executedPlan().toString()
+    again.compact()
+    assert [level for level, _ in again.runs] == [2]
+    again.drop()
+    assert again.runs == []
+
+
+def test_substring_dedup_between_calls(spark):
+    """Calls with one index remove what one call on all rows removes."""
+    texts = some_texts(50, seed=8)
+    held = list(enumerate(texts)) + [(60, texts[7]), (61, texts[9] + " tail " + texts[20]), (62, None), (63, "")]
+    index = substring_dedup.FingerprintIndex(spark, 4, fanout=2, texts=True)
+    told = []
+    for low, high in ((0, 20), (20, 45), (45, 100)):
+        docs = spark.createDataFrame([(i, t) for i, t in held if low <= i < high], "doc_id long, text string")
+        if low == 45:
+            index = substring_dedup.FingerprintIndex(spark, path=index.path, fanout=2)  # as another session would
+        told += substring_dedup.digest(substring_dedup.remove_repeats(docs, index=index, batches=1)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in told) == brute_repeats(held)
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(docs, index=substring_dedup.FingerprintIndex(spark, 4))
+    with pytest.raises(TypeError):
+        substring_dedup.remove_repeats(docs.withColumn("doc_id", F.lit("x")))
     index.drop()
-    assert index.runs == []
 
 
 # 6 ------------------------------------------------------------------------------------------------------------------
