@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm._common import delete, fits_broadcast, materialize, shared_dir
+from quarryline.llm._common import delete, fits_broadcast, materialize, shared_dir, written_once
 from quarryline.llm.near_duplicates import text_key
 from quarryline.llm.wordhash import ROLL, groups, run_hashes, running_min, within, word_hashes, words_of
 
@@ -89,7 +89,8 @@ def document_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFr
 def bucketed(rows: DataFrame, table: str, path: str, buckets: int, by: str, sort: list[str] | None = None) -> None:
     """Writes rows that are dealt by ``by`` as a bucketed table of the session's catalog, whose files lie at ``path``."""
     writer = (rows.sortWithinPartitions(*sort) if sort else rows).write.option("path", path).bucketBy(buckets, by)
-    (writer.sortBy(*sort) if sort else writer).saveAsTable(table)
+    with written_once(rows.sparkSession):
+        (writer.sortBy(*sort) if sort else writer).saveAsTable(table)
 
 
 class FingerprintIndex:
