@@ -351,14 +351,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         number, found = held.add(document_fingerprints(batch, "doc_id", "text"), _texts_of(batch) if index is not None else None)
         added.append(number)
         matched = found if matched is None else matched.unionAll(found)
-    windows = matched_windows(_texts_of(own), wanted_fingerprints(held.documents(added), matched.select("fp").distinct()))
+    wanted = materialize(wanted_fingerprints(held.documents(added), matched.select("fp").distinct()), "wanted")
+    earlier = wanted_fingerprints(held.documents(history), matched.where(F.col("before").isin(old_runs)).select("fp").distinct()) if history else None
+    if index is None:
+        held.drop()  # the tables to come need the space
+    windows = matched_windows(_texts_of(own), wanted)
     if history:
-        earlier = matched.where(F.col("before").isin(old_runs)).select("fp").distinct()
-        windows = windows.unionAll(matched_windows(held.kept_texts(history), wanted_fingerprints(held.documents(history), earlier), earlier=True))
+        windows = windows.unionAll(matched_windows(held.kept_texts(history), earlier, earlier=True))
     repeats = repeated_places(spark, windows, held.buckets).where(F.col("doc_id") != EARLIER)
-    if index is None:
-        held.drop()
-    else:
+    if index is not None:
         held.compact()
     marks = repeats.unionByName(copies.select(F.col("copy_id").alias("doc_id"), F.col("copy_hash").alias("text_hash"), F.lit(None).cast("array<int>").alias("starts")))
     return without_repeats(docs, id_col, text_col, marks, docs.columns if keep is None else keep)
