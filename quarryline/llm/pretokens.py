@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 from collections.abc import Callable, Iterable, Iterator
@@ -18,6 +19,8 @@ LONG_TEXT = 1 << 21
 BLOCK = 100_000
 #: Entries after which a cache of pre-tokens starts anew. It changes no result.
 CACHE_ENTRIES = 1_000_000
+#: Bytes beyond which a pre-token is merged by itself: rounds over all its symbols would cost the square of its length.
+LONG_PIECE = 2048
 #: Characters of texts whose unknown pre-tokens are resolved together.
 GROUP = 1 << 20
 
@@ -61,6 +64,7 @@ class MergeTable:
         self.size = max(vocab.values()) + 1
         self.of_byte = np.array([vocab[c] for c in byte_alphabet()], dtype=np.int64)
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], dtype=np.int64)
+        self._pairs: dict[int, tuple[int, int]] | None = None
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), np.array([vocab[a + b] for a, b in merges], dtype=np.int64)[order]
 
@@ -68,11 +72,15 @@ class MergeTable:
         """Symbols that survive in each non-empty piece.
 
         All pieces lie in one ragged array. In each round every piece applies its own lowest-rank pair, at all its places
-        at once and left to right where they overlap; pieces without a pair leave the array.
+        at once and left to right where they overlap; pieces without a pair leave the array. Long pieces go one by one.
         """
         out = np.array([len(p) for p in pieces], dtype=np.int64)
-        ids = self.of_byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        lens, which = out.copy(), np.arange(len(pieces))
+        short = out <= LONG_PIECE
+        for k in np.flatnonzero(~short).tolist():
+            out[k] = self.count_long(pieces[k])
+        which = np.flatnonzero(short)
+        lens = out[which]
+        ids = self.of_byte[np.frombuffer(b"".join(pieces[k] for k in which.tolist()), dtype=np.uint8)]
         none = np.iinfo(np.int64).max
         while len(ids):
             starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
@@ -100,6 +108,32 @@ class MergeTable:
             ids, lens, which = ids[keep], lens[live], which[live]
         return out
 
+    def count_long(self, piece: bytes) -> int:
+        """The same for one long piece: its pairs in a heap by rank and place, its symbols in a linked list, so that it costs n log n."""
+        if self._pairs is None:
+            self._pairs = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+        pairs, size = self._pairs, self.size
+        ids = self.of_byte[np.frombuffer(piece, dtype=np.uint8)].tolist()
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(pairs[key][0], k, key) for k in range(n - 1) if (key := ids[k] * size + ids[k + 1]) in pairs]
+        heapq.heapify(heap)
+        left = n
+        while heap:
+            _, k, key = heapq.heappop(heap)
+            other = after[k]
+            if ids[k] < 0 or other < 0 or ids[k] * size + ids[other] != key:
+                continue  # one of the two has been merged since
+            ids[k], ids[other] = pairs[key][1], -1
+            after[k] = after[other]
+            if after[k] >= 0:
+                before[after[k]] = k
+            left -= 1
+            for at in (before[k], k):
+                if at >= 0 and after[at] >= 0 and (new := ids[at] * size + ids[after[at]]) in pairs:
+                    heapq.heappush(heap, (pairs[new][0], at, new))
+        return left
+
 
 class Cached:
     """Values of pre-tokens: known ones from a dictionary, unknown ones of a block resolved together."""

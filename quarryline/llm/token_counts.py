@@ -1,7 +1,8 @@
 """Token counts by rank-synchronous merging in ragged numpy arrays (see ``pretokens.MergeTable.count``).
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings inside a text count as the one token
-that the library makes of them; texts are never cut; rows are independent, so repeated rows repeat their counts.
+that the library makes of them; texts and words of any length are counted whole, in n log n steps; rows are independent, so
+repeated rows repeat their counts; an empty table gives an empty result; columns besides id and text are not read.
 """
 
 from __future__ import annotations
