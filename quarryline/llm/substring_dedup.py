@@ -47,7 +47,7 @@ BATCHES = 2
 EARLIER = -(1 << 63)
 #: Packed texts opened at a time, and windows of texts that are settled together.
 PACKED = 256
-TOGETHER = 500_000
+TOGETHER = 300_000
 
 
 def fingerprints(hashes: np.ndarray, window: int = WINDOW, inner: int = INNER) -> np.ndarray:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters of texts that are hashed together; a longer text is hashed alone, in pieces cut at white space.
-GROUP = 1 << 20
+GROUP = 1 << 19
 #: Texts of an Arrow column that are unpacked at a time.
 SLICE = 256
 #: Odd multipliers: one for bytes and one for words of each independent hash, and two for the final mixing.
