@@ -3,7 +3,8 @@
 The index holds one posting ``(term, doc_id, text_hash, pos)`` for each occurrence of a term in the training text. Only
 terms that a test phrase reads are stored. Which those are follows from corpus counts: every phrase is looked up from
 its rarest terms. Offset-adjusted lists are intersected rarest first; what is left is compared word by word, so that
-matches are exact. Everything is DataFrame code.
+matches are exact. With ``slop`` the same lists also give proximity matches: places where all terms of a phrase lie, in any
+order, at most ``slop`` words from an occurrence of its rarest term. Everything is DataFrame code.
 
 Defined results: null and empty texts have no words and no hits; an item without words matches nothing; an item with a
 null id marks words but is not listed; repeated rows are separate documents with equal results; a null ``doc_id`` is
@@ -98,45 +99,52 @@ def intersect(index: DataFrame, plan: DataFrame, lists: int = 2) -> DataFrame:
     return places.drop("lookups")
 
 
-def proximity_matches(index: DataFrame, plan: DataFrame, slop: int) -> DataFrame:
-    """Documents where all terms of a phrase lie, in any order, at most ``slop`` words from an occurrence of its rarest term: ``phrase_id, doc_id, text_hash, pos`` (of the rarest term).
+def near_places(index: DataFrame, plan: DataFrame, slop: int, lists: int = 2) -> DataFrame:
+    """Candidates for proximity ``phrase, items, doc_id, text_hash, start``: places of each phrase's rarest term that have its next rarest terms, up to ``lists`` in all, at most ``slop`` words away.
 
-    ``index`` must hold all terms of the phrases. Positions are joined by bins of ``slop`` words, so that a frequent term
-    in a long text meets only its surroundings.
+    Positions meet by bins of ``slop`` words, so that a frequent term in a long text meets only its surroundings.
     """
     width = max(1, int(slop))
-    seed = plan.select("phrase_id", F.col("lookups")[0]["term"].alias("term"), F.array_distinct("lookups.term").alias("terms"))
-    anchor = _by_term(index, seed, "inner").select("phrase_id", "doc_id", "text_hash", "pos", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    around = anchor.withColumn("bin", F.explode(F.array(*[F.floor(F.col("pos") / width) + k for k in (-1, 0, 1)])))
-    listed = index.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("pos").alias("p"), F.floor(F.col("pos") / width).alias("b")).distinct()
-    near = around.join(listed, (F.col("term") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("bin") == F.col("b")) & (F.abs(F.col("p") - F.col("pos")) <= slop))
-    return (
-        near.groupBy("phrase_id", "doc_id", "text_hash", "pos", "n_terms")
-        .agg(F.count_distinct("term").alias("met"))
-        .where("met = n_terms")
-        .select("phrase_id", "doc_id", "text_hash", "pos")
-    )
+    seed = plan.select("phrase", "items", "lookups", F.col("lookups")[0]["term"].alias("term"))
+    places = _by_term(index, seed, "inner").select("phrase", "items", "lookups", "doc_id", "text_hash", F.col("pos").alias("start"))
+    listed = index.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("pos").alias("p"), F.explode(F.array(*[F.floor(F.col("pos") / width) + k for k in (-1, 0, 1)])).alias("b"))
+    for k in range(1, lists):
+        short = places.where(F.size("lookups") <= k)
+        rest = places.where(F.size("lookups") > k).withColumns({"next": F.col("lookups")[k]["term"], "bin": F.floor(F.col("start") / width)})
+        met = (F.col("next") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("bin") == F.col("b")) & (F.abs(F.col("p") - F.col("start")) <= slop)
+        places = rest.join(listed, met, "left_semi").drop("next", "bin").unionByName(short)
+    return places.drop("lookups")
 
 
-def _hits(docs: DataFrame, id_col: str, text_col: str, places: DataFrame) -> DataFrame:
-    """``doc`` (the row of ``docs``), ``n_words`` and ``hits``: the places whose words are the phrase's, ordered by start."""
-    found = places.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "phrase", "items"))).alias("places"))
+def _hits(docs: DataFrame, id_col: str, text_col: str, places: DataFrame, slop: int | None) -> DataFrame:
+    """``doc`` (the row of ``docs``), ``n_words``, ``hits`` (the places whose words are the phrase's, by start) and with ``slop`` ``near`` (the places that have them around, by place)."""
+    found = places.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "phrase", "items", "near"))).alias("places"))
     keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
     met = keyed.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
     joined = met.select("doc", "places", words_of(F.col("doc")[text_col]).alias("words"))  # after the join: word arrays are larger than texts
-    exact = F.filter(F.col("places"), lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["phrase"])) == c["phrase"])
-    return joined.select("doc", F.size("words").cast("long").alias("n_words"), F.coalesce(exact, F.array()).alias("hits"))
-
-
-def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, lists: int = 2) -> DataFrame:
-    """For each row of ``docs``: ``doc`` (the row as a struct), ``n_words``, ``hits`` (array of start, phrase, items), ``n_hit`` (words inside a hit) and ``item_ids``."""
+    exact = F.filter(F.col("places"), lambda c: ~c["near"] & (F.slice(F.col("words"), c["start"] + 1, F.size(c["phrase"])) == c["phrase"]))
+    plain = lambda c: F.struct(c["start"].alias("start"), c["phrase"].alias("phrase"), c["items"].alias("items"))
+    told = {"n_words": F.size("words").cast("long"), "hits": F.transform(F.coalesce(exact, F.array()), plain)}
+    if slop is not None:
+        around = lambda c: F.slice(F.col("words"), F.greatest(c["start"] + 1 - slop, F.lit(1)), F.lit(slop + 1) + F.least(c["start"], F.lit(slop)))
+        told["near"] = F.transform(F.coalesce(F.filter(F.col("places"), lambda c: c["near"] & (F.size(F.array_except(c["phrase"], around(c))) == 0)), F.array()), plain)
+    return joined.select("doc", *(c.alias(n) for n, c in told.items()))
+
+
+def find_contamination(
+    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, lists: int = 2, slop: int | None = None
+) -> DataFrame:
+    """For each row of ``docs``: ``doc`` (the row as a struct), ``n_words``, ``hits`` (array of start, phrase, items), ``n_hit`` (words inside a hit) and ``item_ids``; with ``slop`` also ``near`` (as hits, but with the place of the rarest term) and ``near_item_ids``."""
     phrases = materialize(phrases_of(items, item_col, item_text_col, window), "phrases")
     vocabulary = materialize(phrases.select(F.explode("phrase").alias("term")).distinct(), "vocabulary")
     counts = materialize(term_counts(docs, text_col, vocabulary), "term-counts")
     plan = materialize(plan_phrases(phrases, counts), "phrase-plan")
     read = materialize(plan.select(F.explode(F.slice("lookups.term", 1, lists)).alias("term")).distinct(), "rarest-terms")
     index = materialize(postings(docs, id_col, text_col, read), "postings")
-    places = materialize(intersect(index, plan, lists), "places")
+    places = intersect(index, plan, lists).select("doc_id", "text_hash", "start", "phrase", "items", F.lit(False).alias("near"))
+    if slop is not None:
+        places = places.unionByName(near_places(index, plan, slop, lists).withColumn("near", F.lit(True)))
+    places = materialize(places, "places")
     covered = F.aggregate(
         F.col("hits"),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
@@ -146,12 +154,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
         ),
         lambda acc: acc["n"],
     )
-    return _hits(docs, id_col, text_col, places).withColumns({"n_hit": covered.cast("long"), "item_ids": F.array_distinct(F.flatten("hits.items"))})
+    told = _hits(docs, id_col, text_col, places, slop).withColumns({"n_hit": covered.cast("long"), "item_ids": F.array_distinct(F.flatten("hits.items"))})
+    return told if slop is None else told.withColumn("near_item_ids", F.array_distinct(F.flatten("near.items")))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The columns of the query: counts and the digest of the item ids, sorted as strings."""
+    """The columns of the query: counts and the digest of the item ids, sorted as strings; where proximity was asked for, the items that are near."""
     ids = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    near = [F.size("near_item_ids").cast("long").alias("n_near_items")] if "near_item_ids" in found.columns else []
     return found.select(
-        F.col("doc")[id_col].alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+        F.col("doc")[id_col].alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *near
     )

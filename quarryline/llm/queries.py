@@ -11,11 +11,13 @@ from quarryline.llm._common import table
 
 ORACLE_SQL: dict[str, str] = {}
 VOCABULARY = "byte_bpe_50k.json"
+#: Words around the rarest term of a window in which all its terms must lie for a proximity match.
+SLOP = 10
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontamination.digest(decontamination.find_contamination(documents, table(spark, sf_dir, "benchmark")))
+    return decontamination.digest(decontamination.find_contamination(documents, table(spark, sf_dir, "benchmark"), slop=SLOP))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +77,15 @@ g AS (
   FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS s FROM w, lens)
 ), hit AS (SELECT g.r, g.s, p.n, p.item_id FROM g JOIN p ON g.phrase = p.phrase AND g.n = p.n),
 covered AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS q FROM hit) GROUP BY r),
+df AS (SELECT word, count(*) AS df FROM (SELECT unnest(words) AS word FROM w) GROUP BY word),
+terms AS (SELECT DISTINCT phrase, o, string_split(phrase, ' ')[o] AS word FROM (SELECT phrase, unnest(range(1, n + 1)) AS o FROM p)),
+rarest AS (SELECT phrase, arg_min(word, struct_pack(a := df, b := o)) AS word FROM terms LEFT JOIN df USING (word) GROUP BY phrase HAVING count(*) = count(df)),
+around AS (SELECT r, q, word, words[greatest(q - 10, 1):q + 10] AS ws FROM (SELECT r, words, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS q FROM w) JOIN (SELECT DISTINCT word FROM rarest) USING (word)),
+near AS (SELECT r, count(DISTINCT item_id) AS n_near FROM around JOIN rarest USING (word) JOIN p USING (phrase) WHERE list_has_all(ws, string_split(phrase, ' ')) GROUP BY r),
 listed AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items
+FROM w LEFT JOIN covered USING (r) LEFT JOIN listed USING (r) LEFT JOIN near USING (r)
 """
 
 ORACLE_SQL["op5_substring_dedup"] = r"""

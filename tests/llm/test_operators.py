@@ -92,14 +92,35 @@ def test_decontamination_shuffled_side(spark, docs, monkeypatch):
     assert read() == expected
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(0, "a b c d e f g"), (1, "c x x x x x x a b"), (2, "b a c"), (3, "a b")], "doc_id long, text string")
-    phrases = decontamination.phrases_of(spark.createDataFrame([(0, "c a b")], "item_id long, text string"), "item_id", "text")
-    terms = phrases.select(F.explode("phrase").alias("term")).distinct()
-    index = decontamination.postings(docs, "doc_id", "text", terms)
-    plan = decontamination.plan_phrases(phrases, decontamination.term_counts(docs, "text", terms))
-    assert sorted(r.doc_id for r in decontamination.proximity_matches(index, plan, 3).select("doc_id").distinct().collect()) == [0, 2]
-    assert sorted(r.doc_id for r in decontamination.proximity_matches(index, plan, 8).select("doc_id").distinct().collect()) == [0, 1, 2]
+def brute_near(texts, items, slop, window=10):
+    """Items of which all words of a window lie within ``slop`` words of its rarest word, by text."""
+    words = [ALNUM_WORD.findall((t or "").translate(LOWER)) for t in texts]
+    df = Counter(w for ws in words for w in ws)
+    out = [set() for _ in texts]
+    for i, t in items:
+        own = ALNUM_WORD.findall((t or "").translate(LOWER))
+        n = min(window, len(own))
+        for s in range(len(own) - n + 1) if n else ():
+            phrase = own[s : s + n]
+            _, _, rarest = min((df[w], o, w) for o, w in enumerate(phrase))
+            for k, ws in enumerate(words):
+                if i is not None and any(ws[p] == rarest and set(phrase) <= set(ws[max(0, p - slop) : p + slop + 1]) for p in range(len(ws))):
+                    out[k].add(i)
+    return list(map(len, out))
+
+
+def test_proximity(spark, docs, rows):
+    held = spark.createDataFrame([(0, "a b c d e f g"), (1, "c x x x x x x a b"), (2, "b a c"), (3, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(0, "c a b")], "item_id long, text string")
+    for slop, expected in ((3, [1, 0, 1, 0]), (8, [1, 1, 1, 0])):
+        told = decontamination.digest(decontamination.find_contamination(held, items, slop=slop)).collect()
+        assert [r.n_near_items for r in sorted(told)] == expected and [r.n_hit for r in sorted(told)] == [0, 0, 0, 0]
+    texts = [t for _, t in rows if t]
+    items = [(0, " ".join(texts[1].split()[:25])), (1, "W3, of!"), (2, None), (10, " ".join(texts[7].split()[20:3:-1])), (None, "the of"), (11, "it s"), (12, "w1")]
+    told = decontamination.digest(decontamination.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), slop=6)).collect()
+    expected = brute_near([t for _, t in rows], items, 6)
+    assert sorted((str(r.doc_id), r.n_words, r.n_near_items) for r in told) == sorted((str(i), len(ALNUM_WORD.findall((t or "").translate(LOWER))), n) for (i, t), n in zip(rows, expected, strict=True))
+    assert max(expected) > 2
 
 
 # 2 ------------------------------------------------------------------------------------------------------------------
@@ -138,7 +159,7 @@ def library_ids(text):
     return Tokenizer.from_file(VOCABULARY).encode(text or "", add_special_tokens=False).ids
 
 
-ODD_TEXTS = ["<|endoftext|>", "a<|endoftext|>b <|endoftext|>", "  \n\n x\t", "it's we'll I'D", "日本語🙂 é　x", "a" * 3000, "abab" * 700, "‍﻿", "1234567 89"]
+ODD_TEXTS = ["<|endoftext|>", "a<|endoftext|>b <|endoftext|>", "  \n\n x\t", "it's we'll I'D", "日本語🙂 é　x", "a" * 3000, "abab" * 700, "‍﻿", "1234567 89", "qzkxwv" * 700, "".join(chr(97 + k * k % 26) for k in range(5000))]
 
 
 def test_token_counts(spark, docs, rows, empty):
@@ -159,6 +180,19 @@ def test_cache_and_long_texts(monkeypatch):
     assert [sum(sum(b) for b in blocks) for blocks in known.each(texts)] == [len(library_ids(t)) for t in texts]
 
 
+def test_long_pre_tokens():
+    """A word of any length costs n log n."""
+    import time
+
+    r = random.Random(2)
+    merges = pretokens.MergeTable(VOCABULARY)
+    text = "".join(chr(r.randint(97, 122)) for _ in range(200_000))
+    began = time.perf_counter()
+    assert merges.count([text.encode(), b"abc"]).tolist() == [len(library_ids(text)), len(library_ids("abc"))]
+    assert time.perf_counter() - began < 20
+    assert merges.count([]).tolist() == []
+
+
 def test_encoder_equals_library():
     encoder = pretokens.encoder(VOCABULARY)
     r = random.Random(5)
