@@ -45,18 +45,21 @@ def callers(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 def call_edges(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """``src, dst, edge_type, line``, each once. A callee is an exported symbol of that name: of the same file before those of imported files before any; unknown names stay bare.
 
-    Local symbols count even if they are not exported.
+    Local symbols count even if they are not exported. Each rank is an aggregate of the symbols by its key and an equi-join
+    with at most one row of it for each call (a row for each import, for imported files), so that names which many files
+    define meet no list of them.
     """
     sites = callers(calls, symbols).withColumn("name", F.element_at(F.split("callee", r"\."), -1))
-    candidates = symbols.select("name", F.col("file_path").alias("_file"), "symbol_id", "is_exported", "parse_seq").withColumnRenamed("parse_seq", "_seq")
-    imported = imports.where("resolved").select("file_path", F.col("target").alias("_file"), F.lit(True).alias("_imported")).distinct()
-    ranked = (
-        sites.join(candidates, "name").where((F.col("_file") == F.col("file_path")) | F.col("is_exported")).join(imported, ["file_path", "_file"], "left")
-        .withColumn("_rank", F.when(F.col("_file") == F.col("file_path"), 0).when(F.col("_imported"), 1).otherwise(2))
-        .groupBy("file_path", "parse_seq").agg(F.min(F.struct("_rank", "_file", "_seq", "symbol_id"))["symbol_id"].alias("dst"))
-    )
-    met = sites.join(ranked, ["file_path", "parse_seq"], "left")
-    return met.select("src", F.coalesce("dst", "name").alias("dst"), F.lit("calls").alias("edge_type"), "line").distinct()
+    by = F.struct("file_path", "parse_seq", "symbol_id")
+    known = symbols.join(sites.select("name").distinct(), "name", "left_semi")
+    local = known.groupBy("file_path", "name").agg(F.min(by)["symbol_id"].alias("_local"))
+    exported = known.where("is_exported")
+    by_file = exported.groupBy("file_path", "name").agg(F.min(by).alias("_e"))
+    imported = imports.where("resolved").select("file_path", "target").distinct()
+    near = imported.join(by_file.withColumnRenamed("file_path", "target"), "target").groupBy("file_path", "name").agg(F.min("_e")["symbol_id"].alias("_near"))
+    any_ = exported.groupBy("name").agg(F.min(by)["symbol_id"].alias("_any"))
+    met = sites.join(local, ["file_path", "name"], "left").join(near, ["file_path", "name"], "left").join(any_, "name", "left")
+    return met.select("src", F.coalesce("_local", "_near", "_any", "name").alias("dst"), F.lit("calls").alias("edge_type"), "line").distinct()
 
 
 def import_edges(imports: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarryline import code_queries
 from quarryline.functions import embed, paths, text
 from quarryline.operators import chunks, graph, link, mining, parse, rules, search
 from quarryline.plans import sinks
@@ -163,12 +164,6 @@ def bm25_queries(spark, d):
     return best.select(F.col("query_id").alias("item_id"), "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {windows_sql(40, 8)} SELECT chunk_id FROM chunks WHERE contains(lower(file_path), 'src1') AND contains(content, 'class ') ")
-def search_qualified(spark, d):
-    told = search.parse_query("path:src1 symbol:class")
-    return search.qualified(chunks.windows(corpus(spark, d)), told.qualifiers).select("chunk_id")
-
-
 @query(f"WITH {windows_sql(40, 8)} SELECT chunk_id FROM chunks WHERE regexp_matches(content, '(?s)token = ([^\\s(),]+)(.*?)The')")
 def pattern_match(spark, d):
     return search.matching(chunks.windows(corpus(spark, d)), "token = $VALUE$...The").select("chunk_id")
@@ -234,21 +229,6 @@ def severity_threshold(spark, d):
     return rules.at_least(_findings(spark, d), "high").select("rule", "file", "line")
 
 
-@query(f"WITH {_FINDINGS} SELECT file_path AS file, line_no AS line FROM findings WHERE rule = 'weak-context'")
-def weak_context_window(spark, d):
-    return rules.line_findings(corpus(spark, d), _corpus_rules()[3:]).select("file", "line")
-
-
-@query()
-def secret_scan(spark, d):
-    return rules.deduplicated(rules.line_findings(corpus(spark, d), rules.secret_rules())).select("rule", "file", "line", "snippet")
-
-
-@query()
-def security_report(spark, d):
-    return rules.security(corpus(spark, d)).select("rule", "category", "severity", "file", "line")
-
-
 @query(
     f"""WITH {LINES}, w AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY file_path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS near FROM lines)
 SELECT file_path, line_no FROM w WHERE regexp_matches(line, '^The ') AND regexp_matches(near, 'token|License') AND line_no - 1 < n_lines - 4"""
@@ -265,21 +245,6 @@ def nested_lead(spark, d):
     return rules.nested_loops(text.lines(corpus(spark, d)), "The ", "^The ").select("file_path", "line_no")
 
 
-@query()
-def sync_in_async(spark, d):
-    return rules.sync_in_async(corpus(spark, d))
-
-
-@query()
-def legacy_sast(spark, d):
-    return rules.legacy_sast(corpus(spark, d))
-
-
-@query()
-def optional_rules(spark, d):
-    return rules.run_rules(corpus(spark, d)).select("rule", "file_path", "line")
-
-
 # History ------------------------------------------------------------------------------------------------------------
 
 
@@ -377,10 +342,10 @@ def stats_top_files(spark, d):
     return mining.top_files(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file_path")), _symbol_table(spark, d))
 
 
-@query("SELECT count(*) AS n_files, count(DISTINCT c_mktsegment) AS n_communities FROM customer")
+@query(f"WITH {CORPUS} SELECT count(*) AS n_files, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS n_communities FROM corpus")
 def community_count(spark, d):
     held = table(spark, d, "customer").select(F.col("c_mktsegment").alias("community_id"))
-    return held.agg(F.count("*").alias("n_files"), F.count_distinct("community_id").alias("n_communities"))
+    return mining.totals(_file_table(spark, d), _symbol_table(spark, d), held).select("n_files", "n_communities")
 
 
 @query(f"WITH {CORPUS} SELECT language, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS directory, count(*) AS n_files, CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) AS n_lines FROM corpus GROUP BY ROLLUP (1, 2)")
@@ -408,11 +373,6 @@ def health_score(spark, d):
     return mining.health_score(_thresholds(spark, d))
 
 
-@query(f"WITH {windows_sql(40, 8)} SELECT file_path, min(chunk_seq) AS chunk_seq FROM chunks WHERE contains(content, 'async ') AND NOT contains(content, 'try') AND NOT contains(content, '.catch') GROUP BY 1")
-def async_without_catch(spark, d):
-    return mining.async_without_catch(chunks.windows(corpus(spark, d)))
-
-
 # Boundaries and gaps ------------------------------------------------------------------------------------------------
 
 
@@ -441,13 +401,6 @@ def diff_impact(spark, d):
     return mining.impact(changed, imports).select("file_path", F.array_join("downstream", ",").alias("downstream"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def dead_exports(spark, d):
-    symbols = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("name"), F.lit("src/x.ts").alias("file_path"), F.lit(True).alias("is_exported"))
-    imports = table(spark, d, "orders").select(F.array(F.col("o_custkey").cast("string")).alias("imported_names"))
-    return mining.dead_exports(symbols, imports).select("c_custkey")
-
-
 def _gap(spark, d):
     exports = table(spark, d, "part").select(F.concat(F.lit("src/"), F.col("p_partkey")).alias("file_path"), F.element_at(F.split("p_name", " "), 1).alias("name"))
     words = table(spark, d, "benchmark").select(F.concat(F.lit("b/"), "item_id").alias("file_path"), F.element_at(F.split("text", " "), 2).alias("name"))
@@ -537,20 +490,6 @@ def symbol_overlap(spark, d):
     return link.overlapping_symbol(chunks.windows(corpus(spark, d), 8, 2), symbols, ["chunk_id"]).select("chunk_id", "symbol_start", "kind")
 
 
-@query(
-    """WITH s AS (SELECT s_suppkey, n_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey), c AS (SELECT c_custkey, n_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT c_custkey, coalesce((SELECT min(s_suppkey) FROM s WHERE s.n_nationkey = c.n_nationkey), (SELECT min(s_suppkey) FROM s WHERE s.n_regionkey = c.n_regionkey), (SELECT min(s_suppkey) FROM s)) AS s_suppkey FROM c"""
-)
-def callee_priority(spark, d):
-    """A supplier of the customer's nation before one of its region before any; each rank is an aggregate and an equi-join."""
-    nation = table(spark, d, "nation")
-    s = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    c = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "n_regionkey")
-    own, near = s.groupBy("n_nationkey").agg(F.min("s_suppkey").alias("a")), s.groupBy("n_regionkey").agg(F.min("s_suppkey").alias("b"))
-    met = c.join(own, "n_nationkey", "left").join(near, "n_regionkey", "left").crossJoin(F.broadcast(s.agg(F.min("s_suppkey").alias("z"))))  # one row
-    return met.select("c_custkey", F.coalesce("a", "b", "z").alias("s_suppkey"))
-
-
 @query(
     r"""WITH f AS (SELECT page_id, concat(regexp_extract(url, '://([^/?#]*)', 1), regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/$', '')) AS p FROM pages),
 l AS (SELECT DISTINCT p AS file_path, unnest(regexp_extract_all(regexp_extract(p, '^[^/]*(/.*)$', 1), '[^/]+$')) AS spec FROM f)
@@ -628,9 +567,10 @@ def simple_digraph(spark, d):
     return graph.simple_digraph(_edges(spark, d))
 
 
-@query(f"WITH {_E} SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS outs FROM e GROUP BY 1")
+@query(f"WITH {_E} SELECT 'out' AS way, dst AS id FROM e WHERE src = 1 UNION ALL SELECT 'in', src FROM e WHERE dst = 1")
 def neighbors(spark, d):
-    return _edges(spark, d).distinct().groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("outs"))
+    held = _edges(spark, d)
+    return graph.out_neighbors(held, 1).select(F.lit("out").alias("way"), "id").unionAll(graph.in_neighbors(held, 1).select(F.lit("in"), "id"))
 
 
 @query(f"WITH {_E} SELECT c_custkey AS id, CAST(coalesce(n, 0) AS BIGINT) AS n FROM customer LEFT JOIN (SELECT dst, count(*) AS n FROM e WHERE src <> dst GROUP BY 1) ON dst = c_custkey")
@@ -782,11 +722,6 @@ def stand_in_churn(spark, d):
     return mining.stand_in_churn(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file_path")))
 
 
-@query()
-def performance_rules(spark, d):
-    return rules.performance(corpus(spark, d))
-
-
 @query()
 def document_vectors(spark, d):
     return embed.embed(table(spark, d, "documents"), "doc_id", "text")
@@ -810,4 +745,7 @@ def csv_report(spark, d):
     return sinks.csv_lines(_findings(spark, d).select("rule", "severity", "file", "line"))
 
 
+QUERIES |= code_queries.QUERIES
+ORACLE_SQL |= code_queries.ORACLE_SQL
+
 assert math.isclose(search.K1 + 1, 2.2)  # the SQL above states it
