@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: quality rules, near duplicates, decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; it is written as Parquet and read again as the next
-stage's docs. All but the last give the columns of docs, whatever these are besides doc_id and text.
+stage's docs. All but the last give the columns of docs, whatever these are besides doc_id and text, and whatever their
+names; n_chars, where there is one, follows the text. An empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ def _rows(told: DataFrame, columns: list[str], text: Column | None = None) -> Da
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go; documents that the rules reject go."""
+    """Failing lines go; documents that the rules reject go.
+
+    Null and empty texts have no words and are rejected; repeated rows are judged alike; texts are judged whole.
+    """
     return _rows(quality.judge_quality(docs).where("kept"), docs.columns, F.col("cleaned"))
 
 
@@ -49,17 +53,26 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts hold none and stay, as do null ids; repeated rows go or stay together; texts are read whole.
+    """
     return _rows(decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0"), docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark, and no row goes.
+
+    Null texts stay null; repeated rows are changed alike; texts are scanned whole.
+    """
     return _rows(secrets.scan_secrets(docs), docs.columns, F.col("redacted"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document, with its place in a sequence."""
+    """One row for each piece of a document, with its place in a sequence.
+
+    Null and empty texts are the end id alone; repeated rows are packed each; long texts are cut into full windows and a rest.
+    """
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 

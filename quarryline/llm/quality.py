@@ -3,13 +3,14 @@
 Line rules (blank lines pass and carry no text):
   * punctuation: a line of at least ``long_line`` words has a sentence mark somewhere in its last words, and no more than
     ``symbol_share`` of its words carry one of ``SYMBOLS``;
-  * navigation: no more than ``bar_share`` of its words are bare separators such as ``|`` or ``>``;
-  * boilerplate: it is not one of the stock phrases of web pages, and no word makes up more than ``same_share`` of a line
+  * navigation: no more than ``bar_share`` of its words are bare separators such as ``|`` or ``>``, and a line of at least
+    ``menu_words`` words does not have ``menu_share`` of them or more from the words of menus;
+  * boilerplate: it is not one of the stock phrases of web pages (in four languages, see ``vocabularies``), and no word makes up more than ``same_share`` of a line
     of at least ``long_line`` words.
 A document is rejected if failing lines hold more than ``lost_share`` of its word characters, or if the base rules fail.
 
 Defined results: a null or empty text has no words, so the base rules reject it; repeated rows are judged alike; whole
-texts of any length are judged.
+texts of any length are judged; an empty table gives none; other columns come back inside ``doc``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryline.llm import vocabularies
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 HAS_SYMBOL = re.compile(r"[#*$%&|<>]")
 SEPARATOR = re.compile(r"[|>»›·•/\\-]+\Z")
 SENTENCE_MARK = re.compile(r"[.!?…。！？:;\"”’)]")
-BOILERPLATE = re.compile(
-    r"(?i)\A[^\w]*(?:skip to (?:main )?content|accept (?:all )?cookies|we use cookies\b.*|privacy policy|terms (?:of use|of service|and conditions)|sign (?:in|up)(?: now)?|log ?in|subscribe(?: now)?"
-    r"|read more|click here(?: .*)?|share (?:this|on)\b.*|back to top|all rights reserved|enable javascript\b.*|home|contact us|about us)[^\w]*\Z"
-)
+BOILERPLATE = re.compile(rf"(?i)\A[^\w]*(?:{'|'.join(vocabularies.BOILERPLATE)})[^\w]*\Z")
+AROUND = re.compile(r"\A[\W\d_]+|[\W\d_]+\Z")
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,8 @@ class Rules:
     tail_words: int = 4
     symbol_share: float = 0.3
     bar_share: float = 0.25
+    menu_words: int = 3
+    menu_share: float = 0.8
     same_share: float = 0.5
     lost_share: float = 0.3
 
@@ -57,6 +60,8 @@ def line_passes(words: list[str], line: str, rules: Rules) -> bool:
         return False
     if sum(1 for w in words if SEPARATOR.match(w)) > rules.bar_share * n:
         return False
+    if n >= rules.menu_words and sum(1 for w in words if AROUND.sub("", w).lower() in vocabularies.NAVIGATION) >= rules.menu_share * n:
+        return False
     if n >= rules.long_line:
         if sum(1 for w in words if HAS_SYMBOL.search(w)) > rules.symbol_share * n:
             return False

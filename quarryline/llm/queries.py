@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontamination, html_template, near_duplicates, packing, quality, secrets, sharding, substring_dedup, token_counts, url_filter
+from quarryline.llm import decontamination, html_template, near_duplicates, packing, quality, secrets, sharding, substring_dedup, token_counts, url_filter, vocabularies
 from quarryline.llm._common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -122,7 +122,8 @@ w AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM l),
 j AS (
   SELECT r, p, line, len(words) AS n, list_sum(list_transform(words, lambda x: length(x))) AS held,
     len(words) > 0 AND (
-      regexp_matches(line, '(?i)^[^\pL\pN_]*(?:skip to (?:main )?content|accept (?:all )?cookies|we use cookies\b.*|privacy policy|terms (?:of use|of service|and conditions)|sign (?:in|up)(?: now)?|log ?in|subscribe(?: now)?|read more|click here(?: .*)?|share (?:this|on)\b.*|back to top|all rights reserved|enable javascript\b.*|home|contact us|about us)[^\pL\pN_]*$')
+      regexp_matches(line, '(?i)^[^\pL\pN_]*(?:{phrases})[^\pL\pN_]*$')
+      OR (len(words) >= 3 AND len(list_filter(words, lambda x: list_contains([{menu}], lower(regexp_replace(x, '^[^\pL]+|[^\pL]+$', '', 'g'))))) >= 0.8 * len(words))
       OR len(list_filter(words, lambda x: regexp_full_match(x, '[|>»›·•/\\-]+'))) > 0.25 * len(words)
       OR (len(words) >= 8 AND (
         len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 0.3 * len(words)
@@ -142,6 +143,11 @@ x AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.3 * word_chars AS kept FROM y
 """
 
+_quoted = lambda t: t.replace("'", "''")
+ORACLE_SQL["op8_quality_rules"] = (
+    ORACLE_SQL["op8_quality_rules"].replace("{phrases}", _quoted("|".join(vocabularies.BOILERPLATE))).replace("{menu}", ", ".join(f"'{_quoted(w)}'" for w in sorted(vocabularies.NAVIGATION)))
+)
+
 ORACLE_SQL["op7_near_duplicates"] = r"""
 WITH RECURSIVE t AS (SELECT text, min(doc_id) AS rep, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY text),
 w AS (SELECT rep, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),

@@ -4,7 +4,8 @@ A url with a strict term, or with several distinct soft terms, is rejected. Term
 characters that are no ASCII letters or digits, or at an end of the url. Matching is on the url with A-Z lower-cased.
 
 Defined results: host and path are empty where the url is null or has no ``://``, and no rule fits an empty host; a
-null url has no terms and is allowed; repeated rows repeat their verdicts.
+null url has no terms and is allowed; an empty table gives an empty result; urls of any length are read whole; repeated
+rows repeat their verdicts; columns besides id and url are not read. Vocabularies are parameters (see ``vocabularies``).
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.llm.vocabularies import URL_SOFT, URL_STRICT
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule) for the query: a host with its subdomains, then the beginning of the path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-STRICT = ("porn", "porno", "xxx", "hentai", "milf", "camgirl", "camgirls", "casino", "warez", "malware", "phishing")
-SOFT = ("adult", "sex", "sexy", "nude", "nudes", "erotic", "escort", "escorts", "dating", "betting", "bet", "poker", "slots", "jackpot", "win", "x", "crack", "keygen", "torrent", "viagra", "pills", "pharmacy", "loan", "loans")
 SOFT_LIMIT = 2
 
 
@@ -61,7 +62,7 @@ def terms_in(url: str, found: ahocorasick.Automaton) -> tuple[set[str], set[str]
     return hits
 
 
-def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
+def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, strict=URL_STRICT, soft=URL_SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """``page_id, host, path, rule, verdict, strict_terms, soft_terms`` for each row."""
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
@@ -81,8 +82,8 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
 
 
 def _sql_terms() -> str:
-    strict = "|".join(STRICT)
-    soft = " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INT)" for t in SOFT)
+    strict = "|".join(URL_STRICT)
+    soft = " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INT)" for t in URL_SOFT)
     return f"(regexp_matches(u, '(^|[^a-z0-9])({strict})([^a-z0-9]|$)') OR {soft} >= {SOFT_LIMIT})"
 
 

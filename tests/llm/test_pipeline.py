@@ -1,13 +1,15 @@
 """The pipeline and the queries on small tables."""
 
 import os
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarryline.llm import queries
+from quarryline.llm import quality, queries, secrets
 from quarryline.llm._common import materialize
+from tests.llm.test_operators import ALNUM_WORD, LOWER, brute_best_fit, brute_links, library_ids
 
 SMALL = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
@@ -27,6 +29,42 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == rows
 
 
+def brute_run(docs, items):
+    """(pieces, lengths) of the pipeline by plain Python; ``docs`` are (doc_id, text)."""
+    kept = [(i, told[7]) for i, t in docs if (told := quality.judge(t))[6]]
+    links, first = brute_links(kept)
+    group = {i: i for i in first.values()}
+    for _ in range(len(group)):  # the least id of each group
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    kept = [(i, t) for i, t in kept if group[first[t]] == i]
+    windows = set()
+    for t in items:
+        own = ALNUM_WORD.findall((t or "").translate(LOWER))
+        windows |= {tuple(own[k : k + 10]) for k in range(max(1, len(own) - 9)) if own}
+    sizes = {len(w) for w in windows}
+    clean = []
+    for i, t in kept:
+        own = ALNUM_WORD.findall(t.translate(LOWER))
+        if not any(tuple(own[k : k + n]) in windows for n in sizes for k in range(len(own) - n + 1)):
+            clean.append((i, t))
+    pieces = []
+    for i, t in clean:
+        ids = [*library_ids(secrets.redact(t, secrets.deep_scan(t)[1])), 1]
+        pieces += [(i, at, len(ids[at : at + 2048]), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[at : at + 2048])), len(ids)) for at in range(0, len(ids), 2048)]
+    return pieces
+
+
+@needs_data
+def test_run_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    expected = brute_run(docs, [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()])
+    told = corpus_pipeline.run(spark, SMALL).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in told) == sorted(expected)
+    assert len({r.sequence_id for r in told}) == len(brute_best_fit([e[2] for e in expected], 2048))
+    assert 0 < len({e[0] for e in expected}) < len(docs)
+
+
 def test_stages_on_odd_rows(spark):
     prose = " ".join(f"Sentence {k} of a plain text that is long enough to be kept, as it should be." for k in range(12))
     rows = [(0, prose, "en", "s", len(prose)), (1, None, None, None, None), (2, "", "en", "s", 0), (3, prose, "en", "s", len(prose)), (3, prose, "en", "s", len(prose)), (None, prose.replace("plain", "other"), "en", "s", 1), (4, prose.replace("plain", "simple") + " token = 'abcdefgh1234'.", "en", "s", 1)]
