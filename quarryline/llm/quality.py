@@ -52,6 +52,17 @@ class Rules:
     lost_share: float = 0.3
 
 
+def is_menu(words: list[str], share: float) -> bool:
+    """Whether at least ``share`` of the words are words of menus; it stops at the word that decides against it."""
+    left = len(words)
+    for w in words:
+        if (w if w[0].isalpha() and w[-1].isalpha() else AROUND.sub("", w)).lower() not in vocabularies.NAVIGATION:
+            left -= 1
+            if left < share * len(words):
+                return False
+    return True
+
+
 def line_passes(words: list[str], line: str, rules: Rules) -> bool:
     n = len(words)
     if not n:
@@ -60,7 +71,7 @@ def line_passes(words: list[str], line: str, rules: Rules) -> bool:
         return False
     if sum(1 for w in words if SEPARATOR.match(w)) > rules.bar_share * n:
         return False
-    if n >= rules.menu_words and sum(1 for w in words if AROUND.sub("", w).lower() in vocabularies.NAVIGATION) >= rules.menu_share * n:
+    if n >= rules.menu_words and is_menu(words, rules.menu_share):
         return False
     if n >= rules.long_line:
         if sum(1 for w in words if HAS_SYMBOL.search(w)) > rules.symbol_share * n:
