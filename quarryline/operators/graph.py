@@ -6,6 +6,8 @@ one round and plans don't grow. Only row counts come to the driver.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,18 +235,27 @@ def strong_components(edges: DataFrame, ids: DataFrame | None = None) -> DataFra
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """``id, community``: label propagation on the undirected graph. Each round a node takes the most frequent label among its neighbours and itself, the least of several; labels are ids.
 
-    Synchronous and deterministic; two-coloured oscillation ends because a node's own label counts.
+    Deterministic, and goes on until labels are settled. All nodes change at once for up to ``rounds`` rounds. If they still
+    change then, they may swing, so that from then on only nodes change whose neighbours don't: of neighbours that want to, the
+    one with the least hash in this round. Each such change adds links within communities, so there is an end.
     """
     plain = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
     both = written(plain.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(plain.select("b", "a")), "undirected")
     labels = written(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")), "labels")
-    for _ in range(rounds):
+    for k in itertools.count():
         votes = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label").unionByName(labels)
         counted = votes.groupBy("id", "label").agg(F.count("*").alias("n"))
         best = counted.groupBy("id").agg(F.max("n").alias("n"))
         new = counted.join(best, ["id", "n"]).groupBy("id").agg(F.min("label").alias("label"))
         told = written(new.join(labels.withColumnRenamed("label", "_before"), "id"), "labels")
-        labels = told.select("id", "label")
+        if k >= rounds:
+            turn = F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("i"))
+            wish = told.where("label <> _before").select("id", turn.alias("_turn"))
+            near = both.join(wish.select(F.col("id").alias("dst"), F.col("_turn").alias("_near")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("_near").alias("_near"))
+            first = wish.join(near, "id", "left").where("_near IS NULL OR _turn < _near").select("id", F.lit(True).alias("_first"))
+            labels = written(told.join(first, "id", "left").select("id", F.when(F.col("_first"), F.col("label")).otherwise(F.col("_before")).alias("label")), "labels")
+        else:
+            labels = told.select("id", "label")
         if told.where("label <> _before").isEmpty():
             break
     return labels.withColumnRenamed("label", "community")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline import schemas
 from quarryline.functions.paths import dirname, stem
 from quarryline.functions.text import char_code_sum, lines, trimmed
+from quarryline.sources.store import ranged, written
 
 # Architectural boundaries that hold by default.
 DEFAULT_SCOPE_RULES = (
@@ -19,6 +22,13 @@ DEFAULT_SCOPE_RULES = (
 TEST_FILE = r"\.test\.|\.spec\.|/test/|/tests/|__tests__"
 
 
+#: Files of a commit that are paired within one task at a time.
+BLOCK = 1000
+#: Characters of a name by which it meets the pieces of words.
+KEY = 8
+WORD = r"\p{L}\p{M}\p{N}_$"
+
+
 # History ------------------------------------------------------------------------------------------------------------
 
 
@@ -30,15 +40,23 @@ def commit_counts(commits: DataFrame) -> DataFrame:
 def cochange(commits: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
     """``file_a, file_b, cochange_count, ratio``, in both directions; the ratio is the Jaccard index of their commits in percent, rounded.
 
-    Pairs form within a commit from its sorted list of files, so that each pair is made once.
+    The files of a commit are dealt into blocks of about ``BLOCK``; pairs form within a block and between two blocks of a
+    commit, each pair once, so that a commit of any size is many small groups and no list grows with it.
     """
     held = commits.distinct()
     if tracked is not None:
         held = held.join(tracked.select("file_path").distinct(), "file_path", "left_semi")
     counts = held.groupBy("file_path").agg(F.count("*").alias("n"))
-    together = held.groupBy("commit_id").agg(F.array_sort(F.collect_list("file_path")).alias("f")).where(F.size("f") > 1)
-    one = together.select("f", F.posexplode("f").alias("k", "file_a"))
-    pairs = one.select("file_a", F.explode(F.slice("f", F.col("k") + 2, F.size("f"))).alias("file_b")).groupBy("file_a", "file_b").agg(F.count("*").alias("cochange_count"))
+    sizes = held.groupBy("commit_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    dealt = held.join(sizes, "commit_id").withColumn("_own", F.pmod(F.xxhash64("file_path"), F.col("_blocks")).cast("int"))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    lists = F.collect_list(F.when(F.col("_own") <= F.col("_other"), F.col("file_path"))), F.collect_list(F.when(F.col("_own") > F.col("_other"), F.col("file_path")))
+    groups = met.groupBy("commit_id", low.alias("_low"), high.alias("_high")).agg(lists[0].alias("_a"), lists[1].alias("_b"))
+    one = groups.select("_low", "_high", "_a", "_b", F.explode("_a").alias("_x"))
+    others = F.when(F.col("_low") < F.col("_high"), F.col("_b")).otherwise(F.filter("_a", lambda y: y > F.col("_x")))
+    made = one.select("_x", F.explode(others).alias("_y"))
+    pairs = made.groupBy(F.least("_x", "_y").alias("file_a"), F.greatest("_x", "_y").alias("file_b")).agg(F.count("*").alias("cochange_count"))
     joined = pairs.join(counts.select(F.col("file_path").alias("file_a"), F.col("n").alias("n_a")), "file_a").join(counts.select(F.col("file_path").alias("file_b"), F.col("n").alias("n_b")), "file_b")
     told = joined.select("file_a", "file_b", "cochange_count", F.round(100 * F.col("cochange_count") / (F.col("n_a") + F.col("n_b") - F.col("cochange_count"))).cast("int").alias("ratio"))
     return symmetric(told, "file_a", "file_b")
@@ -118,14 +136,23 @@ def clone_pairs(chunks: DataFrame) -> DataFrame:
 
 
 def sliding_clones(files: DataFrame, size: int = 6, min_chars: int = 80) -> DataFrame:
-    """``file_path, line_no, other_file, other_line``: for each file its first window of ``size`` trimmed lines, longer than ``min_chars``, that an earlier file (by path) also has; the latest such file counts."""
+    """``file_path, line_no, other_file, other_line``: for each file its first window of ``size`` trimmed lines, longer than ``min_chars``, that an earlier file (by path) also has; the latest such file counts.
+
+    Windows of one text, which may stand in every file, are split into ranges of paths; the last file of a range is handed to the next one.
+    """
     held = lines(files).withColumn("line", trimmed(F.col("line")))
     ahead = Window.partitionBy("file_path").orderBy("line_no").rowsBetween(0, size - 1)
     text = F.array_join(F.collect_list("line").over(ahead), "\n")
     windows = held.withColumns({"_text": text, "_n": F.count("*").over(ahead)}).where(F.col("_n") == size).where(F.length("_text") > min_chars).select("file_path", "line_no", F.sha2("_text", 256).alias("_key"))
     per_file = windows.groupBy("_key", "file_path").agg(F.min("line_no").alias("line_no"))
-    before = Window.partitionBy("_key").orderBy("file_path")
-    met = per_file.withColumns({"other_file": F.lag("file_path").over(before), "other_line": F.lag("line_no").over(before)}).where("other_file IS NOT NULL")
+    held = ranged(per_file, "_key", "file_path")
+    before = Window.partitionBy("_key", "_part").orderBy("file_path")
+    at = F.struct("file_path", "line_no")
+    cuts = held.groupBy("_part").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"))  # one row for each range
+    edges = held.join(F.broadcast(cuts), "_part").where("_key = _first OR _key = _last").groupBy("_key", "_part").agg(F.max(at).alias("_end"))
+    carried = edges.select("_key", "_part", F.lag("_end").over(Window.partitionBy("_key").orderBy("_part")).alias("_end"))  # two rows at most for each range
+    met = held.withColumn("_prev", F.lag(at).over(before)).join(F.broadcast(carried), ["_key", "_part"], "left").withColumn("_prev", F.coalesce("_prev", "_end")).where("_prev IS NOT NULL")
+    met = met.select("file_path", "line_no", F.col("_prev.file_path").alias("other_file"), F.col("_prev.line_no").alias("other_line"))
     return met.groupBy("file_path").agg(F.min(F.struct("line_no", "other_file", "other_line")).alias("m")).select("file_path", "m.line_no", "m.other_file", "m.other_line")
 
 
@@ -191,17 +218,31 @@ def is_test_file(path: Column) -> Column:
 def test_gap(exports: DataFrame, files: DataFrame) -> DataFrame:
     """``file_path, name, tested``: whether any test file has the name in its text. Names are met once each, however many files export them.
 
-    The substring test needs every name in every test file: a nested-loop join with the distinct names on one side, of
-    which only those that no test file's words decide go through it.
+    A name of word characters stands in a text if it stands in one of its words. So the distinct words are cut at each place,
+    and names meet the pieces by their first ``KEY`` characters. Other names meet the texts in a nested-loop join.
     """
     tests = files.where(is_test_file(F.col("file_path"))).select("content")
     wanted = exports.where(~is_test_file(F.col("file_path")) & (F.col("name") != "") & (F.col("name") != "default")).select("file_path", "name")
     names = wanted.select("name").distinct()
-    words = tests.select(F.explode(F.array_distinct(F.split("content", r"[^A-Za-z0-9_$]+"))).alias("name")).distinct()
+    words = written(tests.select(F.explode(F.array_distinct(F.split("content", f"[^{WORD}]+"))).alias("name")).where("name <> ''").distinct(), "words")
     whole = names.join(words, "name", "left_semi")
     rest = names.join(whole, "name", "left_anti")
-    part = rest.join(tests, F.contains(F.col("content"), F.col("name")), "left_semi")
-    met = whole.union(part).withColumn("tested", F.lit(True))
+    plain = F.col("name").rlike(f"^[{WORD}]+$")
+    short, long = rest.where(plain & (F.length("name") <= KEY)), rest.where(plain & (F.length("name") > KEY))
+    places = F.sequence(F.lit(1), F.length("name"))
+    grams = words.select(F.explode(places).alias("_at"), "name").select(F.substring(F.col("name"), F.col("_at"), F.lit(KEY)).alias("_gram")).distinct()
+    grams = grams.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("_gram")), lambda n: F.substring(F.col("_gram"), F.lit(1), n))).alias("name")).distinct()
+    longest = long.agg(F.max(F.length("name")).alias("_longest"))  # one row
+    pieces = words.crossJoin(F.broadcast(longest)).where(F.length("name") > KEY).select(F.explode(places).alias("_at"), "name", "_longest")
+    pieces = pieces.select(F.substring(F.col("name"), F.col("_at"), F.col("_longest")).alias("_piece")).where(F.length("_piece") > KEY).distinct()
+    keyed = pieces.select("_piece", F.substring("_piece", 1, KEY).alias("_key"))
+    found = [
+        whole,
+        short.join(grams, "name", "left_semi"),
+        long.join(keyed, (F.substring("name", 1, KEY) == F.col("_key")) & F.startswith(F.col("_piece"), F.col("name")), "left_semi"),
+        rest.where(~plain).join(tests, F.contains(F.col("content"), F.col("name")), "left_semi"),
+    ]
+    met = functools.reduce(DataFrame.union, found).withColumn("tested", F.lit(True))
     return wanted.join(met, "name", "left").select("file_path", "name", F.coalesce("tested", F.lit(False)).alias("tested"))
 
 
@@ -217,23 +258,23 @@ def coverage(gap: DataFrame) -> DataFrame:
 def scope_violations(imports: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Imports that cross a boundary: the file holds ``from_part`` and the import ``to_part``.
 
-    Rules are few and given by the caller, so they are broadcast; imports stay where they are.
+    Rules are few; Spark broadcasts them if their size is below its threshold, and pairs partitions otherwise.
     """
     if rules is None:
         rules = imports.sparkSession.createDataFrame(list(DEFAULT_SCOPE_RULES), schemas.SCOPE_RULES)
     slashed = lambda c: F.regexp_replace(c, r"\\", "/")
-    met = imports.join(F.broadcast(rules), F.contains(slashed("file_path"), F.col("from_part")) & F.contains(slashed("target"), F.col("to_part")))
+    met = imports.join(rules, F.contains(slashed("file_path"), F.col("from_part")) & F.contains(slashed("target"), F.col("to_part")))
     return met.select("file_path", F.col("target").alias("imported"), "from_part", "to_part", "severity", "message")
 
 
 def impact(changed: DataFrame, imports: DataFrame) -> DataFrame:
     """``file_path, downstream``: files that import a changed one (an import has its stem, or its path has the import); changed files stay without any.
 
-    Changed files are the caller's short list and are broadcast; distinct imports meet them once.
+    Distinct imports meet the changed files once; Spark broadcasts these if their size is below its threshold, and pairs partitions otherwise.
     """
     one = changed.select("file_path").distinct().withColumn("_stem", stem(F.col("file_path")))
     held = imports.select(F.col("file_path").alias("other"), "specifier").distinct()
-    met = held.join(F.broadcast(one), F.contains("specifier", F.col("_stem")) | F.contains("file_path", F.col("specifier"))).where("other <> file_path")
+    met = held.join(one, F.contains("specifier", F.col("_stem")) | F.contains("file_path", F.col("specifier"))).where("other <> file_path")
     found = met.groupBy("file_path").agg(F.array_sort(F.collect_set("other")).alias("downstream"))
     return one.select("file_path").join(found, "file_path", "left").select("file_path", F.coalesce("downstream", F.array().cast("array<string>")).alias("downstream"))
 

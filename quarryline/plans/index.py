@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.paths import language
@@ -75,7 +75,7 @@ def with_communities(index: Index) -> Index:
     """The index with communities of its import graph, made if there are none."""
     if index.communities is None:
         found = graph.communities(graph.import_graph(index.imports))
-        numbers = found.select("community").distinct().withColumn("n", F.row_number().over(Window.orderBy("community")) - 1)  # one row for each community
+        numbers = store.numbered(found.select("community").distinct(), "n", "community")
         index.communities = found.join(numbers, "community").select(F.col("id").alias("file_path"), F.concat(F.lit("cluster_"), "n").alias("community_id"))
     return index
 

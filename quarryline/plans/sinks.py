@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.paths import node_id
 from quarryline.operators.graph import cycle_edges
+from quarryline.sources import store
 
 
 def csv_lines(df: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def map_lines(edges: DataFrame, nodes: DataFrame, communities: DataFrame | None
         name = node_id(F.col("id").cast("string"))
         told = told.union(bad.select(F.lit(3), F.col("id").cast("string"), F.concat(F.lit("  style "), name, F.lit(" stroke:#ff0000")) if mermaid else F.concat(F.lit('  "'), F.col("id").cast("string"), F.lit('" [color=red];'))))
         if mermaid:  # the ordinal of an edge among all, in the order of the document
-            ranked = shown.withColumn("n", F.row_number().over(Window.orderBy(key("src", "dst"))) - 1).where("cyclic")
+            ranked = store.numbered(shown.withColumn("_key", key("src", "dst")), "n", "_key").where("cyclic")
             told = told.union(ranked.select(F.lit(4), F.lpad(F.col("n").cast("string"), 12, "0"), F.concat(F.lit("  linkStyle "), F.col("n").cast("string"), F.lit(" stroke:#ff0000"))))
     return told if mermaid else told.union(spark.range(1).select(F.lit(9), F.lit(""), F.lit("}")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,25 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranged(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` as a written table with ``_part``, the number of a range of ``keys``: parts in order hold the rows in order.
+
+    Rows of equal keys share a part. The table is written, so that a row's part doesn't change when a task is repeated.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def numbered(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``df`` with the place of each row in the order of ``keys``, from 0 on. Rows are counted within ranges, and only the ranges' counts are added up in one task."""
+    held = ranged(df, *keys)
+    counts = held.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    begins = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return held.withColumn("_row", within).join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + F.col("_row") - 1).drop("_part", "_row", "_begin")
+
+
 def save(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """The whole table, in place of what was there."""
     writer = df.write.mode("overwrite")
