@@ -647,12 +647,12 @@ def _near(spark, d):
 
 @query()
 def label_propagation(spark, d):
-    return graph.communities(_near(spark, d))
+    return graph.communities(_edges(spark, d))
 
 
 @query()
 def community_modularity(spark, d):
-    held = _near(spark, d)
+    held = _edges(spark, d)
     return graph.modularity(held, graph.communities(held))
 
 
