@@ -226,20 +226,20 @@ def test_gap(exports: DataFrame, files: DataFrame) -> DataFrame:
     names = wanted.select("name").distinct()
     words = written(tests.select(F.explode(F.array_distinct(F.split("content", f"[^{WORD}]+"))).alias("name")).where("name <> ''").distinct(), "words")
     whole = names.join(words, "name", "left_semi")
-    rest = names.join(whole, "name", "left_anti")
+    rest = written(names.join(whole, "name", "left_anti"), "names")  # of known size, so that Spark broadcasts a small one to the pieces
     plain = F.col("name").rlike(f"^[{WORD}]+$")
     short, long = rest.where(plain & (F.length("name") <= KEY)), rest.where(plain & (F.length("name") > KEY))
     places = F.sequence(F.lit(1), F.length("name"))
-    grams = words.select(F.explode(places).alias("_at"), "name").select(F.substring(F.col("name"), F.col("_at"), F.lit(KEY)).alias("_gram")).distinct()
-    grams = grams.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("_gram")), lambda n: F.substring(F.col("_gram"), F.lit(1), n))).alias("name")).distinct()
+    grams = words.select(F.explode(places).alias("_at"), "name").select(F.substring(F.col("name"), F.col("_at"), F.lit(KEY)).alias("_gram"))
+    grams = grams.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("_gram")), lambda n: F.substring(F.col("_gram"), F.lit(1), n))).alias("name"))
     longest = long.agg(F.max(F.length("name")).alias("_longest"))  # one row
     pieces = words.crossJoin(F.broadcast(longest)).where(F.length("name") > KEY).select(F.explode(places).alias("_at"), "name", "_longest")
-    pieces = pieces.select(F.substring(F.col("name"), F.col("_at"), F.col("_longest")).alias("_piece")).where(F.length("_piece") > KEY).distinct()
+    pieces = pieces.select(F.substring(F.col("name"), F.col("_at"), F.col("_longest")).alias("_piece")).where(F.length("_piece") > KEY)
     keyed = pieces.select("_piece", F.substring("_piece", 1, KEY).alias("_key"))
     found = [
         whole,
-        short.join(grams, "name", "left_semi"),
-        long.join(keyed, (F.substring("name", 1, KEY) == F.col("_key")) & F.startswith(F.col("_piece"), F.col("name")), "left_semi"),
+        grams.join(short, "name", "left_semi").distinct(),
+        keyed.join(long, (F.substring("name", 1, KEY) == F.col("_key")) & F.startswith(F.col("_piece"), F.col("name"))).select("name").distinct(),
         rest.where(~plain).join(tests, F.contains(F.col("content"), F.col("name")), "left_semi"),
     ]
     met = functools.reduce(DataFrame.union, found).withColumn("tested", F.lit(True))
