@@ -1,4 +1,4 @@
-"""Graphs as edge tables: neighbours, walks, reachability, paths, cycles, components, communities, dead code.
+"""Graphs as edge tables: neighbours, walks, reachability, paths, cycles, components, communities by votes and by modularity, dead code.
 
 Loops work on frontiers, anti-joined with what was seen, and write each state as a table, so that a lost executor costs
 one round and plans don't grow. Only row counts come to the driver.
@@ -18,6 +18,8 @@ from quarryline.sources.store import written
 ENTRY_FILE = r"(?:server\.ts|server\.js|server\.tsx|cli\.ts|main\.ts|main\.tsx|index\.ts|index\.tsx|app\.tsx|app\.ts|index\.html)$|/cli/|^src/cli|test|spec|__tests__|tests"
 ROUTE_DECORATOR = r"(?i)@\w*(route|get|post|put|delete|patch|controller)"
 MAP_ENTRIES = ("server.ts", "src/cli.ts", "src/main.tsx", "src/index.ts", "src/main.ts", "src/cli/index.ts")
+#: A move must gain more than this, in links; less is rounding.
+EPSILON = 1e-9
 FUNCTION_KINDS = ("function", "method", "fn", "async-function", "arrow", "class")
 
 
@@ -261,6 +263,73 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels.withColumnRenamed("label", "community")
 
 
+def _placed(both: DataFrame, labels: DataFrame, m: int) -> DataFrame:
+    """``id, k, c0, c1, gain, inner, total``: each node's community, the one where it adds most (the least of several), what the move gains in links, the weight that it shares with its own and that one's degrees."""
+    votes = both.join(labels.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c", "w").unionByName(labels.select("id", "c", F.lit(0).cast("long").alias("w")))
+    summed = votes.groupBy("id", "c").agg(F.sum("w").alias("w"))
+    totals = labels.groupBy("c").agg(F.sum("k").alias("total"))
+    held = summed.join(labels.select("id", "k", F.col("c").alias("c0")), "id").join(totals, "c")
+    own = F.col("c") == F.col("c0")
+    value = F.col("w") - F.col("k") * (F.col("total") - F.when(own, F.col("k")).otherwise(0)) / F.lit(2.0 * m)
+    held = held.withColumn("_v", value)
+    only = lambda c: F.max(F.when(own, F.col(c)))
+    best = F.min(F.struct((-F.col("_v")).alias("v"), F.col("c").alias("c")))
+    told = held.groupBy("id").agg(F.first("k").alias("k"), F.first("c0").alias("c0"), best.alias("_b"), only("_v").alias("_stay"), only("w").alias("inner"), only("total").alias("total"))
+    return told.select("id", "k", "c0", F.col("_b.c").alias("c1"), (-F.col("_b.v") - F.col("_stay")).alias("gain"), "inner", "total")
+
+
+def _apart(wish: DataFrame) -> DataFrame:
+    """``id, c1`` of moves no two of which touch one community: those that gain most at both ends. Their gains add up."""
+    turn = F.struct("gain", "id")
+    ends = wish.select("id", "c1", turn.alias("_t"), F.explode(F.array("c0", "c1")).alias("_c"))
+    first = ends.groupBy("_c").agg(F.max("_t").alias("_t"))
+    return ends.join(first, ["_c", "_t"]).groupBy("id").agg(F.first("c1").alias("c1"), F.count("*").alias("_n")).where("_n = 2").select("id", "c1")
+
+
+def louvain(edges: DataFrame, least: float = 5e-3) -> DataFrame:
+    """``id, community``: greedy modularity in levels on the undirected simple graph; a community is named by its least id.
+
+    In each round half of the nodes (by a hash of id and round) move to the neighbouring community that gains most. Nodes that
+    move together can lose; a round after which modularity has not grown is taken back, only moves that touch different
+    communities are made, which always gain, and from then on half as many nodes move at once. A level ends when no move gains
+    or a round gains less than ``least``, at any size, so that there are at most 1 / ``least`` rounds of either kind; then
+    communities become nodes. It ends with a level that changes nothing. Loops and repeated links don't count; no link, no rows.
+    """
+    plain = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+    one = F.lit(1).cast("long").alias("w")
+    both = written(plain.select(F.col("a").alias("src"), F.col("b").alias("dst"), one).union(plain.select("b", "a", one)), "undirected")
+    m = both.count() // 2
+    labels = written(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).withColumn("c", F.col("id")), "labels")
+    member = labels.select("id", F.col("id").alias("node"))
+    rounds = itertools.count()
+    while m:
+        before, kept, share = None, None, 2
+        while True:
+            told = written(_placed(both, labels, m), "placed")
+            gains = F.expr(f"c0 <> c1 AND gain > {EPSILON}")
+            inner, spread, wishes = told.agg(F.sum("inner") / (2.0 * m), F.sum(F.col("k") * (F.col("total") / (4.0 * m * m))), F.count_if(gains)).first()
+            now = inner - spread
+            if kept is not None and now <= before:
+                moves = _apart(kept.where(gains))
+                labels = written(kept.select("id", "k", "c0").join(moves, "id", "left").select("id", "k", F.coalesce("c1", "c0").alias("c")), "labels")
+                kept, share = None, 2 * share
+            elif not wishes or (before is not None and now - before < least):
+                break
+            else:
+                turn = F.pmod(F.xxhash64("id", F.lit(next(rounds))), F.lit(share)) == 0
+                labels = told.select("id", "k", F.when(gains & turn, F.col("c1")).otherwise(F.col("c0")).alias("c"))
+                before, kept = now, told
+        if told.where("id <> c0").isEmpty():
+            break
+        place = told.select("id", F.col("c0").alias("c"))
+        member = written(member.join(place.withColumnRenamed("id", "node"), "node").select("id", F.col("c").alias("node")), "members")
+        ends = both.join(place.select(F.col("id").alias("src"), F.col("c").alias("_a")), "src").join(place.select(F.col("id").alias("dst"), F.col("c").alias("_b")), "dst")
+        both = written(ends.where("_a <> _b").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("w").alias("w")), "undirected")
+        labels = written(told.groupBy(F.col("c0").alias("id")).agg(F.sum("k").alias("k")).withColumn("c", F.col("id")), "labels")
+    names = member.groupBy("node").agg(F.min("id").alias("community"))
+    return member.join(names, "node").select("id", "community")
+
+
 def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """One row: the modularity of a partition ``id, community`` of the undirected simple graph."""
     plain = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()

@@ -656,6 +656,11 @@ def community_modularity(spark, d):
     return graph.modularity(held, graph.communities(held))
 
 
+@query()
+def louvain(spark, d):
+    return graph.louvain(_near(spark, d))
+
+
 @query()
 def map_mermaid(spark, d):
     held = _near(spark, d)

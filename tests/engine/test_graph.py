@@ -77,6 +77,41 @@ def test_communities(spark):
     assert graph.modularity(df, parts).first()[0] >= 0
 
 
+def partition_value(edges, label):
+    links = {tuple(sorted(e)) for e in edges if e[0] != e[1]}
+    m = len(links)
+    inside = sum(label[a] == label[b] for a, b in links) / m
+    degree = {}
+    for a, b in links:
+        degree[label[a]] = degree.get(label[a], 0) + 1
+        degree[label[b]] = degree.get(label[b], 0) + 1
+    return inside - sum((d / (2 * m)) ** 2 for d in degree.values())
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_louvain(spark, seed):
+    """Modularity is no lower than that of label propagation or of one community for each node, and near the best of many partitions."""
+    r = random.Random(seed)
+    group = {x: x // 8 for x in range(24)}
+    edges = [(a, b) for a in range(24) for b in range(24) if a != b and r.random() < (0.5 if group[a] == group[b] else 0.04)]
+    df = frame(spark, edges + edges[:5] + [(0, 0)])
+    parts = graph.louvain(df)
+    label = {row.id: row.community for row in parts.collect()}
+    assert set(label) == {x for e in edges for x in e} and all(label[c] == c and c == min(x for x in label if label[x] == c) for c in label.values())
+    value = partition_value(edges, label)
+    assert graph.modularity(df, parts).first()[0] == pytest.approx(value)
+    spread = {row.id: row.community for row in graph.communities(df).collect()}
+    assert value >= partition_value(edges, spread) - 1e-9 and value >= partition_value(edges, group) - 0.02
+
+
+def test_louvain_cases(spark):
+    ring = [(10 * k + a, 10 * k + b) for k in range(6) for a in range(5) for b in range(a + 1, 5)] + [(10 * k, 10 * ((k + 1) % 6) + 1) for k in range(6)]
+    assert {r.id: r.community for r in graph.louvain(frame(spark, ring)).collect()} == {10 * k + a: 10 * k for k in range(6) for a in range(5)}
+    assert graph.louvain(frame(spark, [(1, 1)])).count() == 0 and graph.louvain(frame(spark, [])).count() == 0
+    star = {r.community for r in graph.louvain(frame(spark, [(0, k) for k in range(1, 30)])).collect()}
+    assert star == {0}
+
+
 def test_map_nodes(spark):
     df = frame(spark, [(1, 2), (2, 3), (3, 4)])
     ids = graph.vertices(df)
