@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontamination, html_template, near_duplicates, packing, quality, secrets, sharding, substring_dedup, token_counts, url_filter, vocabularies
+from quarryline.llm import clustering, decontamination, html_template, importance, near_duplicates, packing, quality, secrets, sharding, substring_dedup, token_counts, toxicity, url_filter, vocabularies
 from quarryline.llm._common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -58,7 +58,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(F.col("doc.doc_id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_token_counts, op4_html_extraction, op5_substring_dedup, op6_url_filter, op7_near_duplicates, op8_quality_rules, op9_packing, op10_secrets)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, centers, _ = clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return clustering.digest(state, centers)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.find_toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_sharding, op3_token_counts, op4_html_extraction, op5_substring_dedup, op6_url_filter, op7_near_duplicates, op8_quality_rules, op9_packing, op10_secrets,
+        op11_centroid_clustering, op12_importance_resampling, op13_toxicity,
+    )
+}
 
 ORACLE_SQL["op6_url_filter"] = url_filter.oracle_sql()
 ORACLE_SQL["op1_decontamination"] = r"""
@@ -161,3 +180,49 @@ g AS (SELECT node, min(to_node) AS class_id FROM c GROUP BY node), dg AS (SELECT
 SELECT doc_id, coalesce(rep, doc_id) AS rep_id, coalesce(class_id, rep, doc_id) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_copies, 1) AS BIGINT) AS n_copies
 FROM documents d LEFT JOIN t ON t.text = d.text LEFT JOIN g ON node = rep LEFT JOIN dg ON dg.a = rep
 """
+
+ORACLE_SQL["op12_importance_resampling"] = r"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words, row_number() OVER () AS r, 's' AS side FROM documents
+  UNION ALL
+  SELECT NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), -row_number() OVER (), 't' FROM benchmark
+), f AS (
+  SELECT r, side, unnest(words) AS feature FROM w
+  UNION ALL SELECT r, side, unnest(list_transform(range(1, len(words)), lambda i: concat(words[i], ' ', words[i + 1]))) FROM w
+), x AS (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM f)),
+b AS (SELECT feature, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, length(x), 2), lambda i: CAST(concat('0x', substr(x, i, 2)) AS BIGINT)), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]))) % 10000 AS bucket FROM x, t),
+n AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM f JOIN b USING (feature) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * CAST(sum(s) OVER () + 10000 AS DOUBLE) / ((s + 1) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n),
+d AS (SELECT r, count(*) AS n_features, CAST(floor(sum(gain) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS weight FROM f JOIN b USING (feature) JOIN g USING (bucket) WHERE side = 's' GROUP BY r),
+e AS (
+  SELECT doc_id, len(words) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('7:', doc_id)), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN d USING (r) WHERE side = 's'
+), k AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY fit) AS n FROM e)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CAST(CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS BIGINT) AS rank FROM k
+"""
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """Lloyd's rounds, each an assignment by all distances and a mean of whole numbers."""
+    parts = ["""v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+), c0 AS (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INT) AS c, v FROM (SELECT v, sha256(concat('1:', vec_id)) AS h FROM v ORDER BY h LIMIT 16))"""]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS (
+  SELECT r, arg_min(struct_pack(c := c, d := d), struct_pack(d := d, c := c)) AS best
+  FROM (SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c{k}.v[i]) * (v.v[i] - c{k}.v[i]))) AS d FROM v, c{k}) GROUP BY r
+)""")
+        if k < rounds:
+            parts.append(f"""m{k} AS (
+  SELECT c, list(x ORDER BY i) AS v FROM (SELECT best.c AS c, i, CAST(floor(sum(x) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS x FROM (SELECT r, unnest(v) AS x, unnest(range(1, 65)) AS i FROM v) JOIN a{k} USING (r) GROUP BY ALL) GROUP BY c
+), c{k + 1} AS (SELECT c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (c))""")
+    return f"""WITH {', '.join(parts)}
+SELECT vec_id, best.c AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN c{rounds} ON c{rounds}.c = best.c"""
+
+
+ORACLE_SQL["op11_centroid_clustering"] = _clusters_sql()
