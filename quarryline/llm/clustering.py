@@ -58,7 +58,9 @@ def reassign(x: np.ndarray, centers: np.ndarray, moved: np.ndarray, cluster: np.
     n = len(x)
     slack = moved * (1 + SLACK)
     lower = lower - slack[near]
-    rest = rest - slack.max()
+    listed = np.zeros((n, len(centers)), dtype=bool)
+    np.put_along_axis(listed, np.concatenate([cluster[:, None], near], axis=1).astype(np.int64), True, axis=1)
+    rest = rest - np.where(listed, 0.0, slack).max(1)
     if n_near < near.shape[1]:  # bounds that are listed no more join the rest
         rest = np.minimum(rest, lower[:, n_near:].min(1))
         near, lower = near[:, :n_near], lower[:, :n_near]
@@ -125,9 +127,9 @@ def _assigned(rows: DataFrame, centers: np.ndarray, moved: np.ndarray | None, n_
 def scaled_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = 64, scale: int = 64) -> DataFrame:
     """``vec_id, v``: the vectors that are kept, each component ``x`` as ``floor(scale * x)``."""
     x = F.col(vector_col)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(F.size(x) == dims, F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("double"))).alias("scaled"))
-    fits = F.forall("scaled", lambda c: F.coalesce((F.abs(c) <= F.lit(float(MOST))) & ~F.isnan(c), F.lit(False)))
-    return rows.where(F.col("scaled").isNotNull() & fits).select("vec_id", F.col("scaled").cast("array<int>").alias("v"))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(F.size(x) == dims, F.transform(x, lambda c: F.lit(float(scale)) * c.cast("double"))).alias("scaled"))
+    fits = F.forall("scaled", lambda c: F.coalesce(c.between(float(-MOST), float(MOST)), F.lit(False)))  # NaN is above all numbers
+    return rows.where(F.col("scaled").isNotNull() & fits).select("vec_id", F.transform("scaled", lambda c: F.floor(c).cast("int")).alias("v"))
 
 
 def cluster_vectors(vectors: DataFrame, *, k: int = 16, rounds: int = 3, n_near: int | None = None, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = 64, scale: int = 64) -> tuple[DataFrame, np.ndarray, list[dict]]:

@@ -3,6 +3,7 @@
 Multiple-instance learning: a document is a bag of sentences. A sentence's score is a logistic function of its features;
 a document's is their noisy-or, ``1 - prod(1 - p)``, so one toxic sentence is enough and clean ones need not agree. Only
 documents have labels; the gradient of the document's likelihood reaches each sentence by its share in the noisy-or.
+A sentence that stands again, with the same words, is no new evidence and counts once.
 
 Features of a sentence are its distinct words in lower case and the beginnings of 3 to 8 letters of each, so that forms of
 a stem that labels never showed are met too. They are hashed into ``2**18`` weights, of which those count that at least
@@ -20,6 +21,7 @@ every score is 0. An empty table gives an empty result. Columns besides id and t
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -63,10 +65,10 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(f"={word}".encode("utf-8", "replace")) % BUCKETS, *(zlib.crc32(word[:n].encode("utf-8", "replace")) % BUCKETS if len(word) >= n else BUCKETS for n in BEGINNINGS)]
 
 
-def sentences(text: str | None) -> Iterator[tuple[int, int, set[str]]]:
+def sentences(text: str | None) -> Iterator[tuple[int, int, frozenset[str]]]:
     """(start, end, distinct words) of each sentence with a word, in code points."""
     for m in SENTENCE.finditer(text or ""):
-        if words := set(WORD.findall(m[0].lower())):
+        if words := frozenset(WORD.findall(m[0].lower())):
             own = m[0]
             yield m.start() + len(own) - len(own.lstrip()), m.start() + len(own.rstrip()), words
 
@@ -101,7 +103,7 @@ class Bags:
         self.docs = []
         for text in texts:
             words, of = [], []
-            for k, (_, _, own) in enumerate(sentences(text)):
+            for k, own in enumerate(dict.fromkeys(own for _, _, own in sentences(text))):
                 words += [number.setdefault(w, len(number)) for w in sorted(own)]
                 of += [k] * len(own)
             self.docs.append((np.array(words, dtype=np.int64), np.array(of, dtype=np.int64), 1 + of[-1] if of else 0))
@@ -200,7 +202,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, *, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
+        weights, line = shared.value, math.log(least / (1 - least))
         weigh = None if weights is None else _Weighed(weights).__getitem__
         for batch in source:
             told, found = [], []
@@ -208,13 +210,11 @@ def score(docs: DataFrame, weights: np.ndarray | None, *, id_col: str = "doc_id"
                 if weigh is None:
                     told.append(0.0), found.append([])
                     continue
-                held, z = [], []
-                for start, end, words in sentences(value.as_py()):
-                    held.append((start, end)), z.append(sum(map(weigh, words)))
-                odds = np.array(z) + weights[-1]
-                p = np.exp(-_softplus(-odds))
-                told.append(noisy_or(odds))
-                found.append([{"start": held[k][0], "end": held[k][1], "score": float(p[k])} for k in np.flatnonzero(p >= least)])
+                held = list(sentences(value.as_py()))
+                odds = {words: sum(map(weigh, words)) + weights[-1] for words in dict.fromkeys(words for _, _, words in held)}
+                told.append(noisy_or(np.fromiter(odds.values(), dtype=np.float64, count=len(odds))))
+                p = {words: 1 / (1 + math.exp(-z)) for words, z in odds.items() if z >= line}
+                found.append([{"start": start, "end": end, "score": p[words]} for start, end, words in held if words in p] if p else [])
             columns = [pa.array(told, pa.float64()), pa.array([int(s >= 0.5) for s in told], pa.int32()), pa.array(found, SENTENCES)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "score", "predicted", "sentences"])
 
