@@ -41,8 +41,8 @@ from quarryline.llm.wordhash import ROLL, groups, run_hashes, running_min, withi
 
 WINDOW = 13
 INNER = 6
-FANOUT = 4
-BATCHES = 2
+FANOUT = 2
+BATCHES = 3
 #: The id that stands for all documents of earlier calls.
 EARLIER = -(1 << 63)
 #: Packed texts opened at a time, and windows of texts that are settled together.
@@ -347,6 +347,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     own = own.join(gone, (F.col("doc_id") == F.col("copy_id")) & (F.xxhash64("text") == F.col("copy_hash")), "left_anti").where("doc_id IS NOT NULL")
     added, matched = [], None
     for k in range(batches):
+        if index is None:  # of a kept index the runs of earlier calls are told apart until the call ends
+            held.compact()
         batch = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)
         number, found = held.add(document_fingerprints(batch, "doc_id", "text"), _texts_of(batch) if index is not None else None)
         added.append(number)

@@ -7,6 +7,7 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from urllib.parse import quote
@@ -361,6 +362,71 @@ def test_html_boilerplate_of_any_length(spark):
         assert told == {k: f"Title {k}\nText of page {k} that is long enough to be worth reading, all {k} words of it, for a page needs some text." for k in range(8)}
 
 
+WRAPPERS = ("sidebar-right", "with_sidebar", "site-header-fixed", "layout-sidebar-left", "page nav-open", "post related-content", "share-post", "post-login-required", "widget-area-main", "main-content menu-open", "plain", "alert", "has-footer")
+
+
+def test_html_names_leave_out_no_page(spark):
+    """A name alone leaves out nothing that holds most of a page's text, on a single page or on a host's pages."""
+    html = '<html><body><nav><a href="/">Home</a></nav><div class="{n}"><div class=post><h1>Title {k}</h1><p>The first words of page {k}.</p><p>Then {k} more of them</p><div class="ad">Buy {k}</div></div></div></body></html>'
+    told = [(k, n, f"https://{j}.org/{k}", html.format(n=n, k=k)) for j, n in enumerate(WRAPPERS) for k in range(6)]
+    pages = spark.createDataFrame([(100 * j + k, url, h) for j, (k, _, url, h) in enumerate(told)], "page_id long, url string, html string")
+    expected = {100 * j + k: f"Title {k}\nThe first words of page {k}.\nThen {k} more of them" for j, (k, *_) in enumerate(told)}
+    assert {r.page_id: r.text for r in html_template.extract(pages).collect()} == expected
+    text = lambda s: html_template.Page(s).text()
+    assert text('<div class=post><h1>T</h1><p>short</p></div><div class="comments"><p>a comment that is longer than the post</p></div>') == "T\nshort"
+    assert text('<div class=post><h1>T</h1><p>long enough to be the page</p></div><div class="sidebar"><p>little</p></div>') == "T\nlong enough to be the page"
+
+
+def test_html_short_articles_beside_long_notices(spark):
+    notice = "This notice has six sentences. " * 6
+    for heading in ("<h1>Title {k}</h1>", ""):
+        pages = [(k, f"https://a.org/{k}", f"<body><div><p>{notice}</p>" + heading.format(k=k) + f"<p>Short text {k}.</p></div></body>") for k in range(8)]
+        told = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+        assert told == {k: (f"Title {k}\n" if heading else "") + f"Short text {k}." for k in range(8)}
+
+
+def test_html_near_copies_of_an_article_stay(spark):
+    """Pages of one title and heading are one article, so what they share is no boilerplate."""
+    pages = [(k, f"https://a.org/{k}", f"<body><div><h1>One title</h1><p>The same words on all of them.</p><p>The same again.</p><p>Seen {k} times</p></div></body>") for k in range(5)]
+    told = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert told == {k: f"One title\nThe same words on all of them.\nThe same again.\nSeen {k} times" for k in range(5)}
+
+
+def test_html_against_pages_of_known_text(spark):
+    """Pages put together from known paragraphs, markup and boilerplate; what is expected is what went in, read by no parser."""
+    r = random.Random(11)
+    words = lambda n: " ".join(r.choice(["salt", "Wind", "a&b", "<x>", "für", "日本", "it's", "9", '"q"', "no."]) for _ in range(n))
+    shown = lambda t: t.replace("&", r.choice(["&amp;", "&#38;", "&#x26;"])).replace("<", "&lt;").replace(">", r.choice(["&gt;", "&#62;"]))
+
+    def marked(t):
+        out = shown(t).split(" ")
+        at = r.randrange(len(out))
+        out[at] = r.choice(["<b>{}</b>", "<a href='x>y'>{}</a>", '<span class="big">{}</span>', "<i>{}", "{}"]).format(out[at])
+        return r.choice([" ", "\n ", "&nbsp; "]).join(out)
+
+    pages, expected = [], {}
+    for host in range(12):
+        tag, notice = r.choice(["article", "main", "div"]), shown(words(r.choice([5, 60])))
+        for k in range(r.choice([1, 2, 5, 9])):
+            said = [f"{words(3)} {len(pages)}.{j} {words(r.randint(3, 20))}" for j in range(r.randint(1, 6))]
+            body = "".join(r.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<div><div>{}</div></div>", "<ul><li>{}</ul>", "<section>{}</section>", "<blockquote>{}</blockquote>"]).format(marked(t)) for t in said)
+            noise = lambda: r.choice(["<script>if (a < b) '</p>'</script>", "<!-- <p>x</p> -->", "<aside>Read <b>also</b></aside>", "<style>p > a {}</style>", "<form><p>Name</p><input></form>", '<div class="ad">Buy <i>now</i></div>', '<p role="alert">Look</p>', "<div id=comments-list class=comments><p>Nice</p></div>"])
+            site = f"<div class=top>{notice}</div>" if tag != "div" else ""
+            source = f"<!DOCTYPE html><html><head><title>t {len(pages)}</title></head><body>{noise()}<header><p>Site</p></header>{site}<nav><ul><li><a href=/>Home</a><li>In</ul></nav><{tag} data-x='1>0'>{noise()}{body}{noise()}</{tag}><footer>f</footer>{noise()}</body></html>"
+            expected[len(pages)] = "\n".join(said)
+            pages.append((len(pages), f"https://h{host}.org/{k}", source))
+    told = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert told == expected
+
+
+@pytest.mark.parametrize("source", ['<a "' * 200_000, "<a x='" * 200_000, "<div><p>x</p>" * 40_000, "<b>" * 50_000 + "<div></div>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<div>" * 50_000 + "<li></li>" * 50_000, "<div class=ad>" * 20_000 + "x<article>y</article>" * 20_000, "<!" * 200_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000, '<a x=">" ' * 100_000, "<div>" * 40_000 + "</section>" * 40_000, "<" * 300_000, "&" * 300_000, "<p>" + "&amp;" * 200_000], ids=lambda s: s[:12])
+def test_html_costs_its_length(source):
+    began = time.perf_counter()
+    page = html_template.Page(source)
+    page.tokens(), page.text(frozenset([1]))
+    assert time.perf_counter() - began < 20
+
+
 def test_html_shuffled_side(spark, monkeypatch):
     pages = spark.createDataFrame([(k, f"https://h{k % 3}.com/{k}", PAGE.format(k=k, main="div")) for k in range(30)], "page_id long, url string, html string")
     expected = sorted(map(tuple, html_template.extract(pages).collect()))
@@ -396,6 +462,19 @@ def test_substring_dedup(docs, rows, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_compacts(spark, docs, monkeypatch):
+    """A call on its own merges its runs, and meets merged ones."""
+    written, write = [], substring_dedup.FingerprintIndex._write
+
+    def seen(self, rows, level):
+        written.append(level)
+        return write(self, rows, level)
+
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "_write", seen)
+    substring_dedup.remove_repeats(docs)
+    assert written == [0, 0, 1, 0]
+
+
 def test_fingerprint_index(spark):
     """Runs grow, match and merge level by level; merging changes no match and shuffles nothing."""
     rows = lambda *p: spark.createDataFrame(list(p), "fp long, doc_id long")
