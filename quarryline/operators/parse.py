@@ -1,13 +1,14 @@
-"""Symbols, imports and calls by line patterns; routes and commit logs. A parser function may replace the patterns."""
+"""Symbols, imports and calls: of JavaScript and TypeScript from their tokens, of other languages, and of scripts that can't be lexed, by line patterns; routes and commit logs. A parser function may replace both for symbols."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from quarryline.functions import script
 from quarryline.functions.paths import extension
 from quarryline.functions.text import complexity, lines, split_lines
 
@@ -23,9 +24,56 @@ def _found(all_lines: DataFrame, where: Column, name: Column, kind: str, span: i
     )
 
 
-def symbols(files: DataFrame, parser: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``symbol_id, name, kind, file_path, start_line, end_line, complexity, param_count, is_exported, parse_seq``; of equal ids the first stays."""
-    found = parser(files) if parser else pattern_symbols(files)
+SCRIPTS = "file_path string, symbols array<struct<name:string,kind:string,start_line:int,end_line:int,is_exported:boolean>>, imports array<struct<specifier:string,imported_names:array<string>>>, calls array<struct<callee:string,line:int>>, content string"
+
+
+def scripts(files: DataFrame) -> DataFrame:
+    """Of each script its ``symbols, imports, calls``, arrays in the order of the source, and ``content``, null but where the script can't be lexed: line patterns read those."""
+    rows = files.where(extension(F.col("file_path")).isin(*SCRIPT)).select("file_path", "content")
+    kinds = [
+        pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("is_exported", pa.bool_())])),
+        pa.list_(pa.struct([("specifier", pa.string()), ("imported_names", pa.list_(pa.string()))])),
+        pa.list_(pa.struct([("callee", pa.string()), ("line", pa.int32())])),
+    ]
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            told: list[tuple] = []
+            for path, content in zip(batch.column("file_path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                plain = path.endswith((".js", ".jsx"))
+                try:
+                    code = script.lex(content or "", not path.endswith(".ts"))
+                    told.append((script.symbols(code), script.imports(code, plain), script.calls(code, plain), None))
+                except script.NotLexed:
+                    told.append(([], [], [], content))
+            columns = list(zip(*told, strict=True)) if told else [()] * 4
+            held = [pa.array([[dict(zip([f.name for f in kind.value_type], one, strict=True)) for one in row] for row in column], kind) for column, kind in zip(columns, kinds, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("file_path"), *held, pa.array(columns[3], pa.string())], ["file_path", "symbols", "imports", "calls", "content"])
+
+    return rows.mapInArrow(batches, SCRIPTS)
+
+
+def _by_patterns(files: DataFrame, lexed: DataFrame) -> DataFrame:
+    """The files that line patterns read: those that are no scripts, and scripts that can't be lexed."""
+    others = files.where(~F.coalesce(extension(F.col("file_path")).isin(*SCRIPT), F.lit(False))).select("file_path", "content")
+    return others.unionByName(lexed.where("content IS NOT NULL").select("file_path", "content"))
+
+
+def lexed_symbols(lexed: DataFrame) -> DataFrame:
+    told = lexed.select("file_path", F.posexplode("symbols").alias("_k", "s"))
+    return told.select("file_path", "s.name", "s.kind", "s.start_line", "s.end_line", "s.is_exported", F.struct(F.col("s.start_line").alias("line_no"), F.col("_k").alias("k")).alias("_order"))
+
+
+def symbols(files: DataFrame, parser: Callable[[DataFrame], DataFrame] | None = None, lexed: DataFrame | None = None) -> DataFrame:
+    """``symbol_id, name, kind, file_path, start_line, end_line, complexity, param_count, is_exported, parse_seq``; of equal ids the first stays.
+
+    ``lexed`` is the result of ``scripts`` where it is at hand.
+    """
+    if parser:
+        found = parser(files)
+    else:
+        lexed = scripts(files) if lexed is None else lexed
+        found = lexed_symbols(lexed).unionByName(pattern_symbols(_by_patterns(files, lexed)))
     bodies = files.select("file_path", split_lines(F.col("content")).alias("_lines"))
     body = F.array_join(F.slice("_lines", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n")
     joined = found.join(bodies, "file_path").withColumn("_body", body).drop("_lines")
@@ -77,8 +125,15 @@ def param_count(name: Column, kind: Column, body: Column) -> Column:
     return F.when(~F.lower(kind).isin("function", "method", "fn"), 0).when(bare, 1).otherwise(count)
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """``file_path, specifier, imported_names, parse_seq``, in the order of lines; re-exports and requires count, ``*`` stands for all."""
+def imports(files: DataFrame, lexed: DataFrame | None = None) -> DataFrame:
+    """``file_path, specifier, imported_names, parse_seq``, in the order of the source; re-exports and requires count, ``*`` stands for all. Default and namespace imports of scripts name nothing."""
+    lexed = scripts(files) if lexed is None else lexed
+    told = lexed.select("file_path", F.posexplode("imports").alias("_k", "i")).where("i.specifier <> ''")
+    own = told.select("file_path", "i.specifier", "i.imported_names", F.row_number().over(Window.partitionBy("file_path").orderBy("_k")).alias("parse_seq"))
+    return own.unionByName(pattern_imports(_by_patterns(files, lexed)))
+
+
+def pattern_imports(files: DataFrame) -> DataFrame:
     held = lines(files).withColumn("_ext", extension(F.col("file_path")))
     line, script, python = F.col("line"), F.col("_ext").isin(*SCRIPT), F.col("_ext") == ".py"
     source = lambda rx, g=1: F.regexp_extract(line, rx, g)
@@ -102,8 +157,15 @@ def imports(files: DataFrame) -> DataFrame:
     return told.select("file_path", "i.specifier", "i.imported_names", F.row_number().over(Window.partitionBy("file_path").orderBy("line_no", "i.k")).alias("parse_seq"))
 
 
-def calls(files: DataFrame) -> DataFrame:
-    """``file_path, callee, line, parse_seq``: dotted names before parentheses, without declarations and control words."""
+def calls(files: DataFrame, lexed: DataFrame | None = None) -> DataFrame:
+    """``file_path, callee, line, parse_seq``: dotted names of what is called; a call of a call's result is known by its last names."""
+    lexed = scripts(files) if lexed is None else lexed
+    told = lexed.select("file_path", F.posexplode("calls").alias("_k", "c"))
+    return told.select("file_path", "c.callee", "c.line", (F.col("_k") + 1).alias("parse_seq")).unionByName(pattern_calls(_by_patterns(files, lexed)))
+
+
+def pattern_calls(files: DataFrame) -> DataFrame:
+    """Dotted names before parentheses, without declarations and control words."""
     held = lines(files)
     code = F.regexp_replace(F.regexp_replace("line", r"//.*$|#.*$", ""), r"\b(?:async\s+)?(?:function\s*\*?|def|func|fn|class)\s+[\w$]+\s*\(", "; (")
     names = F.regexp_extract_all(code, F.lit(r"((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*\("), F.lit(1))

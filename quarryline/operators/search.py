@@ -1,14 +1,18 @@
-"""Ranked search over line windows: terms, candidates, qualifiers, BM25, symbols."""
+"""Ranked search over line windows: terms, candidates, qualifiers, structural patterns, BM25, symbols."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.paths import short_language
+from quarryline.functions import pattern as patterns
+from quarryline.functions.paths import extension, short_language
+from quarryline.functions.script import NotLexed, lex
 from quarryline.functions.text import STOP_WORDS, token_estimate, tokens
 from quarryline.operators.link import overlapping_symbol
 from quarryline.sources.store import written
@@ -86,6 +90,52 @@ def matching(chunks: DataFrame, pattern: str) -> DataFrame:
     return chunks.where(F.col("content").rlike(pattern_regex(pattern)))
 
 
+MATCHES = "file_path string, lexed boolean, matches array<struct<start:int,start_line:int,end_line:int,content:string,captures:map<string,string>>>"
+
+
+def _matched(files: DataFrame, pattern: str) -> DataFrame:
+    """``file_path, lexed, matches`` of each script; ``lexed`` is false where its tokens can't be told."""
+    wanted = patterns.compiled(pattern)
+    words = [value for kind, value, *_ in wanted if kind == "token" and re.match(r"[A-Za-z_$]", value)]
+    held = files.where(extension(F.col("file_path")).isin(".ts", ".tsx", ".js", ".jsx")).select("file_path", "content")
+    one = pa.struct([("start", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("content", pa.string()), ("captures", pa.map_(pa.string(), pa.string()))])
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            lexed, told = [], []
+            for path, content in zip(batch.column("file_path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                found: list[tuple] = []
+                try:
+                    if all(w in (content or "") for w in words):
+                        found = patterns.matches(lex(content or "", not path.endswith(".ts")), wanted)
+                    lexed.append(True)
+                except NotLexed:
+                    lexed.append(False)
+                told.append([{"start": at, "start_line": a, "end_line": b, "content": text, "captures": list(names.items())} for at, a, b, text, names in found])
+            yield pa.RecordBatch.from_arrays([batch.column("file_path"), pa.array(lexed, pa.bool_()), pa.array(told, pa.list_(one))], ["file_path", "lexed", "matches"])
+
+    return held.mapInArrow(batches, MATCHES)
+
+
+def structural(files: DataFrame, pattern: str) -> DataFrame:
+    """``file_path, start (place in the text), start_line, end_line, content, captures``: where the scripts among ``files`` have code of a pattern (see ``functions.pattern``)."""
+    return _matched(files, pattern).select("file_path", F.explode("matches").alias("m")).select("file_path", "m.*")
+
+
+def matching_code(chunks: DataFrame, files: DataFrame, pattern: str) -> DataFrame:
+    """For scripts the stretches that match, as windows; for other files, and scripts whose tokens can't be told, the windows that the pattern's regular expression finds."""
+    own = files.join(chunks.select("file_path").distinct(), "file_path", "left_semi")
+    try:
+        told = written(_matched(own, pattern), "matches")
+    except NotLexed:
+        return matching(chunks, pattern)
+    by_text = matching(chunks.join(told.where("lexed").select("file_path"), "file_path", "left_anti"), pattern)
+    found = told.select("file_path", F.explode("matches").alias("m")).select(
+        F.concat_ws("_", F.lit("ast"), "file_path", "m.start").alias("chunk_id"), "file_path", F.col("m.start").alias("chunk_seq"), "m.start_line", "m.end_line", "m.content", F.lit(f"Code of the pattern {pattern}").alias("summary"), F.array().cast("array<string>").alias("intent_tags")
+    )
+    return by_text.unionByName(found.select(*[c for c in found.columns if c in chunks.columns]), allowMissingColumns=True)
+
+
 def candidates(chunks: DataFrame, term_rows: DataFrame, query: list[str]) -> DataFrame:
     """All windows of files that have one of the terms."""
     return chunks.join(term_rows.where(F.col("term").isin(query)).select("file_path").distinct(), "file_path", "left_semi")
@@ -151,15 +201,18 @@ def query_scores(docs: DataFrame, queries: DataFrame, *, doc_id: str, doc_text:
     return wanted.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
 
 
-def search(chunks: DataFrame, term_rows: DataFrame, query: str, *, symbols: DataFrame | None = None, pattern: str | None = None, limit: int = 10, mode: str = "token", **options) -> DataFrame:
-    """Ranked windows for a query with qualifiers; scores and their statistics are over the windows that the qualifiers leave."""
+def search(chunks: DataFrame, term_rows: DataFrame, query: str, *, symbols: DataFrame | None = None, pattern: str | None = None, files: DataFrame | None = None, limit: int = 10, mode: str = "token", **options) -> DataFrame:
+    """Ranked windows for a query with qualifiers; scores and their statistics are over the windows that the qualifiers leave.
+
+    With ``files`` a pattern is matched against the code of scripts, and what matches takes the place of their windows.
+    """
     told = parse_query(query)
     words = tokenize_query(told.text)
     held = candidates(chunks, term_rows, words) if words else chunks
     if words and held.isEmpty():
         held = chunks
     if pattern:
-        held = matching(held, pattern)
+        held = matching(held, pattern) if files is None else matching_code(held, files, pattern)
     held = qualified(held, told.qualifiers, **options)
     if told.text.strip():
         phrase = F.when(F.contains(F.lower("content"), F.lit(told.text.lower())), 3.0).otherwise(0.0)

@@ -17,7 +17,7 @@ from quarryline.sources import files as sources
 
 def search(index: Index, query: str, **options) -> DataFrame:
     """Ranked windows with their symbol; qualifiers stand in the query or in the options of ``operators.search.search``."""
-    return S.search(index.chunks, index.terms if index.terms is not None else S.terms(index.chunks), query, symbols=index.symbols, **options)
+    return S.search(index.chunks, index.terms if index.terms is not None else S.terms(index.chunks), query, symbols=index.symbols, files=index.contents, **options)
 
 
 def grep(files: DataFrame, pattern: str) -> DataFrame:
