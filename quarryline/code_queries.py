@@ -6,10 +6,12 @@ with the library.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.operators import chunks, graph, link, mining, rules, search
+from quarryline.operators import chunks, graph, link, mining, parse, rules, search, substrings
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -279,3 +281,79 @@ def import_relative(spark, d):
     files = spark.createDataFrame([(t,) for s, t in _SPECS if s != t], "file_path string").distinct().unionAll(orders)
     imports = orders.select("file_path", F.explode(F.array(*[F.lit(s) for s, _ in _SPECS])).alias("specifier"))
     return link.resolve_imports(imports, files).select("file_path", "specifier", "target", "resolved")
+
+
+# Parsed code --------------------------------------------------------------------------------------------------------
+# Every document is the body of a function, as comments, between declarations, strings and patterns that hold brackets and
+# keywords. Where each declaration begins and ends follows from the number of lines, so that the SQL parses nothing.
+
+#: Lines before and after the document's own; {i}, {i3}, {i5} and {i7} stand for its id and the rest of its division.
+_HEAD = "import { a{i}, type T as b } from './m{i7}'; // import { no } from 'no'\nexport async function f{i}(x: { a: number }, y = [1, 2]): Promise<{ ok: boolean }> {"
+_TAIL = """  if (x && y) { return g{i5}(`t ${h(x)} } g(`, /[})]\\/(\\/g/) }
+}
+const k = { m() { return this.n.p(1) } }, z = (q) =>
+  q + 1
+/* class No { */ class C{i3} extends B { s() { super.s(); new D(`}`, '{') } }
+pair(x.y, x
+  .y); pair(x, y) // pair(x, x)
+export { z }"""
+
+
+def _filled(lines: str) -> Column:
+    parts = re.split(r"\{i(\d?)\}", lines)
+    number = lambda n: F.col("doc_id") % int(n) if n else F.col("doc_id")
+    return F.concat(*[number(p).cast("string") if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+
+def scripts(spark: SparkSession, d: str) -> DataFrame:
+    """``file_path, content``: each document as a script."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"""[^a-zA-Z0-9 {(`'"/\n]""", "_")
+    body = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.concat(F.lit("  // "), x)), "\n")
+    whole = F.concat_ws("\n", _filled(_HEAD), body, _filled(_TAIL))
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("src/d"), "doc_id", F.lit(".ts")).alias("file_path"), whole.alias("content"))
+
+
+_SCRIPTS = r"""d AS (SELECT doc_id, concat('src/d', doc_id, '.ts') AS file_path, string_split(regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9 {(`''"/\n]', '_', 'g'), chr(10)) AS l FROM documents),
+n AS (SELECT doc_id, file_path, l, CAST(len(l) AS INT) AS n FROM d)"""
+_WORDS = r"len(regexp_extract_all(array_to_string(l, chr(10)), '\b(if|else\s+if|for|while|catch|case)\b'))"
+
+
+@query(
+    f"""WITH {_SCRIPTS} SELECT concat(file_path, '#f', doc_id) AS symbol_id, 'FUNCTION' AS kind, 2 AS start_line, n + 4 AS end_line, CAST({_WORDS} + 1 AS INT) AS complexity, 2 AS param_count, true AS is_exported, 1 AS parse_seq FROM n
+UNION ALL SELECT concat(file_path, '#z'), 'FUNCTION', n + 5, n + 6, 0, 0, false, 2 FROM n
+UNION ALL SELECT concat(file_path, '#C', doc_id % 3), 'CLASS', n + 7, n + 7, 0, 0, false, 3 FROM n"""
+)
+def parsed_symbols(spark, d):
+    """Extents, branch words, parameters and export flags of functions as long as the documents."""
+    return parse.symbols(scripts(spark, d)).select("symbol_id", "kind", "start_line", "end_line", "complexity", "param_count", "is_exported", "parse_seq")
+
+
+@query(f"WITH {_SCRIPTS} SELECT file_path, concat('./m', doc_id % 7) AS specifier, concat('a', doc_id, ',T') AS names FROM n")
+def parsed_imports(spark, d):
+    return parse.imports(scripts(spark, d)).select("file_path", "specifier", F.array_join("imported_names", ",").alias("names"))
+
+
+@query(
+    f"""WITH {_SCRIPTS} SELECT file_path, callee, line, CASE src WHEN '' THEN file_path ELSE concat(file_path, '#', src) END AS src FROM (
+SELECT file_path, concat('g', doc_id % 5) AS callee, n + 3 AS line, concat('f', doc_id) AS src FROM n UNION ALL SELECT file_path, 'h', n + 3, concat('f', doc_id) FROM n UNION ALL SELECT file_path, 'n.p', n + 5, 'z' FROM n
+UNION ALL SELECT file_path, 'super.s', n + 7, concat('C', doc_id % 3) FROM n UNION ALL SELECT file_path, 'pair', n + 8, '' FROM n UNION ALL SELECT file_path, 'pair', n + 9, '' FROM n)"""
+)
+def parsed_callers(spark, d):
+    """Calls with the symbol that spans them."""
+    files = scripts(spark, d)
+    lexed = parse.scripts(files)
+    return link.callers(parse.calls(files, lexed), parse.symbols(files, lexed=lexed)).select("file_path", "callee", "line", "src")
+
+
+@query(f"WITH {_SCRIPTS} SELECT file_path, n + 8 AS start_line, n + 9 AS end_line, 'x.y' AS arg FROM n")
+def structural_matches(spark, d):
+    """Calls of a function with two equal arguments, over line breaks, and none in comments."""
+    return search.structural(scripts(spark, d), "pair($A, $A)").select("file_path", "start_line", "end_line", F.col("captures")["A"].alias("arg"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license')")
+def indexed_grep(spark, d):
+    """Documents that hold a string in any case: trigrams name the ones to look at, their texts decide."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    told = substrings.lookup(substrings.postings(docs.select("doc_id", F.lower("text").alias("text")), "doc_id", "text"), "LICENSE")
+    return docs.join(told.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").where(F.contains(F.lower("text"), F.lit("license"))).select("doc_id")

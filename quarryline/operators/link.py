@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.paths import import_candidates, normalize_path, path_suffixes
@@ -42,14 +42,19 @@ def callers(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return found.select("file_path", "parse_seq", "callee", "line", F.coalesce("symbol_id", "file_path").alias("src"))
 
 
-def call_edges(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """``src, dst, edge_type, line``, each once. A callee is an exported symbol of that name: of the same file before those of imported files before any; unknown names stay bare.
+def short_name(callee: Column) -> Column:
+    """What stands after the last dot."""
+    return F.element_at(F.split(callee, r"\."), -1)
+
+
+def call_links(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """``file_path, parse_seq, callee, line, src, dst`` of each call. A callee is an exported symbol of that name: of the same file before those of imported files before any; unknown names stay bare.
 
     Local symbols count even if they are not exported. Each rank is an aggregate of the symbols by its key and an equi-join
     with at most one row of it for each call (a row for each import, for imported files), so that names which many files
     define meet no list of them.
     """
-    sites = callers(calls, symbols).withColumn("name", F.element_at(F.split("callee", r"\."), -1))
+    sites = callers(calls, symbols).withColumn("name", short_name(F.col("callee")))
     by = F.struct("file_path", "parse_seq", "symbol_id")
     known = symbols.join(sites.select("name").distinct(), "name", "left_semi")
     local = known.groupBy("file_path", "name").agg(F.min(by)["symbol_id"].alias("_local"))
@@ -59,7 +64,27 @@ def call_edges(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> Data
     near = imported.join(by_file.withColumnRenamed("file_path", "target"), "target").groupBy("file_path", "name").agg(F.min("_e")["symbol_id"].alias("_near"))
     any_ = exported.groupBy("name").agg(F.min(by)["symbol_id"].alias("_any"))
     met = sites.join(local, ["file_path", "name"], "left").join(near, ["file_path", "name"], "left").join(any_, "name", "left")
-    return met.select("src", F.coalesce("_local", "_near", "_any", "name").alias("dst"), F.lit("calls").alias("edge_type"), "line").distinct()
+    return met.select("file_path", "parse_seq", "callee", "line", "src", F.coalesce("_local", "_near", "_any", "name").alias("dst"))
+
+
+def edges_of(links: DataFrame) -> DataFrame:
+    """``src, dst, edge_type, line`` of call links, each once."""
+    return links.select("src", "dst", F.lit("calls").alias("edge_type"), "line").distinct()
+
+
+def call_edges(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    return edges_of(call_links(calls, symbols, imports))
+
+
+def stale_specifiers(imports: DataFrame, moved: DataFrame) -> DataFrame:
+    """``file_path, specifier`` of the imports whose target may be another one when the files ``moved`` (file_path) come or go: the target goes, a candidate path or a path that ends with the specifier comes or goes."""
+    specs = imports.select("file_path", "specifier", "target").distinct()
+    gone = specs.join(moved.select(F.col("file_path").alias("target")), "target", "left_semi")
+    relative = specs.where(F.col("specifier").startswith(".") | F.col("specifier").startswith("/"))
+    tried = relative.select("file_path", "specifier", F.explode(import_candidates(F.col("file_path"), F.col("specifier"))).alias("_path")).join(moved.select(F.col("file_path").alias("_path")), "_path", "left_semi")
+    endings = moved.select(F.explode(path_suffixes(F.col("file_path"))).alias("_ending")).distinct()
+    ended = specs.where(~F.col("specifier").startswith(".")).withColumn("_ending", normalize_path(F.col("specifier"))).join(endings, "_ending", "left_semi")
+    return gone.select("file_path", "specifier").union(tried.select("file_path", "specifier")).union(ended.select("file_path", "specifier")).distinct()
 
 
 def import_edges(imports: DataFrame) -> DataFrame:

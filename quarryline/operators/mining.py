@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarryline import schemas
 from quarryline.functions.paths import dirname, stem
 from quarryline.functions.text import char_code_sum, lines, trimmed
+from quarryline.operators.substrings import contained
 from quarryline.sources.store import ranged, written
 
 # Architectural boundaries that hold by default.
@@ -24,8 +25,6 @@ TEST_FILE = r"\.test\.|\.spec\.|/test/|/tests/|__tests__"
 
 #: Files of a commit that are paired within one task at a time.
 BLOCK = 1000
-#: Characters of a name by which it meets the pieces of words.
-KEY = 8
 WORD = r"\p{L}\p{M}\p{N}_$"
 
 
@@ -218,30 +217,19 @@ def is_test_file(path: Column) -> Column:
 def test_gap(exports: DataFrame, files: DataFrame) -> DataFrame:
     """``file_path, name, tested``: whether any test file has the name in its text. Names are met once each, however many files export them.
 
-    A name of word characters stands in a text if it stands in one of its words. So the distinct words are cut at each place,
-    and names meet the pieces by their first ``KEY`` characters. Other names meet the texts in a nested-loop join.
+    A name of word characters stands in a text if it stands in one of its words, so that such names meet the distinct words
+    of all texts; other names meet the texts. Both meet by trigrams (see ``substrings``).
     """
     tests = files.where(is_test_file(F.col("file_path"))).select("content")
     wanted = exports.where(~is_test_file(F.col("file_path")) & (F.col("name") != "") & (F.col("name") != "default")).select("file_path", "name")
-    names = wanted.select("name").distinct()
-    words = written(tests.select(F.explode(F.array_distinct(F.split("content", f"[^{WORD}]+"))).alias("name")).where("name <> ''").distinct(), "words")
-    whole = names.join(words, "name", "left_semi")
-    rest = written(names.join(whole, "name", "left_anti"), "names")  # of known size, so that Spark broadcasts a small one to the pieces
+    names = written(wanted.select("name").distinct(), "names")
+    words = written(tests.select(F.explode(F.array_distinct(F.split("content", f"[^{WORD}]+"))).alias("word")).where("word <> ''").distinct(), "words")
     plain = F.col("name").rlike(f"^[{WORD}]+$")
-    short, long = rest.where(plain & (F.length("name") <= KEY)), rest.where(plain & (F.length("name") > KEY))
-    places = F.sequence(F.lit(1), F.length("name"))
-    grams = words.select(F.explode(places).alias("_at"), "name").select(F.substring(F.col("name"), F.col("_at"), F.lit(KEY)).alias("_gram"))
-    grams = grams.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("_gram")), lambda n: F.substring(F.col("_gram"), F.lit(1), n))).alias("name"))
-    longest = long.agg(F.max(F.length("name")).alias("_longest"))  # one row
-    pieces = words.crossJoin(F.broadcast(longest)).where(F.length("name") > KEY).select(F.explode(places).alias("_at"), "name", "_longest")
-    pieces = pieces.select(F.substring(F.col("name"), F.col("_at"), F.col("_longest")).alias("_piece")).where(F.length("_piece") > KEY)
-    keyed = pieces.select("_piece", F.substring("_piece", 1, KEY).alias("_key"))
-    found = [
-        whole,
-        grams.join(short, "name", "left_semi").distinct(),
-        keyed.join(long, (F.substring("name", 1, KEY) == F.col("_key")) & F.startswith(F.col("_piece"), F.col("name"))).select("name").distinct(),
-        rest.where(~plain).join(tests, F.contains(F.col("content"), F.col("name")), "left_semi"),
-    ]
+    whole = names.join(words.select(F.col("word").alias("name")), "name", "left_semi")
+    rest = names.where(plain).join(words.select(F.col("word").alias("name")), "name", "left_anti")
+    found = [whole, contained(words, "word", rest, "name").select(F.col("needle").alias("name")).distinct()]
+    if not (odd := names.where(~plain)).isEmpty():
+        found.append(contained(tests, "content", odd, "name").select(F.col("needle").alias("name")).distinct())
     met = functools.reduce(DataFrame.union, found).withColumn("tested", F.lit(True))
     return wanted.join(met, "name", "left").select("file_path", "name", F.coalesce("tested", F.lit(False)).alias("tested"))
 
@@ -256,27 +244,29 @@ def coverage(gap: DataFrame) -> DataFrame:
 
 
 def scope_violations(imports: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Imports that cross a boundary: the file holds ``from_part`` and the import ``to_part``.
-
-    Rules are few; Spark broadcasts them if their size is below its threshold, and pairs partitions otherwise.
-    """
+    """Imports that cross a boundary: the file holds ``from_part`` and the import ``to_part``. Distinct targets meet the parts by trigrams."""
     if rules is None:
         rules = imports.sparkSession.createDataFrame(list(DEFAULT_SCOPE_RULES), schemas.SCOPE_RULES)
     slashed = lambda c: F.regexp_replace(c, r"\\", "/")
-    met = imports.join(rules, F.contains(slashed("file_path"), F.col("from_part")) & F.contains(slashed("target"), F.col("to_part")))
-    return met.select("file_path", F.col("target").alias("imported"), "from_part", "to_part", "severity", "message")
+    held = imports.select("file_path", "target", slashed("target").alias("_to"))
+    met = contained(held, "_to", rules, "to_part").select(F.col("needle").alias("to_part"), F.col("text").alias("_to"))
+    told = held.join(met.join(rules, "to_part"), "_to").where(F.contains(slashed("file_path"), F.col("from_part")))
+    return told.select("file_path", F.col("target").alias("imported"), "from_part", "to_part", "severity", "message")
 
 
-def impact(changed: DataFrame, imports: DataFrame) -> DataFrame:
-    """``file_path, downstream``: files that import a changed one (an import has its stem, or its path has the import); changed files stay without any.
-
-    Distinct imports meet the changed files once; Spark broadcasts these if their size is below its threshold, and pairs partitions otherwise.
-    """
+def impact_pairs(changed: DataFrame, imports: DataFrame) -> DataFrame:
+    """``file_path, downstream``, one row for each changed file and file that imports it: an import has its stem, or its path has the import."""
     one = changed.select("file_path").distinct().withColumn("_stem", stem(F.col("file_path")))
-    held = imports.select(F.col("file_path").alias("other"), "specifier").distinct()
-    met = held.join(one, F.contains("specifier", F.col("_stem")) | F.contains("file_path", F.col("specifier"))).where("other <> file_path")
-    found = met.groupBy("file_path").agg(F.array_sort(F.collect_set("other")).alias("downstream"))
-    return one.select("file_path").join(found, "file_path", "left").select("file_path", F.coalesce("downstream", F.array().cast("array<string>")).alias("downstream"))
+    held = imports.select(F.col("file_path").alias("downstream"), "specifier").distinct()
+    by_stem = contained(held, "specifier", one, "_stem").select(F.col("needle").alias("_stem"), F.col("text").alias("specifier")).join(one, "_stem").select("file_path", "specifier")
+    by_path = contained(one, "file_path", held, "specifier").select(F.col("text").alias("file_path"), F.col("needle").alias("specifier"))
+    return by_stem.union(by_path).join(held, "specifier").where("downstream <> file_path").select("file_path", "downstream").distinct()
+
+
+def impact(changed: DataFrame, imports: DataFrame) -> DataFrame:
+    """``file_path, downstream``: the files that import a changed one, as an array; changed files stay without any. ``impact_pairs`` gives rows."""
+    found = impact_pairs(changed, imports).groupBy("file_path").agg(F.array_sort(F.collect_list("downstream")).alias("downstream"))
+    return changed.select("file_path").distinct().join(found, "file_path", "left").select("file_path", F.coalesce("downstream", F.array().cast("array<string>")).alias("downstream"))
 
 
 def findings_of(findings: DataFrame, changed: DataFrame) -> DataFrame:

@@ -201,6 +201,73 @@ def query_scores(docs: DataFrame, queries: DataFrame, *, doc_id: str, doc_text:
     return wanted.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
 
 
+#: Blocks of documents whose greatest weight of a term bounds what the term can add to a score.
+BLOCKS = 128
+#: What rounding can add to a sum of weights.
+SLACK = 1e-6
+
+
+@dataclass
+class Postings:
+    """Postings of the terms of some queries: ``term, doc_id, w`` and the block of the document; ``bounds``, the greatest weight of each term in each block; the terms of each query with their greatest weights."""
+
+    rows: DataFrame
+    bounds: DataFrame
+    wanted: DataFrame
+
+
+def weighted_postings(docs: DataFrame, queries: DataFrame, *, doc_id: str, doc_text: str, query_id: str, query_text: str, blocks: int = BLOCKS) -> Postings:
+    """Postings by weight of the terms that queries ask for. Texts are read once: a document's length is the count of an empty term that all documents have."""
+    wanted = written(queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")).where("query_id IS NOT NULL").distinct(), "query-terms")
+    asked = wanted.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(doc_text)).alias("_t"))
+    each = own.select("doc_id", F.size("_t").alias("_dl"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("_t", F.array().cast("array<string>")))).alias("term"))
+    counts = written(each.join(asked, "term", "left_semi").groupBy("term", "doc_id", "_dl").agg(F.count("*").alias("tf")), "term-counts")
+    corpus = counts.where("term = ''").agg(F.sum("tf").alias("_n"), F.avg("_dl").alias("_avgdl"))
+    held = counts.where("term <> ''")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    weight = okapi(F.col("tf"), F.col("df"), F.col("_n"), F.col("_dl"), F.col("_avgdl"))
+    weighed = held.join(df, "term").crossJoin(F.broadcast(corpus)).select("term", "doc_id", weight.alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))  # one row
+    rows = written(weighed, "postings")
+    bounds = written(rows.groupBy("term", "block").agg(F.max("w").alias("m"), F.count("*").alias("n")), "bounds")
+    most = bounds.groupBy("term").agg(F.max("m").alias("most"), F.sum("n").alias("n_docs"))
+    return Postings(rows, bounds, written(wanted.join(most, "term"), "wanted"))
+
+
+def top_documents(held: Postings, limit: int, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(``query_id, doc_id, score`` of the ``limit`` best documents of each query and those whose rounded score equals the last one's; ``query_id, n`` the postings that were read), exactly as if all were scored.
+
+    The documents that a query's rarest terms put first are scored whole; what ``limit`` of them reach is a first bound. Its weakest terms, whose
+    greatest weights together stay below that bound, bring no document in by themselves; their postings, which are most of
+    all, are read only for documents that the other terms bring in and that can still pass the bound, given the greatest
+    weights of the weak terms in the document's block.
+    """
+    by = Window.partitionBy("query_id")
+    terms_ = held.wanted
+    before = F.coalesce(F.sum("n_docs").over(by.orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seeds = terms_.withColumn("_before", before).where(F.col("_before") < 4 * limit).select("query_id", "term")
+    nth = lambda rows, score: rows.withColumn("_k", F.row_number().over(by.orderBy(F.desc(score)))).where(F.col("_k") == limit).select("query_id", F.col(score).alias("_bound"))
+    likely = seeds.join(held.rows, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("s")).withColumn("_k", F.row_number().over(by.orderBy(F.desc("s")))).where(F.col("_k") <= 4 * limit)
+    probes = written(likely.select("query_id", "doc_id").join(terms_.select("query_id", "term"), "query_id").join(held.rows, ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sum("w").alias("s"), F.count("*").alias("n")), "probes")
+    first = nth(probes, "s")
+    rising = F.sum("most").over(by.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    slack = SLACK + 10.0 ** -digits
+    told = terms_.join(first, "query_id", "left").withColumn("_weak", rising < F.coalesce("_bound", F.lit(0.0)) - slack)
+    split = written(told.select("query_id", "term", "_weak", "_bound"), "split-terms")
+    strong, weak = split.where("NOT _weak").select("query_id", "term"), split.where("_weak").select("query_id", "term")
+    partial = written(strong.join(held.rows, "term").groupBy("query_id", "doc_id", "block").agg(F.sum("w").alias("s"), F.count("*").alias("n")), "partial")
+    bound = nth(partial, "s").withColumnRenamed("_bound", "_second").join(split.select("query_id", "_bound").distinct(), "query_id", "full").select("query_id", F.greatest(F.coalesce("_bound", F.lit(0.0)), F.coalesce("_second", F.lit(0.0))).alias("_bound"))
+    rest = weak.join(held.bounds, "term").groupBy("query_id", "block").agg(F.sum("m").alias("_rest"))
+    open_ = partial.join(rest, ["query_id", "block"], "left").join(bound, "query_id").where(F.col("s") + F.coalesce("_rest", F.lit(0.0)) >= F.col("_bound") - slack).select("query_id", "doc_id", "s")
+    open_ = written(open_, "open")
+    added = open_.select("query_id", "doc_id").join(weak, "query_id").join(held.rows.select("term", "doc_id", "w"), ["term", "doc_id"]).select("query_id", "doc_id", F.col("w").alias("s"))
+    scores = open_.unionByName(added).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"), (F.count("*") - 1).alias("_n"))
+    scores = written(scores, "scores")
+    best = scores.withColumn("_k", F.rank().over(by.orderBy(F.desc(F.round("score", digits))))).where(F.col("_k") <= limit).select("query_id", "doc_id", "score")
+    read = partial.select("query_id", "n").unionByName(probes.select("query_id", "n")).groupBy("query_id").agg(F.sum("n").alias("n")).unionByName(scores.groupBy("query_id").agg(F.sum("_n").alias("n"))).groupBy("query_id").agg(F.sum("n").alias("n"))
+    return best, read
+
+
 def search(chunks: DataFrame, term_rows: DataFrame, query: str, *, symbols: DataFrame | None = None, pattern: str | None = None, files: DataFrame | None = None, limit: int = 10, mode: str = "token", **options) -> DataFrame:
     """Ranked windows for a query with qualifiers; scores and their statistics are over the windows that the qualifiers leave.
 

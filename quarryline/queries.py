@@ -159,7 +159,8 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), r AS (SELECT item_id,
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM r) SELECT item_id, CAST(rank AS INT) AS rank, doc_id, round(score, 4) AS score FROM k WHERE rank <= 3"""
 )
 def bm25_queries(spark, d):
-    scores = search.query_scores(table(spark, d, "documents"), table(spark, d, "benchmark"), doc_id="doc_id", doc_text="text", query_id="item_id", query_text="text")
+    held = search.weighted_postings(table(spark, d, "documents"), table(spark, d, "benchmark"), doc_id="doc_id", doc_text="text", query_id="item_id", query_text="text")
+    scores = search.top_documents(held, 3)[0]
     best = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id"))).where("rank <= 3")
     return best.select(F.col("query_id").alias("item_id"), "rank", "doc_id", F.round("score", 4).alias("score"))
 

@@ -56,7 +56,7 @@ def save(df: DataFrame, path: str, partition_by: list[str] | None = None) -> Non
 def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of a saved index by name; missing ones are left out."""
     found = {}
-    for name in ("files", "symbols", "imports", "chunks", "edges", "terms", "git_churn", "cochange", "communities"):
+    for name in ("files", "symbols", "imports", "chunks", "edges", "terms", "links", "git_churn", "cochange", "communities"):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             found[name] = spark.read.parquet(f"{root}/{name}")
