@@ -1,7 +1,7 @@
 """Texts that hold a string, by trigrams: postings of the texts' pieces of three characters, and exact verification.
 
 A string stands in a text only if all its trigrams do, so of each string the one that fewest texts have decides which texts
-are looked at. Strings of one or two characters are pieces themselves, the empty one is a piece of every text. All joins are
+are looked at: pieces are counted, where they are met, and only the rarest are listed. Strings of one or two characters are pieces themselves, the empty one is a piece of every text. All joins are
 on pieces, and a common piece is one row for each text that has it, so that its side can be split.
 """
 
@@ -33,12 +33,12 @@ def contained(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: s
     sizes = sorted(r["n"] for r in wanted.select(F.least(F.length("needle"), F.lit(SIZE)).alias("n")).distinct().collect())  # 0 to 3
     if not sizes:
         return wanted.select("needle", F.col("needle").alias("text"))
-    own = F.when(F.length("needle") == 0, F.array(F.lit(""))).when(F.length("needle") == 1, F.array("needle")).when(F.length("needle") == 2, F.array("needle")).otherwise(pieces(F.col("needle")))
-    keys = wanted.select("needle", F.explode(own).alias("piece"))
-    found = written(postings(held, "id", "text", sizes).distinct().join(keys.select("piece").distinct(), "piece", "left_semi"), "pieces")
-    counts = found.groupBy("piece").agg(F.count("*").alias("n"))
-    rarest = keys.join(counts, "piece", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("p")).where("p.n > 0").select("needle", F.col("p.piece").alias("piece"))
-    return rarest.join(found, "piece").join(held, "id").where(F.contains("text", "needle")).select("needle", "text")
+    keys = wanted.select("needle", F.explode(F.when(F.length("needle") < SIZE, F.array("needle")).otherwise(pieces(F.col("needle")))).alias("piece"))
+    found = postings(held, "id", "text", sizes)
+    counts = found.join(keys.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    fewest = keys.join(counts, "piece", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("p"))
+    rarest = written(fewest.where("p.n > 0").select("needle", F.col("p.piece").alias("piece")), "rarest")
+    return found.join(rarest, "piece").join(held, "id").where(F.contains("text", "needle")).select("needle", "text")
 
 
 def save_postings(texts: DataFrame, id_col: str, text_col: str, path: str) -> None:
