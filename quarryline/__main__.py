@@ -7,10 +7,11 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.operators import parse, rules
+from quarryline.operators import rules
 from quarryline.plans import sinks, verbs
 from quarryline.plans.index import build_index, load
 from quarryline.sources import files as sources
+from quarryline.sources.history import git_history
 
 ON_FILES = {"security": verbs.security, "api": verbs.api, "deps": verbs.deps, "benchmark": verbs.benchmark}
 ON_INDEX = {"clone": verbs.clones, "hotspots": verbs.hotspots, "scope": verbs.scope}
@@ -20,7 +21,7 @@ WITH_TEXT = {"search": verbs.search, "trace": verbs.trace, "ask": verbs.context,
 def run(spark: SparkSession, args: argparse.Namespace) -> list[DataFrame]:
     if args.verb == "index":
         tree = sources.scan(spark, args.root)
-        build_index(tree, parse.commit_log(sources.git_log(spark, args.root))).save(args.index)
+        build_index(tree, git_history(spark, args.root).select("commit_id", "file_path")).save(args.index)
         return []
     if args.verb in ON_FILES or args.verb == "grep":
         held = sources.security_files(sources.read_tree(spark, args.root))

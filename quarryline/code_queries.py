@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.operators import chunks, graph, link, mining, parse, rules, search, substrings
+from quarryline.operators import chunks, graph, link, mining, parse, rules, search, substrings, user_rules
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -167,6 +167,13 @@ def optional_rules(spark, d):
     return rules.run_rules(code(spark, d)).select("rule", "file_path", "line")
 
 
+@query(ORACLE_SQL["optional_rules"])
+def user_rules_sql(spark, d):
+    """The same rules as functions of one file, in SQL with a lateral join."""
+    user_rules.register(spark)
+    return spark.sql("SELECT i.rule, f.file_path, i.line FROM {files} f, LATERAL code_issues(f.file_path, f.content) i", files=code(spark, d))
+
+
 @query(f"WITH {_CHUNKS} SELECT file_path, min(chunk_seq) AS chunk_seq FROM chunks WHERE contains(content, 'async ') AND NOT contains(content, 'try') AND NOT contains(content, '.catch') GROUP BY 1")
 def async_without_catch(spark, d):
     return mining.async_without_catch(chunks.windows(code(spark, d)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.paths import extension, language
+from quarryline.sources.history import git_history, git_lines
 
 # What scans leave out, and limits of size.
 DEFAULT_IGNORES = ("node_modules", "dist", "build", ".git", "package-lock.json", "yarn.lock", ".env", "tsconfig.tsbuildinfo")
@@ -182,8 +183,8 @@ def _git(root: str, *args: str) -> list[str]:
 
 
 def git_log(spark: SparkSession, root: str) -> DataFrame:
-    """``line_no, line`` of the log with names; empty without history. The driver only starts the command: logs at rest are read with ``spark.read.text``."""
-    return spark.createDataFrame(list(enumerate(_git(root, "log", "--name-only", "--format=%H"), 1)), "line_no int, line string")
+    """``line_no, line`` of the log with names, read in ranges of commits by tasks; empty without history. Logs at rest are read with ``spark.read.text``."""
+    return git_lines(git_history(spark, root))
 
 
 def git_changed(spark: SparkSession, root: str) -> DataFrame:
