@@ -4,12 +4,15 @@ Texts are sets of shingles of five words. Equal texts form copy classes first, o
 stands for all. A forest of ``TREES`` prefix trees holds ``DEPTH`` MinHash values of each representative in each tree,
 sorted by prefix. Matching starts at full prefixes. The similarities of the links found there, each weighed by the chance
 that such a link is found, tell what shorter prefixes would find; prefixes are shortened only as far as the target recall
-asks for on this corpus, with one more link at the threshold assumed so that few links tell little. Where no link is
-found prefixes go down to the length that meets the target for a pair at the threshold itself.
+asks for on this corpus, with one more link at the threshold assumed so that few links tell little, and at least to the
+length at which a pair at the threshold itself is found with ``BAND_RECALL``, so that a corpus of close copies does not
+trade its other pairs away. Where no link is found prefixes go down to the length that meets the target for such a pair.
 
-Nodes with a member in common are one component; all pairs of its members are compared by their whole shingle sets, in
-blocks of two parts of the component, so that a pair which shares a prefix is always compared. A component costs the
-square of its size in comparisons, and its size in rows for each of its parts.
+Nodes with a member in common are one component, and pairs are compared by their whole shingle sets, in blocks of two parts.
+A component of up to ``PART`` texts, or one whose texts mostly share nodes, is compared as a whole. Of another one, whose
+texts are tied together over others (by a site's template, say), only texts that share a node are: nodes of equal members
+are one, and a pair counts in the first tree whose node it shares. What is compared is the lesser of the two, in pairs, so
+that every pair which shares a prefix is.
 
 Links join texts into groups. Each block gives the number of links of its texts and ways that connect them; the links
 themselves are listed only when they are read, for there the rows grow with the square of a group.
@@ -39,10 +42,15 @@ THRESHOLD = 0.8
 TREES = 12
 DEPTH = 8
 RECALL = 0.998
+BAND_RECALL = 0.97
+#: Rows that share a text, from which on they meet its class by a broadcast; so many texts at most are broadcast, whatever the input.
+MANY_COPIES = 1000
+MOST_BROADCAST = 50_000
 #: Members and bytes of shingles that a part of a component has, about; columns of shingles that are compared at a time.
 PART = 128
 PART_BYTES = 16 << 20
 SLAB = 2048
+BLOCK = ("group", "tree", "low", "high")
 
 
 def shingles(texts: list[str | None] | pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -106,16 +114,43 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(batches, f"doc_id {kind}, key binary, sig binary")
 
 
-def node_links(reps: DataFrame, depth: int) -> DataFrame:
-    """``a, b``: each member of a node with the node's least member, for the nodes of prefixes of ``depth`` of all trees.
-
-    Texts that share a longer prefix share this one too. Nodes that have a member in common are one component of these links.
-    """
+def shared_nodes(reps: DataFrame, depth: int) -> DataFrame:
+    """``rep, tree, node``: the nodes of prefixes of ``depth`` that two representatives or more share."""
     width = 4 * DEPTH
     trees = reps.where("sig IS NOT NULL").select("rep", F.posexplode(F.array(*[F.substring("sig", 1 + t * width, width) for t in range(TREES)])).alias("tree", "branch"))
-    nodes = trees.select("rep", F.xxhash64("tree", F.substring("branch", 1, 4 * depth)).alias("node"))
-    shared = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
-    return nodes.join(shared, "node").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    nodes = trees.select("rep", "tree", F.xxhash64("tree", F.substring("branch", 1, 4 * depth)).alias("node"))
+    shared = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    return nodes.join(shared, "node").select("rep", "tree", "node")
+
+
+def node_links(nodes: DataFrame) -> DataFrame:
+    """``a, b``: each member of a node with the node's least member.
+
+    Texts that share a longer prefix share a shorter one too. Nodes that have a member in common are one component of these links.
+    """
+    least = nodes.groupBy("node").agg(F.min("rep").alias("first"))
+    return nodes.join(least, "node").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def comparisons(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """``node (a representative), group, tree, places``: whose members are to be compared. A group is a component (tree -1), or a node of a component whose nodes hold fewer pairs than it does; ``places`` are the nodes of a representative by tree, for its pairs to be counted once."""
+    sizes = near.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    large = materialize(near.join(sizes, "group"), "large-components")
+    if large.isEmpty():
+        return near.select("node", "group", F.lit(-1).alias("tree"), F.lit(None).cast("map<int,bigint>").alias("places"))
+    held = materialize(nodes.join(large.select(F.col("node").alias("rep"), "group", F.col("n").alias("whole")), "rep"), "large-nodes")
+    each = F.xxhash64("rep")
+    sets = held.groupBy("node", "tree", "group", "whole").agg(F.count("*").alias("n"), F.bit_xor(each).alias("x"), F.sum(F.shiftright(each, 20)).alias("s"))
+    first = sets.groupBy("group", "whole", "n", "x", "s").agg(F.min(F.struct("tree", "node")).alias("m"))
+    pairs = materialize(first.select("group", "whole", "n", "m.tree", "m.node"), "node-sets")
+    square = lambda n: F.col(n).cast("double") * (F.col(n) - 1)
+    split = materialize(pairs.groupBy("group", "whole").agg(F.sum(square("n")).alias("apart")).where(F.col("apart") < square("whole")).select("group"), "split-components")
+    few = lambda df: F.broadcast(df) if fits_broadcast(df) else df
+    whole = near.join(few(split), "group", "left_anti").select("node", "group", F.lit(-1).alias("tree"), F.lit(None).cast("map<int,bigint>").alias("places"))
+    kept = pairs.join(few(split), "group", "left_semi").select("node", "tree")
+    places = held.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("tree", "node"))).alias("places"))  # one for each tree
+    apart = held.select("rep", "tree", "node").join(kept, ["tree", "node"], "left_semi").join(places, "rep")
+    return whole.unionByName(apart.select(F.col("rep").alias("node"), F.col("node").alias("group"), "tree", "places"))
 
 
 def copy_classes(sigs: DataFrame) -> DataFrame:
@@ -158,18 +193,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """``group, low, high, part, rep, shingles``: groups dealt out in parts of about ``PART`` members or ``PART_BYTES`` of shingles, each pair of parts (and each part by itself) a block.
+    """``group, tree, low, high, part, rep, places, shingles``: groups dealt out in parts of about ``PART`` members or ``PART_BYTES`` of shingles, each pair of parts (and each part by itself) a block.
 
     Two members of a group meet in exactly one block as members of ``low`` and ``high``.
     """
     members = materialize(groups.withColumnRenamed("node", "rep").join(sets, "rep"), "members")
-    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    by = ["group", "tree"]
+    sizes = members.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
     parts = F.ceil(F.greatest(F.col("n") / PART, F.col("bytes") / PART_BYTES)).cast("int")
-    large = materialize(sizes.select("group", parts.alias("parts")).where("parts > 1"), "large-groups")
-    dealt = members.join(F.broadcast(large) if fits_broadcast(large) else large, "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    large = materialize(sizes.select(*by, parts.alias("parts")).where("parts > 1"), "large-groups")
+    dealt = members.join(F.broadcast(large) if fits_broadcast(large) else large, by, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    spread = placed.select("group", "part", "rep", "shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return spread.select("group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "shingles")
+    spread = placed.select(*by, "part", "rep", "places", "shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return spread.select(*by, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "places", "shingles")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -193,7 +229,8 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 def block_links(block: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(members' ids, places of the one and of the other text, jaccard, whether the pair is this block's own) of the pairs at the threshold or above; all pairs are compared.
 
-    A pair within one part is the own pair of the block of that part by itself only.
+    A pair within one part is the own pair of the block of that part by itself only, and a pair that shares nodes of
+    several trees that of the first of them.
     """
     block = block.sort_by("rep")  # so the least places are the least ids, and blocks agree on them
     ids, part = block.column("rep").to_numpy(), block.column("part").to_numpy()
@@ -203,7 +240,15 @@ def block_links(block: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
     jaccard = both / (lens[:, None] + lens[None, :] - both)
     x, y = np.nonzero(np.triu(jaccard >= threshold, 1))
     alone = block.column("low")[0].as_py() == block.column("high")[0].as_py()
-    return ids, x, y, jaccard[x, y], (part[x] != part[y]) | alone
+    own = (part[x] != part[y]) | alone
+    tree = block.column("tree")[0].as_py()
+    if tree > 0:
+        places = [dict(v.as_py()) for v in block.column("places")]
+        at = np.array([[p.get(t, -1 - t) for t in range(tree)] for p in places], dtype=np.int64)
+        there = np.array([[t in p for t in range(tree)] for p in places])
+        for t in range(tree):
+            own &= ~((at[x, t] == at[y, t]) & there[x, t] & there[y, t])
+    return ids, x, y, jaccard[x, y], own
 
 
 def least_places(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -225,7 +270,7 @@ def listed(dealt: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         x, y, jaccard = x[own], y[own], jaccard[own]
         return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "jaccard": jaccard})
 
-    return dealt.groupBy("group", "low", "high").applyInArrow(pairs, "a long, b long, jaccard double")
+    return dealt.groupBy(*BLOCK).applyInArrow(pairs, "a long, b long, jaccard double")
 
 
 def counted(dealt: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -246,17 +291,28 @@ def counted(dealt: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["a", "b", "n_links", "percent"])
 
-    return dealt.groupBy("group", "low", "high").applyInArrow(sums, "a long, b long, n_links long, percent int")
+    return dealt.groupBy(*BLOCK).applyInArrow(sums, "a long, b long, n_links long, percent int")
 
 
 def compared(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, depth: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(blocks, their sums) of the components of prefixes of ``depth``."""
-    near = components(materialize(node_links(classes, depth), "node-links"))
+    nodes = materialize(shared_nodes(classes, depth), "nodes")
+    near = components(materialize(node_links(nodes), "node-links"))
     wanted = classes.select("rep", "doc", "key").join(near.select(F.col("node").alias("rep")), "rep", "left_semi")
-    dealt = blocks(near, shingle_sets(docs, id_col, text_col, wanted))
+    dealt = blocks(comparisons(nodes, near), shingle_sets(docs, id_col, text_col, wanted))
     return dealt, materialize(counted(dealt, threshold), "link-sums")
 
 
+def _with_classes(rows: DataFrame, notable: DataFrame) -> DataFrame:
+    """Rows with what is told of their text. Texts of very many rows are broadcast to them, at most ``MOST_BROADCAST`` of them, so that no task gets all rows of a text."""
+    told = materialize(notable, "notable")
+    total = told.agg(F.sum("n_copies").alias("n")).first()["n"] or 0
+    many = F.col("n_copies") > max(MANY_COPIES, total // MOST_BROADCAST)
+    met = rows.join(F.broadcast(told.where(many)), F.col("key") == F.col("k"), "left")
+    others = met.where("k IS NULL").select("doc_id", "key").join(told.where(~many), F.col("key") == F.col("k"), "left")
+    return met.where("k IS NOT NULL").unionByName(others)
+
+
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(memberships, links). Memberships, one row for each document with id and text: ``doc_id, rep_id`` (the copy class), ``class_id`` (the group) ``, n_links, n_copies, first_id`` (the smallest id of the copy class) ``, text_key``; links: ``a, b, jaccard`` between copy classes."""
     usable = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
@@ -264,7 +320,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     classes = materialize(copy_classes(sigs), "classes")
     dealt, sums = compared(usable, id_col, text_col, classes, DEPTH, threshold)
     found = {r["percent"] / 100: r["n"] for r in sums.where("percent IS NOT NULL").groupBy("percent").agg(F.sum("n_links").alias("n")).collect()}  # a row for each percent
-    depth = adapted({max(threshold, j): n for j, n in found.items()}, target, threshold=threshold)
+    depth = min(adapted({max(threshold, j): n for j, n in found.items()}, target, threshold=threshold), shortest(BAND_RECALL, threshold=threshold))
     if depth < DEPTH:
         dealt, sums = compared(usable, id_col, text_col, classes, depth, threshold)
     links = listed(dealt, threshold)
@@ -272,7 +328,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     degree = sums.where("a IS NOT NULL AND b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("n_links"))
     told = classes.select("key", "doc", "rep", "n_copies").join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     notable = told.where("n_copies > 1 OR n_links > 0 OR rep <> doc").select(F.col("key").alias("k"), "doc", "rep", "n_copies", "group", "n_links")
-    joined = sigs.select("doc_id", "key").join(notable, F.col("key") == F.col("k"), "left")
+    joined = _with_classes(sigs.select("doc_id", "key"), notable)
     own = F.col("doc_id").cast("long")
     memberships = joined.select(
         "doc_id",

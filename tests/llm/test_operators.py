@@ -626,6 +626,77 @@ def test_recall_of_the_forest():
     assert sum(n.recall(n.adapted(f), threshold=j) * k for f in ({0.85: 500, 0.95: 500},) for j, k in f.items()) >= n.RECALL * 1000
 
 
+def near_copy(r, base, changes, tag):
+    copy = list(base)
+    for k in r.sample(range(len(copy)), changes):
+        copy[k] = f"x{tag}y{r.randint(0, 10**9)}"
+    return copy
+
+
+def test_recall_by_band(spark):
+    """Pairs of every similarity are found beside 100 times as many close copies, of which a corpus has many; recall is counted, not estimated."""
+    r = random.Random(4)
+    held, pairs = [], {}
+    for g in range(600):
+        base = [f"g{g}w{k}" for k in range(200)]
+        for changes in (0, 1) if g >= 240 else (0, 1 + g % 4):
+            if g < 240:  # one run of words apart, so that each pair has a similarity of its own
+                at = r.randrange(100)
+                own = base[:at] + [f"x{g}y{k}" for k in range(1 + g % 18 if changes else 0)] + base[at + (1 + g % 18 if changes else 0) :]
+            else:
+                own = near_copy(r, base, changes, g)
+            held.append(" ".join(own))
+    base = [f"c{k}" for k in range(300)]
+    held += [" ".join(near_copy(r, base, 1, f"c{k}")) for k in range(160)]  # 12 720 close pairs
+    held = list(enumerate(held))
+    expected, _ = brute_links(held)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in held for w in [t.split()]}
+    members, links = near_duplicates.near_duplicate_groups(spark.createDataFrame(held, "doc_id long, text string"))
+    found = {(x.a, x.b) for x in links.collect()}
+    assert found <= expected
+    bands = defaultdict(lambda: [0, 0])
+    for pair in expected:
+        a, b = (sets[x] for x in pair)
+        band = bands[int(len(a & b) / len(a | b) * 50)]
+        band[0] += 1
+        band[1] += pair in found
+    assert len(bands) >= 8 and all(hit >= 0.9 * n for n, hit in bands.values()), dict(bands)
+    assert len(expected) > 100 * max(n for band, (n, _) in bands.items() if band < 43)
+
+
+def test_components_that_are_tied_by_a_passage_are_compared_by_nodes(spark, monkeypatch):
+    """Texts that a template ties together meet only where they share a node; links, degrees and groups are those of all pairs."""
+    r = random.Random(9)
+    passage = [f"p{k}" for k in range(75)]
+    held = []
+    for k in range(900):
+        own = [f"d{k}w{j}" for j in range(75)]
+        held.append(" ".join(passage + own))
+        if k % 9 == 0:
+            held += [" ".join(passage + near_copy(r, own, 1, k)) for _ in range(2)]
+    held = list(enumerate(held))
+    expected, _ = brute_links(held)
+    docs = spark.createDataFrame(held, "doc_id long, text string")
+    dealt = []
+    real = near_duplicates.blocks
+    monkeypatch.setattr(near_duplicates, "blocks", lambda groups, sets: dealt.append(groups) or real(groups, sets))
+    members, links = near_duplicates.near_duplicate_groups(docs)
+    found = {(x.a, x.b) for x in links.collect()}
+    listed = links.count()
+    assert found <= expected and len(found) >= 0.97 * len(expected) and listed == len(found)  # each once
+    degree = Counter(x for pair in found for x in pair)
+    assert {x.doc_id: x.n_links for x in members.collect()} == {k: degree[k] for k, _ in held}
+    sizes = [x["n"] for x in dealt[-1].where("tree >= 0").groupBy("group", "tree").agg(F.count("*").alias("n")).collect()]
+    assert sizes and sum(n * n for n in sizes) < 0.3 * len(held) ** 2
+
+
+def test_classes_of_very_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "MANY_COPIES", 3)
+    rows = [(k, "a b c d e f g") for k in range(9)] + [(20, "a b c d e f g h"), (21, "q r s t u v"), (22, "q r s t u v"), (23, "z y x w v u t")]
+    told = {x.doc_id: (x.rep_id, x.class_id, x.n_copies) for x in near_duplicates.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.7)[0].collect()}
+    assert told == {**dict.fromkeys(range(9), (0, 0, 9)), 20: (20, 0, 1), 21: (21, 21, 2), 22: (21, 21, 2), 23: (23, 23, 1)}
+
+
 def test_near_duplicates_of_one_id_with_several_texts(spark):
     a, other = "a b c d e f g h i j k l m n", "q r s t u v w x y z"
     rows = [(5, a), (5, other), (6, a + " o"), (7, other), (5, a)]
