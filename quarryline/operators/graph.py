@@ -6,8 +6,11 @@ one round and plans don't grow. Only row counts come to the driver.
 
 from __future__ import annotations
 
+import collections
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ ROUTE_DECORATOR = r"(?i)@\w*(route|get|post|put|delete|patch|controller)"
 MAP_ENTRIES = ("server.ts", "src/cli.ts", "src/main.tsx", "src/index.ts", "src/main.ts", "src/cli/index.ts")
 #: A move must gain more than this, in links; less is rounding.
 EPSILON = 1e-9
+#: Ends of links that a block of local moves has, about.
+BLOCK_LINKS = 1_000_000
 FUNCTION_KINDS = ("function", "method", "fn", "async-function", "arrow", "class")
 
 
@@ -263,9 +268,9 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels.withColumnRenamed("label", "community")
 
 
-def _placed(both: DataFrame, labels: DataFrame, m: int) -> DataFrame:
-    """``id, k, c0, c1, gain, inner, total``: each node's community, the one where it adds most (the least of several), what the move gains in links, the weight that it shares with its own and that one's degrees."""
-    votes = both.join(labels.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c", "w").unionByName(labels.select("id", "c", F.lit(0).cast("long").alias("w")))
+def _placed(both: DataFrame, labels: DataFrame, m: int, wanted: DataFrame) -> DataFrame:
+    """``id, c0, c1, gain`` of the nodes ``wanted``: their community, the one where they add most (the least of several) and what the move gains in links."""
+    votes = both.join(labels.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c", "w").unionByName(labels.join(wanted, "id", "left_semi").select("id", "c", F.lit(0).cast("long").alias("w")))
     summed = votes.groupBy("id", "c").agg(F.sum("w").alias("w"))
     totals = labels.groupBy("c").agg(F.sum("k").alias("total"))
     held = summed.join(labels.select("id", "k", F.col("c").alias("c0")), "id").join(totals, "c")
@@ -274,58 +279,100 @@ def _placed(both: DataFrame, labels: DataFrame, m: int) -> DataFrame:
     held = held.withColumn("_v", value)
     only = lambda c: F.max(F.when(own, F.col(c)))
     best = F.min(F.struct((-F.col("_v")).alias("v"), F.col("c").alias("c")))
-    told = held.groupBy("id").agg(F.first("k").alias("k"), F.first("c0").alias("c0"), best.alias("_b"), only("_v").alias("_stay"), only("w").alias("inner"), only("total").alias("total"))
-    return told.select("id", "k", "c0", F.col("_b.c").alias("c1"), (-F.col("_b.v") - F.col("_stay")).alias("gain"), "inner", "total")
-
-
-def _apart(wish: DataFrame) -> DataFrame:
-    """``id, c1`` of moves no two of which touch one community: those that gain most at both ends. Their gains add up."""
-    turn = F.struct("gain", "id")
-    ends = wish.select("id", "c1", turn.alias("_t"), F.explode(F.array("c0", "c1")).alias("_c"))
-    first = ends.groupBy("_c").agg(F.max("_t").alias("_t"))
-    return ends.join(first, ["_c", "_t"]).groupBy("id").agg(F.first("c1").alias("c1"), F.count("*").alias("_n")).where("_n = 2").select("id", "c1")
-
-
-def louvain(edges: DataFrame, least: float = 5e-3) -> DataFrame:
-    """``id, community``: greedy modularity in levels on the undirected simple graph; a community is named by its least id.
-
-    In each round half of the nodes (by a hash of id and round) move to the neighbouring community that gains most. Nodes that
-    move together can lose; a round after which modularity has not grown is taken back, only moves that touch different
-    communities are made, which always gain, and from then on half as many nodes move at once. A level ends when no move gains
-    or a round gains less than ``least``, at any size, so that there are at most 1 / ``least`` rounds of either kind; then
-    communities become nodes. It ends with a level that changes nothing. Loops and repeated links don't count; no link, no rows.
+    told = held.groupBy("id").agg(F.first("c0").alias("c0"), best.alias("_b"), only("_v").alias("_stay"))
+    return told.select("id", "c0", F.col("_b.c").alias("c1"), (-F.col("_b.v") - F.col("_stay")).alias("gain"))
+
+
+def _moved(rows: pa.Table, m: int) -> pa.Table:
+    """``id, c`` of the nodes of a block after local moves: one node after the other, by id, goes to the neighbouring community that gains most (the least of several), until none gains. What is outside the block stays where it is."""
+    rows = rows.sort_by([("id", "ascending"), ("dst", "ascending")])
+    ids, first = np.unique(rows.column("id").to_numpy(), return_index=True)
+    ends = np.append(first[1:], rows.num_rows)
+    take = lambda name: rows.column(name).to_numpy()
+    at = np.searchsorted(ids, take("dst"))
+    at = np.where((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == take("dst")), at, -1).tolist()
+    weight, outside = take("w").tolist(), take("dst_c").tolist()
+    k, mine = take("k")[first].tolist(), take("c")[first].tolist()
+    total = dict(zip(take("c").tolist(), take("total").tolist(), strict=True)) | dict(zip(take("dst_c").tolist(), take("dst_total").tolist(), strict=True))
+    waiting, queued = collections.deque(range(len(ids))), [True] * len(ids)
+    while waiting:
+        x = waiting.popleft()
+        queued[x] = False
+        near = {mine[x]: 0}
+        for e in range(first[x], ends[x]):
+            c = mine[at[e]] if at[e] >= 0 else outside[e]
+            near[c] = near.get(c, 0) + weight[e]
+        own, share = mine[x], k[x] / (2.0 * m)
+        total[own] -= k[x]
+        stay = near[own] - share * total[own]
+        value, c = max((w - share * total[c], -c) for c, w in near.items())
+        if value > stay + EPSILON and -c != own:
+            mine[x] = -c
+            for e in range(first[x], ends[x]):
+                if at[e] >= 0 and not queued[at[e]] and mine[at[e]] != -c:
+                    queued[at[e]] = True
+                    waiting.append(at[e])
+        total[mine[x]] += k[x]
+    return pa.table({"id": ids, "c": pa.array(mine, pa.int64())})
+
+
+def _quality(both: DataFrame, labels: DataFrame, m: int) -> float:
+    """The modularity of labels ``id, k, c`` of a graph whose links weigh ``m`` together, those within a node included in its ``k``."""
+    near = both.join(labels.select(F.col("id").alias("src"), F.col("c").alias("_a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("c").alias("_b")), "dst")
+    inner = near.where("_a = _b").agg(F.sum("w")).first()[0] or 0
+    told = labels.groupBy("c").agg(F.sum("k").cast("double").alias("t"), F.sum("loops").alias("l")).agg(F.sum(F.pow("t", 2)).alias("t"), F.sum("l").alias("l")).first()
+    return (inner + (told["l"] or 0)) / (2.0 * m) - (told["t"] or 0.0) / (4.0 * m * m)
+
+
+def louvain(edges: DataFrame, least: float = 1e-4, block: int = BLOCK_LINKS) -> DataFrame:
+    """``id, community``: greedy modularity in levels on the undirected simple graph of integer ids; a community is named by its least id.
+
+    Nodes are dealt to blocks of about ``block`` ends of links, after the first pass by their community, so that a community
+    moves together. In a pass each block settles its own nodes, one after the other, against what stands outside. Blocks that
+    move at once can lose: a pass after which modularity has not grown by ``least`` is taken back and ends the level, and so
+    does one pass over a single block, for it is settled. Nodes with more than ``block`` links are in no block; the best of
+    them (by gain) moves after each pass. Then communities become nodes, until a level changes nothing. Loops and repeated
+    links don't count; no link, no rows.
     """
-    plain = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+    plain = edges.select(F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b")).where("a <> b").distinct()
     one = F.lit(1).cast("long").alias("w")
     both = written(plain.select(F.col("a").alias("src"), F.col("b").alias("dst"), one).union(plain.select("b", "a", one)), "undirected")
     m = both.count() // 2
-    labels = written(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).withColumn("c", F.col("id")), "labels")
+    labels = written(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"), F.count("*").alias("n")).select("id", "k", F.col("id").alias("c"), F.lit(0).cast("long").alias("loops"), "n"), "labels")
     member = labels.select("id", F.col("id").alias("node"))
-    rounds = itertools.count()
     while m:
-        before, kept, share = None, None, 2
-        while True:
-            told = written(_placed(both, labels, m), "placed")
-            gains = F.expr(f"c0 <> c1 AND gain > {EPSILON}")
-            inner, spread, wishes = told.agg(F.sum("inner") / (2.0 * m), F.sum(F.col("k") * (F.col("total") / (4.0 * m * m))), F.count_if(gains)).first()
-            now = inner - spread
-            if kept is not None and now <= before:
-                moves = _apart(kept.where(gains))
-                labels = written(kept.select("id", "k", "c0").join(moves, "id", "left").select("id", "k", F.coalesce("c1", "c0").alias("c")), "labels")
-                kept, share = None, 2 * share
-            elif not wishes or (before is not None and now - before < least):
+        links = both.count()
+        n_blocks = max(1, -(-links // block))
+        quality = _quality(both, labels, m)
+        for turn in itertools.count():
+            totals = labels.groupBy("c").agg(F.sum("k").alias("total"))
+            ends = both.join(labels.select(F.col("id").alias("dst"), F.col("c").alias("dst_c")), "dst").join(totals.select(F.col("c").alias("dst_c"), F.col("total").alias("dst_total")), "dst_c")
+            held = labels.where(F.col("n") <= block).join(totals, "c").select(F.col("id").alias("src"), "k", "c", "total", F.pmod(F.xxhash64(F.col("c"), F.lit(turn)), F.lit(n_blocks)).alias("block"))
+            rows = ends.join(held, "src").select("block", F.col("src").alias("id"), "k", "c", "total", "dst", "w", "dst_c", "dst_total")
+            moved = rows.groupBy("block").applyInArrow(lambda t: _moved(t, m), "id long, c long")
+            new = written(labels.withColumnRenamed("c", "_c").join(moved, "id", "left").select("id", "k", F.coalesce("c", "_c").alias("c"), "loops", "n"), "labels")
+            if n_blocks > 1 and not (hubs := new.where(F.col("n") > block)).isEmpty():
+                best = _placed(both.join(hubs.select(F.col("id").alias("src")), "src", "left_semi"), new, m, hubs.select("id")).where(f"c0 <> c1 AND gain > {EPSILON}").orderBy(F.desc("gain"), "id").limit(1)
+                new = written(new.withColumnRenamed("c", "_c").join(F.broadcast(best.select("id", "c1")), "id", "left").select("id", "k", F.coalesce("c1", "_c").alias("c"), "loops", "n"), "labels")  # one row
+            now = _quality(both, new, m)
+            if now <= quality + (least if turn else EPSILON):
+                labels = new if now > quality else labels
+                break
+            labels, quality = new, now
+            if n_blocks == 1:
                 break
-            else:
-                turn = F.pmod(F.xxhash64("id", F.lit(next(rounds))), F.lit(share)) == 0
-                labels = told.select("id", "k", F.when(gains & turn, F.col("c1")).otherwise(F.col("c0")).alias("c"))
-                before, kept = now, told
-        if told.where("id <> c0").isEmpty():
+        place = labels.select("id", "c")
+        if place.where("id <> c").isEmpty() or place.groupBy("c").count().count() == place.count():
             break
-        place = told.select("id", F.col("c0").alias("c"))
         member = written(member.join(place.withColumnRenamed("id", "node"), "node").select("id", F.col("c").alias("node")), "members")
         ends = both.join(place.select(F.col("id").alias("src"), F.col("c").alias("_a")), "src").join(place.select(F.col("id").alias("dst"), F.col("c").alias("_b")), "dst")
-        both = written(ends.where("_a <> _b").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("w").alias("w")), "undirected")
-        labels = written(told.groupBy(F.col("c0").alias("id")).agg(F.sum("k").alias("k")).withColumn("c", F.col("id")), "labels")
+        summed = written(ends.groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("w").alias("w")), "undirected")
+        inner = summed.where("src = dst").select(F.col("src").alias("id"), F.col("w").alias("_inner"))
+        both = written(summed.where("src <> dst"), "undirected")
+        degree = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+        sums = labels.groupBy(F.col("c").alias("id")).agg(F.sum("k").alias("k"), F.sum("loops").alias("_loops"))
+        told = sums.join(inner, "id", "left").join(degree, "id", "left")
+        labels = written(told.select("id", "k", F.col("id").alias("c"), (F.col("_loops") + F.coalesce("_inner", F.lit(0))).alias("loops"), F.coalesce("n", F.lit(0)).cast("long").alias("n")), "labels")
     names = member.groupBy("node").agg(F.min("id").alias("community"))
     return member.join(names, "node").select("id", "community")
 

@@ -659,7 +659,7 @@ def community_modularity(spark, d):
 
 @query()
 def louvain(spark, d):
-    return graph.louvain(_near(spark, d))
+    return graph.louvain(_edges(spark, d))
 
 
 @query()

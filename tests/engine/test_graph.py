@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import time
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -112,6 +114,55 @@ def test_louvain_cases(spark):
     assert star == {0}
 
 
+def plain_louvain(edges):
+    """The same greedy method on one machine, level by level."""
+    links = Counter()
+    for a, b in {(min(e), max(e)) for e in edges if e[0] != e[1]}:
+        links[a, b] += 1
+        links[b, a] += 1
+    m2 = sum(links.values())
+    member = {x: x for e in links for x in e}
+    while True:
+        near, k = defaultdict(dict), Counter()
+        for (a, b), w in links.items():
+            k[a] += w
+            if a != b:
+                near[a][b] = w
+        c, total, changed = {x: x for x in k}, Counter(k), True
+        while changed:
+            changed = False
+            for x in sorted(k):
+                total[c[x]] -= k[x]
+                votes = Counter({c[x]: 0})
+                for y, w in near[x].items():
+                    votes[c[y]] += w
+                best = max(votes, key=lambda g: (votes[g] - k[x] * total[g] / m2, -g))
+                if votes[best] - k[x] * total[best] / m2 > votes[c[x]] - k[x] * total[c[x]] / m2 + 1e-9:
+                    c[x], changed = best, True
+                total[c[x]] += k[x]
+        if all(x == g for x, g in c.items()) or len(set(c.values())) == len(c):
+            return member
+        member = {x: c[g] for x, g in member.items()}
+        new = Counter()
+        for (a, b), w in links.items():
+            new[c[a], c[b]] += w
+        links = new
+
+
+@pytest.mark.parametrize("block", [10**6, 3000])
+def test_louvain_in_blocks(spark, block):
+    """A graph with and without clear groups, in one block and in several, with a node of more links than a block has; not below label propagation, nor far from the method on one machine."""
+    r = random.Random(7)
+    edges = [(x, r.choice([y for y in range(x // 25 * 25, x // 25 * 25 + 25)])) for x in range(1500) for _ in range(4)] + [(r.randrange(1500), r.randrange(1500)) for _ in range(3000)] + [(5000, x) for x in range(0, 1500, 3)]
+    began = time.perf_counter()
+    label = {row.id: row.community for row in graph.louvain(frame(spark, edges), block=block).collect()}
+    assert time.perf_counter() - began < 60
+    value = partition_value(edges, label)
+    assert value >= partition_value(edges, plain_louvain(edges)) - (0.01 if block > 10**5 else 0.05)
+    assert value >= partition_value(edges, {row.id: row.community for row in graph.communities(frame(spark, edges)).collect()})
+    assert set(label) == {x for e in edges for x in e} and all(label[g] == g and g == min(x for x in label if label[x] == g) for g in set(label.values()))
+
+
 def test_map_nodes(spark):
     df = frame(spark, [(1, 2), (2, 3), (3, 4)])
     ids = graph.vertices(df)
