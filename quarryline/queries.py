@@ -657,6 +657,17 @@ def community_modularity(spark, d):
     return graph.modularity(held, graph.communities(held))
 
 
+@query(
+    """WITH x AS (SELECT o_custkey AS s, lead(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS t FROM orders), e AS (SELECT DISTINCT least(s, t) AS a, greatest(s, t) AS b FROM x WHERE s <> t),
+n AS (SELECT u.c_nationkey AS ca, v.c_nationkey AS cb FROM e JOIN customer u ON u.c_custkey = a JOIN customer v ON v.c_custkey = b), m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM n),
+d AS (SELECT c, count(*) AS d FROM (SELECT ca AS c FROM n UNION ALL SELECT cb FROM n) GROUP BY c), l AS (SELECT ca AS c, count(*) AS l FROM n WHERE ca = cb GROUP BY ca)
+SELECT round(sum(coalesce(l, 0) / m - pow(d / (2 * m), 2)), 9) AS modularity FROM d LEFT JOIN l USING (c), m"""
+)
+def partition_modularity(spark, d):
+    """How well nations part the graph of customers."""
+    return graph.modularity(_edges(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community"))).select(F.round("modularity", 9).alias("modularity"))
+
+
 @query()
 def louvain(spark, d):
     return graph.louvain(_edges(spark, d))
@@ -741,12 +752,16 @@ def sarif_json(spark, d):
     return sinks.sarif(_findings(spark, d))
 
 
-@query()
+@query(
+    f"""WITH r AS (SELECT DISTINCT method, route FROM ({ORACLE_SQL['route_extract']})), m AS (SELECT route, concat(CAST(to_json(lower(method)) AS VARCHAR), ':{{"summary":', CAST(to_json(concat(method, ' ', route)) AS VARCHAR), ',"responses":{{"200":{{"description":"OK"}}}}}}') AS o FROM r),
+p AS (SELECT concat(CAST(to_json(route) AS VARCHAR), ':{{', string_agg(o, ',' ORDER BY o), '}}') AS p FROM m GROUP BY route)
+SELECT concat('{{"openapi":"3.0.0","info":{{"title":"API","version":"1.0.0"}},"paths":{{', string_agg(p, ',' ORDER BY p), '}}}}') AS document FROM p"""
+)
 def openapi_json(spark, d):
     return sinks.openapi(parse.routes(table(spark, d, "pages"), ANCHOR, "page_id", "html"))
 
 
-@query()
+@query(f"""WITH {_FINDINGS} SELECT 'rule,severity,file,line' AS line UNION ALL SELECT concat('"', rule, '","', severity, '","', file_path, '",', line_no) FROM (SELECT DISTINCT rule, severity, file_path, line_no FROM findings)""")
 def csv_report(spark, d):
     return sinks.csv_lines(_findings(spark, d).select("rule", "severity", "file", "line"))
 
