@@ -115,12 +115,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_nodes(reps: DataFrame, depth: int) -> DataFrame:
-    """``rep, tree, node``: the nodes of prefixes of ``depth`` that two representatives or more share."""
+    """``rep, tree, node, first``: the nodes of prefixes of ``depth`` that two representatives or more share, and the least of these.
+
+    Nodes are counted in a table of their own, so that a node of very many texts is one row of a join whose other side can be split.
+    """
     width = 4 * DEPTH
     trees = reps.where("sig IS NOT NULL").select("rep", F.posexplode(F.array(*[F.substring("sig", 1 + t * width, width) for t in range(TREES)])).alias("tree", "branch"))
     nodes = trees.select("rep", "tree", F.xxhash64("tree", F.substring("branch", 1, 4 * depth)).alias("node"))
-    shared = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    return nodes.join(shared, "node").select("rep", "tree", "node")
+    shared = materialize(nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("node", "first"), "shared-nodes")
+    return nodes.join(F.broadcast(shared) if fits_broadcast(shared) else shared, "node").select("rep", "tree", "node", "first")
 
 
 def node_links(nodes: DataFrame) -> DataFrame:
@@ -128,8 +131,7 @@ def node_links(nodes: DataFrame) -> DataFrame:
 
     Texts that share a longer prefix share a shorter one too. Nodes that have a member in common are one component of these links.
     """
-    least = nodes.groupBy("node").agg(F.min("rep").alias("first"))
-    return nodes.join(least, "node").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    return nodes.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def comparisons(nodes: DataFrame, near: DataFrame) -> DataFrame:
