@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quarryline.functions.paths import import_candidates, normalize_path, path_suffixes
 
 
+#: Ranges of a key that each of its places may meet.
+FEW_RANGES = 32
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, order: str = "file_path") -> DataFrame:
     """``imports`` with ``target`` and ``resolved``.
 
@@ -27,11 +31,33 @@ def resolve_imports(imports: DataFrame, files: DataFrame, order: str = "file_pat
     return imports.join(resolved, ["file_path", "specifier"], "left").withColumns({"target": F.coalesce("_target", "specifier"), "resolved": F.col("_target").isNotNull()}).drop("_target")
 
 
+def _pieces(low: Column, high: Column) -> Column:
+    """The range as aligned stretches of 1, 2, 4 ... places, at most two of a length: an array of (level, bin), where a bin holds the places that are it after ``level`` halvings."""
+    halved = lambda x, k: F.call_function("shiftright", x, k)
+    begin, end = lambda k: -halved(-low, k), lambda k: halved(high + 1, k)
+    piece = lambda when, k, at: F.when(when, F.struct(k.alias("level"), at.alias("bin")))
+    at_level = lambda k: F.array(piece((begin(k) < end(k)) & (F.pmod(begin(k), F.lit(2)) == 1), k, begin(k)), piece((begin(k) < end(k)) & (F.pmod(end(k), F.lit(2)) == 1), k, end(k) - 1))
+    levels = F.sequence(F.lit(0), F.length(F.bin(high - low + 1)) - 1)
+    return F.filter(F.flatten(F.transform(levels, at_level)), lambda x: x.isNotNull())
+
+
 def first_container(points: DataFrame, ranges: DataFrame, *, key: str, at: str, low: str, high: str, order: list[str], keep: list[str], point_id: list[str]) -> DataFrame:
-    """Each point with the first range, by ``order``, of its ``key`` that contains ``at``; points without one keep nulls. One equi-join and one aggregate."""
-    held = ranges.select(F.col(key).alias("_key"), F.col(low).alias("_low"), F.col(high).alias("_high"), F.struct(*[F.col(o) for o in order], *[F.col(k) for k in keep]).alias("_r"))
-    met = points.join(held, (F.col(key) == F.col("_key")) & (F.col(at) >= F.col("_low")) & (F.col(at) <= F.col("_high")), "left")
-    first = met.groupBy(*point_id).agg(F.min("_r").alias("_r"))
+    """Each point with the first range, by ``order``, of its ``key`` that contains the integer ``at``; points without one keep nulls.
+
+    Distinct places are looked up. A place of a key with few ranges meets them all; the ranges of other keys are cut into
+    aligned pieces, each piece keeps its first range, and a place meets one piece of each length at most. So all joins are
+    equi-joins, and no key costs its places times its ranges.
+    """
+    held = ranges.select(F.col(key).alias("_key"), F.col(low).cast("long").alias("_low"), F.col(high).cast("long").alias("_high"), F.struct(*[F.col(o) for o in order], *[F.col(k) for k in keep]).alias("_r")).where("_low <= _high")
+    few = F.col("_n") <= FEW_RANGES
+    whole = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("bin")))
+    cut = held.join(held.groupBy("_key").agg(F.count("*").alias("_n")), "_key").withColumn("_p", F.explode(F.when(few, whole).otherwise(_pieces(F.col("_low"), F.col("_high")))))
+    pieces = cut.groupBy("_key", F.col("_p.level").alias("_level"), F.col("_p.bin").alias("_bin"), F.when(few, F.col("_low")).alias("_low"), F.when(few, F.col("_high")).alias("_high")).agg(F.min("_r").alias("_r"))
+    levels = pieces.groupBy("_key").agg(F.collect_set("_level").alias("_levels"))  # 64 at most
+    places = points.select(F.col(key).alias("_key"), F.col(at).cast("long").alias("_at")).distinct().join(levels, "_key").select("_key", "_at", F.explode("_levels").alias("_level"))
+    placed = places.withColumn("_bin", F.when(F.col("_level") < 0, F.lit(0)).otherwise(F.call_function("shiftright", F.col("_at"), F.col("_level"))))
+    met = placed.join(pieces, ["_key", "_level", "_bin"]).where("_level >= 0 OR _at BETWEEN _low AND _high").groupBy("_key", "_at").agg(F.min("_r").alias("_r"))
+    first = points.join(met, (F.col(key) == F.col("_key")) & (F.col(at).cast("long") == F.col("_at")), "left").groupBy(*point_id).agg(F.min("_r").alias("_r"))
     return first.select(*point_id, *[F.col("_r")[k].alias(k) for k in keep])
 
 
@@ -56,7 +82,7 @@ def call_links(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> Data
     """
     sites = callers(calls, symbols).withColumn("name", short_name(F.col("callee")))
     by = F.struct("file_path", "parse_seq", "symbol_id")
-    known = symbols.join(sites.select("name").distinct(), "name", "left_semi")
+    known = symbols.join(calls.select(short_name(F.col("callee")).alias("name")).distinct(), "name", "left_semi")
     local = known.groupBy("file_path", "name").agg(F.min(by)["symbol_id"].alias("_local"))
     exported = known.where("is_exported")
     by_file = exported.groupBy("file_path", "name").agg(F.min(by).alias("_e"))
