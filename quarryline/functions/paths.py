@@ -39,7 +39,7 @@ def stem(path: Column) -> Column:
 
 def dirname(path: Column) -> Column:
     """All before the last slash; ``.`` without one."""
-    return F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit("."))
+    return F.when(F.contains(path, F.lit("/")), F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)).otherwise(F.lit("."))
 
 
 def normalize_path(path: Column) -> Column:

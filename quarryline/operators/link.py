@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.paths import import_candidates, normalize_path, path_suffixes
+from quarryline.functions.paths import dirname, import_candidates, normalize_path, path_suffixes
+from quarryline.sources.store import written
 
 
 #: Ranges of a key that each of its places may meet.
@@ -17,18 +18,27 @@ def resolve_imports(imports: DataFrame, files: DataFrame, order: str = "file_pat
 
     A relative specifier takes the first of its candidate paths that exists; else any specifier takes the first file, by
     ``order``, whose path ends with it after a slash. Suffix tests are equality on all suffixes of the paths, so that
-    both steps are equi-joins. What is not found keeps its specifier as target.
+    both steps are equi-joins. What is not found keeps its specifier as target. What an import means depends on its folder
+    and its specifier, so each such pair is resolved once; the pairs are tables, so that few of them are broadcast.
     """
-    specs = imports.select("file_path", "specifier").distinct()
+    folder = F.when(F.col("file_path").isNull(), F.lit(None).cast("string")).when(F.col("specifier").startswith("."), dirname(F.col("file_path"))).otherwise("")
+    placed = imports.withColumn("_folder", folder)
+    specs = written(placed.select("_folder", "specifier").distinct(), "specifiers")
     known = files.select(F.col("file_path").alias("_path"), F.col(order).alias("_order"))
     relative = specs.where(F.col("specifier").startswith(".") | F.col("specifier").startswith("/"))
-    tried = relative.select("file_path", "specifier", F.posexplode(import_candidates(F.col("file_path"), F.col("specifier"))).alias("_k", "_path"))
-    by_path = tried.join(known, "_path").groupBy("file_path", "specifier").agg(F.min_by("_path", "_k").alias("_first"))
-    endings = known.select(F.explode(path_suffixes(F.col("_path"))).alias("_ending"), "_path", "_order").groupBy("_ending").agg(F.min(F.struct("_order", "_path")).alias("_m")).select("_ending", F.col("_m._path").alias("_by_ending"))
+    tried = relative.select("_folder", "specifier", F.posexplode(import_candidates(F.concat("_folder", F.lit("/x")), F.col("specifier"))).alias("_k", "_path"))
+    by_path = tried.join(known, "_path").groupBy("_folder", "specifier").agg(F.min_by("_path", "_k").alias("_first"))
     wanted = F.when(F.col("specifier").startswith("."), F.lit(None).cast("string")).otherwise(normalize_path(F.col("specifier")))
-    found = specs.withColumn("_ending", wanted).join(by_path, ["file_path", "specifier"], "left").join(endings, "_ending", "left")
-    resolved = found.select("file_path", "specifier", F.coalesce("_first", "_by_ending").alias("_target"))
-    return imports.join(resolved, ["file_path", "specifier"], "left").withColumns({"target": F.coalesce("_target", "specifier"), "resolved": F.col("_target").isNotNull()}).drop("_target")
+    asked = written(specs.select(wanted.alias("_ending")).where("_ending IS NOT NULL").distinct(), "endings")
+    last = lambda path: F.substring_index(path, "/", -1).alias("_name")
+    alike = known.withColumn("_name", last("_path")).join(asked.select(last("_ending")).distinct(), "_name", "left_semi")  # a suffix ends as its path does
+    ends = alike.select(F.explode(path_suffixes(F.col("_path"))).alias("_ending"), "_path", "_order").join(asked, "_ending", "left_semi")
+    endings = ends.groupBy("_ending").agg(F.min(F.struct("_order", "_path")).alias("_m")).select("_ending", F.col("_m._path").alias("_by_ending"))
+    found = specs.withColumn("_ending", wanted).join(by_path, ["_folder", "specifier"], "left").join(endings, "_ending", "left")
+    resolved = written(found.select("_folder", "specifier", F.coalesce("_first", "_by_ending").alias("_target")), "resolved")
+    others = [c for c in imports.columns if c not in ("file_path", "specifier")]
+    told = placed.join(resolved, ["_folder", "specifier"], "left").select("file_path", "specifier", *others, "_target")
+    return told.withColumns({"target": F.coalesce("_target", "specifier"), "resolved": F.col("_target").isNotNull()}).drop("_target")
 
 
 def _pieces(low: Column, high: Column) -> Column:
