@@ -2,7 +2,9 @@
 
 import random
 import time
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarryline.operators import graph, link
@@ -64,3 +66,14 @@ def test_imports_are_resolved_once_a_folder(spark):
     assert told == {("src/x/o1.ts", s, t, s != t) for s, t in one} | {("top.ts", "./b", "b.ts", True), ("/r.ts", "./b", "b.ts", True), (None, "./b", "./b", False), (None, "y/c.js", "y/c.js", False), ("src/x/o1.ts", None, None, False)}
     assert found.count() == 600_005
     assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_louvain_levels_in_one_task():
+    """A graph that fits one block is done in its task: a ring of cliques in pairs, whose last level joins cliques."""
+    links = [(10 * c + a, 10 * c + b) for c in range(30) for a in range(5) for b in range(a + 1, 5)] + [(10 * c, 10 * ((c + 1) % 30) + 1) for c in range(30)]
+    ends = sorted(links + [(b, a) for a, b in links])
+    k = Counter(a for a, _ in ends)
+    rows = [{"id": a, "k": k[a], "c": a, "total": k[a], "dst": b, "w": 1, "dst_c": b, "dst_total": k[b]} for a, b in ends]
+    told = graph._moved(pa.Table.from_pylist(rows), len(links), True).to_pylist()
+    label = {r["id"]: r["c"] for r in told}
+    assert set(label) == set(k) and all(label[10 * c + a] == label[10 * c] for c in range(30) for a in range(5)) and len(set(label.values())) < 30
