@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,14 @@ def _found(all_lines: DataFrame, where: Column, name: Column, kind: str, span: i
 SCRIPTS = "file_path string, symbols array<struct<name:string,kind:string,start_line:int,end_line:int,is_exported:boolean>>, imports array<struct<specifier:string,imported_names:array<string>>>, calls array<struct<callee:string,line:int>>, content string"
 
 
+def _nested(rows: Sequence[list[tuple]], kind: pa.ListType) -> pa.Array:
+    """Lists of tuples as an array of lists of structs, made field by field."""
+    fields = list(kind.value_type)
+    held = list(zip(*(one for row in rows for one in row), strict=True)) or [()] * len(fields)
+    ends = pa.array(accumulate(map(len, rows), initial=0), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(held, fields, strict=True)], fields=fields), type=kind)
+
+
 def scripts(files: DataFrame) -> DataFrame:
     """Of each script its ``symbols, imports, calls``, arrays in the order of the source, and ``content``, null but where the script can't be lexed: line patterns read those."""
     rows = files.where(extension(F.col("file_path")).isin(*SCRIPT)).select("file_path", "content")
@@ -47,7 +56,7 @@ def scripts(files: DataFrame) -> DataFrame:
                 except script.NotLexed:
                     told.append(([], [], [], content))
             columns = list(zip(*told, strict=True)) if told else [()] * 4
-            held = [pa.array([[dict(zip([f.name for f in kind.value_type], one, strict=True)) for one in row] for row in column], kind) for column, kind in zip(columns, kinds, strict=False)]
+            held = [_nested(column, kind) for column, kind in zip(columns, kinds, strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("file_path"), *held, pa.array(columns[3], pa.string())], ["file_path", "symbols", "imports", "calls", "content"])
 
     return rows.mapInArrow(batches, SCRIPTS)

@@ -1,10 +1,12 @@
 """Tokens of scripts, what is read off them, and structural patterns, against expectations made by hand or by rule."""
 
 import random
+import re
 import time
 
 import pytest
 
+from quarryline import code_queries
 from quarryline.functions import pattern as patterns
 from quarryline.functions import script
 from quarryline.operators import link, parse, search
@@ -147,6 +149,21 @@ def test_scripts_that_are_no_code(spark):
     assert parse.symbols(df.limit(0)).count() == parse.calls(df.limit(0)).count() == 0
 
 
+def test_callers_of_documents_lexed_once(spark, tmp_path):
+    """The query reads what lexing told from a table, however often it needs it; odd characters keep their places, equal names and missing texts too."""
+    texts = ["".join(map(chr, range(1, 128))) + "é名\U0001f468\u200d\u2028Ⅳª٣ſ\ufeff\nif (x) {\n", None, "", "\n\n", "`${ \r\n'\" */ f(a)"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    held = {r.file_path: r.content for r in code_queries.scripts(spark, str(tmp_path)).collect()}
+    assert {p: c.split("\n")[2:-8] for p, c in held.items()} == {f"src/d{k}.ts": ["  // " + x for x in re.sub(r"""[^a-zA-Z0-9 {(`'"/\n]""", "_", t or "").split("\n")] for k, t in enumerate(texts)}
+    told = code_queries.parsed_callers(spark, str(tmp_path))
+    expected = []
+    for k, t in enumerate(texts):
+        f, n = f"src/d{k}.ts", (t or "").count("\n") + 1
+        expected += [(f, f"g{k % 5}", n + 3, f"{f}#f{k}"), (f, "h", n + 3, f"{f}#f{k}"), (f, "n.p", n + 5, f"{f}#z"), (f, "super.s", n + 7, f"{f}#C{k % 3}"), (f, "pair", n + 8, f), (f, "pair", n + 9, f)]
+    assert sorted(map(tuple, told.collect())) == sorted(expected)
+    assert "MapInArrow" not in told._jdf.queryExecution().executedPlan().toString()
+
+
 # Patterns -----------------------------------------------------------------------------------------------------------
 
 PLACES = """f(a, a);
